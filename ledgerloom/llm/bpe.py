@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -192,7 +193,7 @@ def encode(df: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY,
 
     def run(batches):
         bpe = load(vocabulary, pattern)
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2 << 20):
             rows = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
             lengths = [len(r) for r in rows]
             flat = np.fromiter(chain.from_iterable(rows), np.int32, sum(lengths))
@@ -208,11 +209,16 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY) ->
 
     def run(batches):
         bpe = load(vocabulary)
+        leaves = pa.array([bpe.bytes_of.get(i) for i in range(max(bpe.bytes_of) + 1)], pa.large_binary())
         for batch in batches:
-            ids = batch.column(ids_col)
-            at, flat = ids.offsets.to_pylist(), ids.values.to_pylist()
-            rows = [bpe.decode(flat[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*names, "decoded"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                ids = part.column(ids_col)
+                taken = leaves.take(ids.flatten())  # its buffer is the concatenation of all rows
+                ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
+                cuts = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[cuts].copy()), taken.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([*part.columns, rows.cast(pa.binary())], [*names, "decoded"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

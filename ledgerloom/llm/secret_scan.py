@@ -172,7 +172,7 @@ def _sql_spans(text: str, pattern: str, order: str, keep: str = "true", low: str
     q = pattern.replace("'", "''")
     return f"""
       SELECT doc_id, {low} AS start, {order} AS ord, {high} AS "end" FROM (
-        SELECT doc_id, h, list_sum(list_transform(gaps[1:i], x -> length(x)))::INT + coalesce(list_sum(list_transform(hits[1:i-1], x -> length(x))), 0)::INT AS s
+        SELECT doc_id, h, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::INT + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0)::INT AS s
         FROM (SELECT doc_id, hits, gaps, unnest(hits) AS h, unnest(range(1, len(hits) + 1)) AS i
               FROM (SELECT doc_id, regexp_extract_all({text}, '{q}') AS hits, regexp_split_to_array({text}, '{q}') AS gaps FROM @docs WHERE regexp_matches({text}, '{q}')))
       ) WHERE {keep}"""
@@ -187,9 +187,9 @@ def oracle_sql(docs: str = "documents") -> str:
         _sql_spans("text", p, o, k)
         for p, o, k in ((ASSIGN, "0", f"length(regexp_extract(h, '{assign}', 2)) >= {ASSIGN_LEAST}"), (ACCESS, "1", "true"), (HEX, "2", "true"))
     ).replace("@docs", docs)
-    sweep = f"""list_filter(range(0, length(h) - {WINDOW} + 1), k ->
+    sweep = f"""list_filter(range(0, length(h) - {WINDOW} + 1), lambda k:
         list_sum(list_transform(list_distinct(regexp_extract_all(substr(h, k::INT + 1, {WINDOW}), '.')),
-          c -> {term}[length(substr(h, k::INT + 1, {WINDOW})) - length(replace(substr(h, k::INT + 1, {WINDOW}), c, '')) + 1])) <= CASE o WHEN 3 THEN {limit["hex"]} WHEN 4 THEN {limit["alnum"]} ELSE {limit["base64"]} END)"""
+          lambda c: {term}[length(substr(h, k::INT + 1, {WINDOW})) - length(replace(substr(h, k::INT + 1, {WINDOW}), c, '')) + 1])) <= CASE o WHEN 3 THEN {limit["hex"]} WHEN 4 THEN {limit["alnum"]} ELSE {limit["base64"]} END)"""
     candidates = _sql_spans("text", CANDIDATE, "h", f"NOT regexp_matches(h, '{ALLOWED}')").replace("@docs", docs)
     return f"""
     WITH base AS ({base}),
