@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, media, mixing, quality, secret_scan, token_store
+from . import bpe, fertility, media, mixing, quality, secret_scan, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_store": lambda s, d: token_store.documents(_documents(s, d)),
         "op4_weight_mixing": lambda s, d: mixing.plan(_documents(s, d, "doc_id", "text", "source", "lang")),
         "op5_quality_ftrl": lambda s, d: quality.scores(_documents(s, d), _table(s, d, "labels", "doc_id", "quality")),
+        "op6_golay_simhash": lambda s, d: simhash.components(_documents(s, d)),
         "op7_tree_bpe": lambda s, d: bpe.digests(_documents(s, d)),
         "op8_media_columns": lambda s, d: media.documents(_documents(s, d)),
         "op9_secret_scan": lambda s, d: secret_scan.scan(_documents(s, d)),

@@ -30,8 +30,9 @@ from .common import replace_columns, slices, split_of, text_bytes
 
 BITS = 18
 MAX_LABELLED = 12_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
+#: Passes over the rows: at least so many, more over few rows, until so many updates are made.
+EPOCHS, UPDATES, MOST_EPOCHS = 4, 40_000, 40
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-5
 THRESHOLD = 0.3
 HELD_OUT = 0
 NO_MODEL = 1.0
@@ -58,7 +59,7 @@ def _known() -> dict[bytes, tuple[int, ...]]:
     return {}
 
 
-SAME = np.uint64(xxhash.xxh64_intdigest("<same>"))
+SAME = np.full(1, xxhash.xxh64_intdigest("<same>"), np.uint64) * M2
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pair = (token[:-1] * M1 ^ token[1:]) * M2
     inside = token_doc[1:] == token_doc[:-1]
     where = np.concatenate([token_doc, token_doc[1:][inside], again])
-    what = np.concatenate([token * M2, pair[inside], np.full(len(again), SAME * M2)]) >> np.uint64(64 - BITS)
+    what = np.concatenate([token * M2, pair[inside], SAME.repeat(len(again))]) >> np.uint64(64 - BITS)
     key, often = np.unique((where << BITS) | what.astype(np.int64), return_counts=True)
     at = key >> BITS
     total = np.bincount(at, often, minlength=len(texts))
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not seen:
             return
         model = Ftrl()
-        for _ in range(EPOCHS):
+        for _ in range(min(MOST_EPOCHS, max(EPOCHS, UPDATES // len(seen)))):
             for i, x, y in seen:
                 model.learn(i, x, y)
         w = model.weights(np.arange(len(model.z)))
