@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fertility, media, mixing, quality, secret_scan, simhash, token_store
+from . import bpe, dedup_index, fertility, lattice, media, mixing, quality, secret_scan, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,6 +19,8 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprint_index": lambda s, d: dedup_index.documents(_documents(s, d)),
+        "op2_subword_lattice": lambda s, d: lattice.scores(_documents(s, d)),
         "op3_token_store": lambda s, d: token_store.documents(_documents(s, d)),
         "op4_weight_mixing": lambda s, d: mixing.plan(_documents(s, d, "doc_id", "text", "source", "lang")),
         "op5_quality_ftrl": lambda s, d: quality.scores(_documents(s, d), _table(s, d, "labels", "doc_id", "quality")),
