@@ -39,7 +39,9 @@ SEQ_LEN = 1024
 #: Text bytes that a file is made from, about; sequences are written in batches of so many.
 FILE_BYTES = 32 << 20
 BATCH_SEQUENCES = 256
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+MARK = "\x01"
+LINE_WORDS = 64
 
 MANIFEST = T.StructType([T.StructField("part", T.LongType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
@@ -47,8 +49,10 @@ MANIFEST = T.StructType([T.StructField("part", T.LongType()), T.StructField("pat
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary's splitter never lets a token reach over white space and its normalizer acts within words, so words
-    between ASCII blanks are encoded alone, new ones in one call of the library, and remembered (a bounded number).
+    The vocabulary's splitter never lets a token reach over white space and its normalizer acts within words, so each
+    word between ASCII blanks is encoded once and remembered (a bounded number). New words go to the library in lines
+    of many, with a control character between them that is a token by itself and tells where a word ends; words that
+    hold that character go alone.
     """
 
     def __init__(self, path: str):
@@ -59,18 +63,33 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, tuple[int, ...]] = {}
+        self.mark = self.ids([MARK])[0]
+        if len(self.mark) != 1:
+            raise ValueError("the vocabulary has no token for the mark between words")
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words."""
+        marked = [w for w in words if b"\x01" in w]
+        self.known.update(zip(marked, map(tuple, self.ids([w.decode() for w in marked]))))
+        plain = [w for w in words if b"\x01" not in w]
+        lines = [plain[at : at + LINE_WORDS] for at in range(0, len(plain), LINE_WORDS)]
+        for at in range(0, len(lines), 64):
+            some = lines[at : at + 64]
+            for line, ids in zip(some, self.ids([f" {MARK} ".join(w.decode() for w in line) for line in some])):
+                cuts = [i for i, x in enumerate(ids) if x == self.mark[0]]
+                self.known.update((w, tuple(ids[a + 1 : b])) for w, a, b in zip(line, [-1, *cuts], [*cuts, len(ids)]))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, list[int]]:
         """All ids in one array, each text's followed by the end id, and how many each text has."""
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]  # the vocabulary lowers all letters; here it saves words
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = tuple(e.ids)
+        self.learn(new)
         rows = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
         for r in rows:
             r.append(end_id)
