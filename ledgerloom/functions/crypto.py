@@ -25,7 +25,7 @@ def json_string(c: Column) -> Column:
     """A JSON string as web-safe encoders write it: control characters, quotes and the three HTML signs escaped."""
     out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     short = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-    for ch in [*map(chr, range(32)), "<", ">", "&", " ", " "]:
+    for ch in [*map(chr, range(32)), "<", ">", "&", "\u2028", "\u2029"]:
         out = F.replace(out, F.lit(ch), F.lit(short.get(ch, f"\\u{ord(ch):04x}")))
     return F.concat(F.lit('"'), out, F.lit('"'))
 

@@ -119,9 +119,13 @@ def hint_path(path: Column | str) -> Column:
 
 def note_link(from_dir: Column, label: Column, target: Column, wiki: bool = False) -> Column:
     """A link from a note's folder to a file's note, relative in markdown or absolute in wiki style."""
-    safe = lambda c: F.replace(F.replace(c, F.lit("["), F.lit("%5B")), F.lit("]"), F.lit("%5D"))
+    def encoded(c: Column, signs: str) -> Column:
+        for ch in signs:
+            c = F.replace(c, F.lit(ch), F.lit(f"%{ord(ch):02X}"))
+        return c
+
     if wiki:
-        return F.concat(F.lit("[["), safe(target), F.lit(".md|"), F.replace(F.replace(label, F.lit("["), F.lit("")), F.lit("]"), F.lit("")), F.lit("]]"))
+        return F.concat(F.lit("[["), encoded(target, "[]|"), F.lit(".md|"), label, F.lit("]]"))
     here, there = F.filter(F.split(from_dir, "/"), lambda x: ~x.isin("", ".")), F.split(F.concat(F.lit("index/"), target), "/")
     # folders that both share from the root on
     same = F.aggregate(
@@ -132,7 +136,7 @@ def note_link(from_dir: Column, label: Column, target: Column, wiki: bool = Fals
     )
     up = F.array_repeat(F.lit(".."), F.size(here) - same)
     path = F.array_join(F.concat(up, F.slice(there, same + 1, F.size(there))), "/")
-    return F.concat(F.lit("["), F.replace(F.replace(label, F.lit("["), F.lit("\\[")), F.lit("]"), F.lit("\\]")), F.lit("]("), safe(F.replace(path, F.lit(" "), F.lit("%20"))), F.lit(".md)"))
+    return F.concat(F.lit("["), label, F.lit("]("), encoded(path, " []()"), F.lit(".md)"))
 
 
 def encode_counts(c: Column | str) -> Column:

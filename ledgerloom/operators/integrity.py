@@ -83,7 +83,7 @@ def dense_positions(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
 def python_payload(row: dict) -> str:
     """The payload of ``signed_payload`` for one row, for folds that can't be columns."""
     text = json.dumps({k: (row[k] or 0) if k == "recorded_at" else (row[k] or "") for k in SIGNED}, ensure_ascii=False, separators=(",", ":"))
-    for ch in "<>&  ":
+    for ch in "<>&\u2028\u2029":
         text = text.replace(ch, f"\\u{ord(ch):04x}")
     return text
 

@@ -7,12 +7,13 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.secrets import scrub_diff
 from ..functions.text import STATE_DIR, local_import_path
 from ..operators import codegraph, integrity, journal, reconcile, render, search, sessions
 from ..parsers.base import imports_of, parse_files, symbols_of
-from ..schemas import IMPORTS, SYMBOLS
+from ..schemas import IMPORTS, SYMBOLS, struct
 from ..sources import config, files
 from ..sources.aliases import load_aliases
 from ..sources.git import Git, commit_files, staged_files
@@ -140,15 +141,13 @@ class Toolbox:
 
     # index jobs
 
-    def _table(self, name: str, schema) -> DataFrame:
+    def _table(self, name: str, schema: StructType) -> DataFrame:
         path = f"{self.index_path}/{name}"
-        return self.spark.read.parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], schema.add("scan_id", "long") if hasattr(schema, "add") else schema)
+        return self.spark.read.schema(schema).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], schema)
 
     def _current(self, name: str, schema) -> DataFrame:
-        from pyspark.sql.types import StructType
-
-        rows = self._table(name, StructType(list(schema.fields)))
-        return codegraph.current_rows(rows, self._table("scans", StructType.fromDDL("file_path string, scan_id long, deleted boolean"))).drop("scan_id")
+        rows = self._table(name, StructType([*schema.fields, *struct("scan_id long").fields]))
+        return codegraph.current_rows(rows, self._table("scans", struct("file_path string, scan_id long, deleted boolean"))).drop("scan_id")
 
     def symbols(self) -> DataFrame:
         return self._current("symbols", SYMBOLS)

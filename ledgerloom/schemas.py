@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHANGES = T.StructType.fromDDL(
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "map<string,int>": T.MapType(T.StringType(), T.IntegerType())}
+
+
+def struct(text: str) -> T.StructType:
+    """A schema from 'name type, ...', also where there is no session yet."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in text.split(", "))])
+
+
+CHANGES = struct(
     "id long, file_path string, commit_hash string, branch string, source string, summary string, reason string, diff_stat string, "
     "diff_hash string, agent_id string, recorded_at long, hmac string, prev_hmac string, clock_tamper_warning boolean, created_at string"
 )
-SYMBOLS = T.StructType.fromDDL("name string, kind string, file_path string, line_start int, line_end int, signature string")
-IMPORTS = T.StructType.fromDDL("file_path string, imported_path string")
-INDEX_META = T.StructType.fromDDL("last_indexed_at long, file_count int, symbol_count int, language_counts map<string,int>, skipped_count int, unsupported_count int")
-CLAIMS = T.StructType.fromDDL("claim_seq long, file_path string, commit_hash string, as_of_id long")
-COMMIT_FILES = T.StructType.fromDDL("commit_hash string, file_path string, add int, del int, measurable boolean")
+SYMBOLS = struct("name string, kind string, file_path string, line_start int, line_end int, signature string")
+IMPORTS = struct("file_path string, imported_path string")
+INDEX_META = struct("last_indexed_at long, file_count int, symbol_count int, language_counts map<string,int>, skipped_count int, unsupported_count int")
+CLAIMS = struct("claim_seq long, file_path string, commit_hash string, as_of_id long")
+COMMIT_FILES = struct("commit_hash string, file_path string, add int, del int, measurable boolean")
 
 #: Who can have written a row.
 SOURCES = ("agent", "llm", "fallback")

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions.secrets import first_secret
 from ..functions.text import valid_path
 from ..operators import integrity
-from ..schemas import CHANGES, CLAIMS, SOURCES, normalise_changes
+from ..schemas import CHANGES, CLAIMS, SOURCES, normalise_changes, struct
 
 INPUT = "file_path string, summary string, reason string, source string, diff_stat string, diff_hash string, commit_hash string, branch string, agent_id string, recorded_at long"
 DEFAULT_SOURCE = "agent"
@@ -40,7 +40,7 @@ def load_salt(path: str, create: bool = True) -> bytes:
 
 def judged(rows: DataFrame) -> DataFrame:
     """Input rows with ``problem``: why a row can't be recorded, or ''."""
-    have = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType) for f in StructType.fromDDL(INPUT).fields}
+    have = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType) for f in struct(INPUT).fields}
     rows = rows.select(*(c.alias(n) for n, c in have.items()))
     rows = rows.withColumn("source", F.when(F.coalesce("source", F.lit("")) == "", DEFAULT_SOURCE).otherwise(F.col("source")))
     texts = F.concat_ws("\n", "summary", "reason")
