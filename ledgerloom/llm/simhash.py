@@ -12,6 +12,12 @@ pair. Keys held by more than ``CROWD`` fingerprints aren't: each of their finger
 neighbours one bit away; those that name the same word differ in 2 bits at most by construction, there are 65 of them
 at most, and linking each to the smallest links all. So no crowd makes pairs, and none is cut off.
 
+*Similar documents.* Two bits of 64 hold only copies with a word or two changed. ``similar_components`` finds documents
+whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: each document names a few passages (12 words
+around its least shingle hashes, so that similar documents mostly name the same ones), passages get fingerprints, and
+the same Golay keys bring together documents with equal passages and about equal length. Every document is verified
+against the smallest id under each of its keys, on whole shingle sets; so a crowd makes one pair per document and key.
+
 Components: rounds of large-star and small-star steps over the links, each written to the shared folder; every node
 ends up with the smallest id that it can reach. Joins on a node's id spread heavy nodes over ``SALTS`` parts.
 
@@ -33,6 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_files, materialise, slices, text_bytes
+from .dedup_index import P1, rolled
 
 SHINGLE = 3
 SEED = 42
@@ -40,6 +47,10 @@ DISTANCE = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CROWD = 64
 SALTS = 8
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+PASSAGES = 6
+PASSAGE_WORDS = 12
 GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -101,13 +112,13 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ error[syndrome]) >> 11
 
 
-def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for each key of each fingerprint; fp: unsigned."""
+def keys(fp: np.ndarray, fuzzy: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for each key of each fingerprint; fp: unsigned. Without ``fuzzy`` a segment has its own codeword only."""
     segment = [(fp >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in SEGMENTS]
     rows, found = [], []
     for i in range(3):
         j = (i + 1) % 3
-        flips = np.array([0, *(1 << b for b in range(SEGMENTS[j][1]))], np.int64)
+        flips = np.array([0, *(1 << b for b in range(SEGMENTS[j][1] if fuzzy else 0))], np.int64)
         index = np.sort(codeword_index(segment[j][:, None] ^ flips[None, :]), axis=1)
         new = np.ones(index.shape, bool)
         new[:, 1:] = index[:, 1:] != index[:, :-1]
@@ -189,3 +200,94 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component stays, that of the smallest id; columns as they are."""
     gone = components(docs, id_col, text_col, shingle).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(materialise(gone, "simhash-gone"), id_col, "left_anti").select(*docs.columns)
+
+
+# similar documents
+
+
+def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """A hash per shingle, in order; a shorter text is one shingle, an empty one none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    known = {w: digest(w, SEED) for w in set(words)}
+    return rolled(np.fromiter((known[w] for w in words), np.uint64, len(words)), shingle, P1)
+
+
+def passages(text: bytes, n: int = PASSAGES, reach: int = PASSAGE_WORDS) -> tuple[int, list[int]]:
+    """The number of different shingles, and fingerprints of the passages around those with the least hashes."""
+    hashes = shingle_hashes(text)
+    if not len(hashes):
+        return 0, []
+    words = text.lower().split()
+    value, first = np.unique(hashes, return_index=True)
+    around = {fingerprint(b" ".join(words[i : i + reach])) for i in first[:n].tolist()}
+    return len(value), sorted(around)
+
+
+def _passage_keys(docs: DataFrame) -> DataFrame:
+    """Of (doc_id, text): (key, band, doc_id, n). Lengths that differ by less than the similarity allows share a band."""
+    step = -np.log(SIMILARITY)
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            found = [passages(t) for t in text_bytes(batch.column("text"))]
+            row = np.repeat(np.arange(batch.num_rows), [len(f) for _, f in found])
+            at, key = keys(np.array([x for _, f in found for x in f], np.uint64), fuzzy=False)
+            row = row[at]
+            n = np.array([k for k, _ in found], np.int64)[row]
+            band = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int32)
+            ids = batch.column("doc_id")
+            for shift in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band + shift, pa.int32()), ids.take(pa.array(row)), pa.array(n)], ["key", "band", "doc_id", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, band int, doc_id long, n long")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """Of (u, v, a, b), ids and texts, those whose shingle sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                good = []
+                for a, b in zip(text_bytes(part.column("a")), text_bytes(part.column("b"))):
+                    x, y = np.unique(shingle_hashes(a)), np.unique(shingle_hashes(b))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+                chosen = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("u").filter(chosen), part.column("v").filter(chosen)], ["u", "v"])
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that are similar to one with a smaller id, directly or by others."""
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text_id = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    texts = materialise(base.select("doc_id", text_id.alias("text_id")), "text-ids")
+    first = materialise(texts.groupBy("text_id").agg(F.min("doc_id").alias("node")), "text-nodes")
+    same = texts.join(first, "text_id").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    keyed = materialise(_passage_keys(base), "passage-keys")
+    least = materialise(keyed.groupBy("key", "band").agg(F.min("doc_id").alias("v"), F.min_by("n", "doc_id").alias("m")), "passage-least")
+    long_enough = (F.col("n") >= SIMILARITY * F.col("m")) & (F.col("m") >= SIMILARITY * F.col("n"))
+    found = keyed.join(least, ["key", "band"]).where((F.col("doc_id") != F.col("v")) & long_enough).select(F.col("doc_id").alias("u"), "v").distinct()
+    # copies are linked already; only the first of each text is compared
+    found = materialise(found.join(same.select("u"), "u", "left_anti"), "passage-pairs")
+    wanted = found.select(F.col("u").alias("doc_id")).union(found.select(F.col("v").alias("doc_id"))).distinct()
+    some = materialise(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "passage-texts")
+    left = found.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
+    pairs = left.join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
+    edges = _verified(pairs).union(same).distinct()
+    return star_components(edges).select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
+
+
+def keep_similar_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of similar ones stays, that of the smallest id; columns as they are. Documents without
+    an id stay."""
+    gone = similar_components(docs, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(materialise(gone, "similar-gone"), id_col, "left_anti").select(*docs.columns)
