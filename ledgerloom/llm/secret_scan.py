@@ -153,7 +153,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """The input with each span of its text replaced by ``mask`` (overlapping spans by one); other columns stay."""
-    found = with_spans(df, text_col)
+    known = F.coalesce(F.col(text_col), F.lit(""))
+    spans = F.array_sort(F.concat(_base(known).cast(f"array<{SPAN}>"), _entropy(known, THRESHOLDS, WINDOW).cast(f"array<{SPAN}>")))
+    found = df.withColumn("_spans", spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -162,9 +164,9 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame
         longer = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
         return F.when(s["start"] >= a["at"], fresh).otherwise(longer)
 
-    folded = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    clean = F.when(F.size("spans") > 0, folded).otherwise(text)
-    return found.withColumn("_clean", clean).drop("spans", "base_spans").withColumn(text_col, F.col("_clean")).drop("_clean")
+    folded = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    clean = F.when(F.size("_spans") > 0, folded).otherwise(text)
+    return found.withColumn("_clean", clean).select(*(F.col("_clean").alias(c) if c == text_col else F.col(c) for c in df.columns))
 
 
 def _sql_spans(text: str, pattern: str, order: str, keep: str = "true", low: str = "s", high: str = "s + length(h)") -> str:
