@@ -219,7 +219,8 @@ def later_windows(found: DataFrame) -> DataFrame:
     """(doc_id, start) of the windows that an earlier one equals."""
     place = [F.col("doc_id"), F.col("start")]
     local = found.withColumn("r", F.rank().over(W.partitionBy("h", "c", "part").orderBy(*place)))
-    firsts = local.where("part > 0 and r = 1").withColumn("r", F.rank().over(W.partitionBy("h", "c").orderBy(*place)))
+    # both conditions read r: neither moves below the window, so its exchange is used for both branches
+    firsts = local.where("r * part = part and r * part > 0").withColumn("r", F.rank().over(W.partitionBy("h", "c").orderBy(*place)))
     return local.where("r > 1").select("doc_id", "start").union(firsts.where("r > 1").select("doc_id", "start"))
 
 
