@@ -181,10 +181,20 @@ class FingerprintIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.fanout, self.hot = fanout, hot
         self.runs: list[DataFrame] = []
+        self.names: list[str] = []
+
+    def drop(self) -> None:
+        """Forget the index: its tables and their files."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.runs, self.names = [], []
 
     def written(self, rows: DataFrame) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
         rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
     def compact(self) -> None:
@@ -241,6 +251,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
         marked = later_windows(windows(again)).where(fresh).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
         marked = materialise(marked, "marked")
         starts = marked if starts is None else starts.union(marked)
+    index.drop()  # all that it said is written down
     changed = stripped(base.join(starts, "doc_id"))
     same = known.join(starts.select("doc_id"), "doc_id", "left_anti")
     digest = F.sha2("kept", 256)
