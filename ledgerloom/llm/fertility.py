@@ -39,10 +39,10 @@ REMEMBERED = 300_000
 #: Bands per language or script: least and most characters per token, most byte-fallback share, least entropy (bits)
 #: as a share of the most that so many tokens can have.
 BANDS = {
-    "en": (1.6, 7.0, 0.02, 0.55),
-    "de": (1.6, 7.0, 0.05, 0.55),
-    "fr": (1.5, 7.0, 0.05, 0.55),
-    "es": (1.5, 7.0, 0.05, 0.55),
+    "en": (1.6, 7.0, 0.02, 0.70),
+    "de": (1.6, 7.0, 0.05, 0.70),
+    "fr": (1.5, 7.0, 0.05, 0.70),
+    "es": (1.5, 7.0, 0.05, 0.70),
     "latin": (1.3, 8.0, 0.10, 0.50),
     "other": (0.3, 8.0, 0.60, 0.40),
 }
