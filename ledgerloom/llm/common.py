@@ -89,6 +89,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = 4 << 2
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers are kept for later tasks
 
 
 def list_array(values: np.ndarray, lengths, kind: pa.DataType) -> pa.Array:

@@ -36,7 +36,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-5
 THRESHOLD = 0.3
 HELD_OUT = 0
 NO_MODEL = 1.0
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+SLICE_BYTES = 1 << 20  # of text at a time; the arrays of features take about forty times as much
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
 
     def sparse(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             at, index, value = features(text_bytes(batch.column("text")))
             cuts = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (index.astype(np.int32), value.astype(np.float32))]
@@ -164,7 +165,7 @@ def predict(df: DataFrame, weights: np.ndarray | None, text_col: str = "text") -
 
     def run(batches):
         w = shared.value
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, SLICE_BYTES):
             at, index, value = features(text_bytes(batch.column(text_col)))
             total = np.bincount(at, w[index] * value, minlength=batch.num_rows) + w[-1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())], [*names, "score"])
