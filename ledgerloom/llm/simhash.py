@@ -12,11 +12,16 @@ pair. Keys held by more than ``CROWD`` fingerprints aren't: each of their finger
 neighbours one bit away; those that name the same word differ in 2 bits at most by construction, there are 65 of them
 at most, and linking each to the smallest links all. So no crowd makes pairs, and none is cut off.
 
-*Similar documents.* Two bits of 64 hold only copies with a word or two changed. ``similar_components`` finds documents
-whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: each document names a few passages (12 words
-around its least shingle hashes, so that similar documents mostly name the same ones), passages get fingerprints, and
-the same Golay keys bring together documents with equal passages and about equal length. Every document is verified
-against the smallest id under each of its keys, on whole shingle sets; so a crowd makes one pair per document and key.
+*Similar documents.* Two bits of 64 hold only copies with a word or two changed. ``similar_components`` finds all
+documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Of two such sets in one common
+order, the first n - ceil(0.8 n) + 1 shingles of each have one in common, so these are the keys (prefix filter):
+whatever the order, no pair that similar is without a shared key. All nodes under a key are paired, if their lengths
+allow it, and verified on whole shingle sets. Nodes are distinct texts, so exact copies cost one.
+
+The order is by value, but shingles that a part of the texts has often come last, so that lines which many have in
+common are seldom keys. Where more than ``CROWD_KEYS`` hold a key all the same (many near copies), a head is verified
+against all under its key that aren't in its component yet, then leaves it; after ``ROUNDS`` rounds all pairs across
+components that are left are verified. So no pair is skipped unless its two are linked already.
 
 Components: rounds of large-star and small-star steps over the links, each written to the shared folder; every node
 ends up with the smallest id that it can reach. Joins on a node's id spread heavy nodes over ``SALTS`` parts.
@@ -49,8 +54,10 @@ CROWD = 64
 SALTS = 8
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-PASSAGES = 6
-PASSAGE_WORDS = 12
+CROWD_KEYS = 32
+ROUNDS = 1
+COMMON = 100_000
+COMMON_PART = 16
 GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -112,13 +119,13 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ error[syndrome]) >> 11
 
 
-def keys(fp: np.ndarray, fuzzy: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for each key of each fingerprint; fp: unsigned. Without ``fuzzy`` a segment has its own codeword only."""
+def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for each key of each fingerprint; fp: unsigned."""
     segment = [(fp >> np.uint64(s) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in SEGMENTS]
     rows, found = [], []
     for i in range(3):
         j = (i + 1) % 3
-        flips = np.array([0, *(1 << b for b in range(SEGMENTS[j][1] if fuzzy else 0))], np.int64)
+        flips = np.array([0, *(1 << b for b in range(SEGMENTS[j][1]))], np.int64)
         index = np.sort(codeword_index(segment[j][:, None] ^ flips[None, :]), axis=1)
         new = np.ones(index.shape, bool)
         new[:, 1:] = index[:, 1:] != index[:, :-1]
@@ -217,73 +224,130 @@ def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     return rolled(np.fromiter((known[w] for w in words), np.uint64, len(words)), shingle, P1)
 
 
-def passages(text: bytes, n: int = PASSAGES, reach: int = PASSAGE_WORDS) -> tuple[int, list[int]]:
-    """The number of different shingles, and fingerprints of the passages around those with the least hashes."""
-    hashes = shingle_hashes(text)
-    if not len(hashes):
-        return 0, []
-    words = text.lower().split()
-    value, first = np.unique(hashes, return_index=True)
-    around = {fingerprint(b" ".join(words[i : i + reach])) for i in first[:n].tolist()}
-    return len(value), sorted(around)
+def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and a weight of each, from a part of the texts. They only set an order."""
+    some = nodes.where(F.pmod(F.xxhash64("text_id"), F.lit(COMMON_PART)) == 0)
+    counts = _shingle_keys(some).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").orderBy(F.desc("held"), "key").limit(COMMON)
+    found = counts.toPandas()
+    key, weight = found["key"].to_numpy(np.int64).view(np.uint64), found["held"].to_numpy(np.int64)
+    order = np.argsort(key)
+    return key[order], weight[order]
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n different hashes, by weight (none: 0), then by value."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    taken = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
+    if not len(common):
+        return np.sort(hashes)[:taken]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, weight[at], 0)))[:taken]]
 
 
-def _passage_keys(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text): (key, band, doc_id, n). Lengths that differ by less than the similarity allows share a band."""
-    step = -np.log(SIMILARITY)
+def _shingle_keys(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Of (node, text): (key, node, n), the shingles of the prefix in an order, or all of them; n counts all."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            found = [passages(t) for t in text_bytes(batch.column("text"))]
-            row = np.repeat(np.arange(batch.num_rows), [len(f) for _, f in found])
-            at, key = keys(np.array([x for _, f in found for x in f], np.uint64), fuzzy=False)
-            row = row[at]
-            n = np.array([k for k, _ in found], np.int64)[row]
-            band = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int32)
-            ids = batch.column("doc_id")
-            for shift in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(band + shift, pa.int32()), ids.take(pa.array(row)), pa.array(n)], ["key", "band", "doc_id", "n"])
+        for batch in slices(batches, "text", 1 << 20):
+            found = [np.unique(shingle_hashes(t)) for t in text_bytes(batch.column("text"))]
+            n = np.array([len(x) for x in found], np.int64)
+            found = found if order is None else [prefix(x, *order) for x in found]
+            taken = np.array([len(x) for x in found], np.int64)
+            node = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), taken)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), node, pa.array(np.repeat(n, taken))], ["key", "node", "n"])
+
+    return nodes.select("node", "text").mapInArrow(run, "key long, node long, n long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, band int, doc_id long, n long")
+def _shared(keyed: DataFrame, label: str) -> DataFrame:
+    """The rows whose key others hold too, with the number of holders; both sides are dealt anew, so Spark splits a hot key."""
+    held = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), f"{label}-held")
+    shared = materialise(keyed.join(held, "key"), label)
+    drop_files(held)
+    return shared
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """Of (u, v, a, b), ids and texts, those whose shingle sets are similar enough."""
+def _long_enough(n: F.Column, m: F.Column) -> F.Column:
+    return (n >= F.lit(SIMILARITY) * m - F.lit(1e-9)) & (m >= F.lit(SIMILARITY) * n - F.lit(1e-9))
+
+
+def _key_pairs(held: DataFrame) -> DataFrame:
+    """All pairs (u, v) of the nodes under each key of (key, node, n, c) whose lengths allow it and whose c differ."""
+    a, b = held.select("key", "node", "n", "c"), held.select("key", "node", "n", "c").toDF("key", "node2", "n2", "c2")
+    both = a.join(b, (a["key"] == b["key"]) & (a["node"] > b["node2"]) & (a["c"] != b["c2"]) & _long_enough(F.col("n"), F.col("n2")))
+    return both.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of (u, v) those whose shingle sets are similar enough."""
+    pairs = materialise(pairs, "similar-pairs")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    some = materialise(nodes.select("node", "text").join(wanted, "node", "left_semi"), "similar-texts")
+    left = pairs.join(some.toDF("u", "a"), "u")
+    full = left.join(some.toDF("v", "b"), "v")
 
     def run(batches):
+        last, y = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 good = []
                 for a, b in zip(text_bytes(part.column("a")), text_bytes(part.column("b"))):
-                    x, y = np.unique(shingle_hashes(a)), np.unique(shingle_hashes(b))
+                    if b != last:
+                        last, y = b, np.unique(shingle_hashes(b))
+                    x = np.unique(shingle_hashes(a))
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
                 chosen = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("u").filter(chosen), part.column("v").filter(chosen)], ["u", "v"])
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    edges = materialise(full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-edges")
+    drop_files(pairs)
+    drop_files(some)
+    return edges
+
+
+def _reach(rest: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
+    """(u, v) of ``star_components``, of the edges and of more for the crowded keys of (key, node, n), until none has an
+    unverified pair across components."""
+    for i in range(rounds + 1):
+        reach = star_components(edges)
+        group = rest.join(reach.toDF("node", "c"), "node", "left").select("key", "node", "n", F.coalesce("c", "node").alias("c"))
+        group = materialise(group, "crowd-components")
+        by = F.xxhash64("node")  # the same order under each key
+        head = F.min_by(F.struct("node", "n", "c"), by).alias("head")
+        some = group.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), head).where("lo <> hi")
+        some = materialise(group.join(materialise(some.select("key", "head"), "crowd-open"), "key"), "crowd-group")
+        drop_files(group)
+        if some.isEmpty():
+            return reach
+        if i == rounds:
+            return star_components(edges.union(_verified(_key_pairs(some), nodes)))
+        apart = (F.col("c") != F.col("head.c")) & _long_enough(F.col("n"), F.col("head.n"))
+        pairs = some.where(apart).select(F.greatest("node", "head.node").alias("u"), F.least("node", "head.node").alias("v")).distinct()
+        edges = materialise(edges.union(_verified(pairs, nodes)), "similar-edges")
+        rest = materialise(some.where("node <> head.node").select("key", "node", "n"), "crowd-rest")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD_KEYS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, component_id) of the documents that are similar to one with a smaller id, directly or by others."""
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    text_id = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    texts = materialise(base.select("doc_id", text_id.alias("text_id")), "text-ids")
-    first = materialise(texts.groupBy("text_id").agg(F.min("doc_id").alias("node")), "text-nodes")
-    same = texts.join(first, "text_id").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    keyed = materialise(_passage_keys(base), "passage-keys")
-    least = materialise(keyed.groupBy("key", "band").agg(F.min("doc_id").alias("v"), F.min_by("n", "doc_id").alias("m")), "passage-least")
-    long_enough = (F.col("n") >= SIMILARITY * F.col("m")) & (F.col("m") >= SIMILARITY * F.col("n"))
-    found = keyed.join(least, ["key", "band"]).where((F.col("doc_id") != F.col("v")) & long_enough).select(F.col("doc_id").alias("u"), "v").distinct()
-    # copies are linked already; only the first of each text is compared
-    found = materialise(found.join(same.select("u"), "u", "left_anti"), "passage-pairs")
-    wanted = found.select(F.col("u").alias("doc_id")).union(found.select(F.col("v").alias("doc_id"))).distinct()
-    some = materialise(base.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "passage-texts")
-    left = found.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-    pairs = left.join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    edges = _verified(pairs).union(same).distinct()
-    return star_components(edges).select(F.col("u").alias("doc_id"), F.col("v").alias("component_id"))
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = base.withColumn("text_id", F.sha2(F.col("text").cast("binary"), 256))
+    texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
+    nodes = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
+    keyed = materialise(_shingle_keys(nodes, _common(nodes)), "shingle-keys")
+    shared = _shared(keyed, "shingle-shared")
+    drop_files(keyed)
+    edges = _verified(_key_pairs(shared.where(F.col("held") <= crowd).withColumn("c", F.col("node"))), nodes)
+    reach = _reach(shared.where(F.col("held") > crowd).select("key", "node", "n"), edges, nodes, rounds)
+    named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    named = materialise(named, "similar-named")
+    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
+    named = materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
+    found = base.select("doc_id", "text_id").join(named, "text_id").where("doc_id <> component_id")
+    return found.select("doc_id", "component_id").distinct()
 
 
 def keep_similar_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

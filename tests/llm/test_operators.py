@@ -313,6 +313,36 @@ def test_similar(spark):
     assert simhash.similar_components(docs(spark).limit(0)).collect() == []
 
 
+def shared_passages(rng):
+    """Unlike documents around shared passages, of which some have copies; the original mostly has the larger id. And chains."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [[word() for _ in range(60)] for _ in range(3)]
+    rows = []
+    for base in range(30):
+        own = [word() for _ in range(rng.choice([20, 60]))]
+        words = [*shared[base % 3], *own]
+        rows.append((2000 - base * 10, " ".join(words)))
+        for copy in range(1, rng.randint(1, 4)):
+            w = list(words)
+            w[rng.randrange(len(w))] = word()
+            rows.append((2000 - base * 10 - copy if base % 4 else 2000 + base * 10 + copy, " ".join(w)))
+    chain = [word() for _ in range(100)]
+    for i in range(8):
+        rows.append((5000 - i if i % 2 else 4000 + i, " ".join(chain)))
+        at = i * 12
+        chain[at : at + 2] = [word(), word()]
+    return rows
+
+
+@pytest.mark.parametrize("how", [{}, {"crowd": 3}, {"crowd": 3, "rounds": 0}])
+def test_similar_under_shared_keys(spark, how):
+    rows = shared_passages(random.Random(3))
+    want = brute_similar(dict(rows))
+    assert 30 < len(set(want.values())) < len(rows)
+    reach = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs(spark, rows), **how).collect()}
+    assert {i: reach.get(i, i) for i, _ in rows} == want
+
+
 # 7
 
 
