@@ -331,10 +331,17 @@ def _reach(rest: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int) ->
         rest = materialise(some.where("node <> head.node").select("key", "node", "n"), "crowd-rest")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD_KEYS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, component_id) of the documents that are similar to one with a smaller id, directly or by others."""
+def _text_id(text: F.Column) -> F.Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _with_text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("text_id", F.sha2(F.col("text").cast("binary"), 256))
+    return base.withColumn("text_id", _text_id(F.col("text")))
+
+
+def _similar_texts(base: DataFrame, crowd: int = CROWD_KEYS, rounds: int = ROUNDS) -> DataFrame:
+    """(text_id, component_id) of (doc_id, text, text_id): the smallest doc_id of the texts that each text reaches."""
     texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
     nodes = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
     keyed = materialise(_shingle_keys(nodes, _common(nodes)), "shingle-keys")
@@ -345,13 +352,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = materialise(named, "similar-named")
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    named = materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
+    return materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD_KEYS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, component_id) of the documents that are similar to one with a smaller id, directly or by others."""
+    base = _with_text_id(docs, id_col, text_col)
+    named = _similar_texts(base, crowd, rounds)
     found = base.select("doc_id", "text_id").join(named, "text_id").where("doc_id <> component_id")
     return found.select("doc_id", "component_id").distinct()
 
 
 def keep_similar_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of similar ones stays, that of the smallest id; columns as they are. Documents without
-    an id stay."""
-    gone = similar_components(docs, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(materialise(gone, "similar-gone"), id_col, "left_anti").select(*docs.columns)
+    an id stay. A row goes only if its own text is a copy, whatever other rows of its id hold."""
+    base = _with_text_id(docs, id_col, text_col)
+    gone = base.join(_similar_texts(base), "text_id").where("doc_id <> component_id").select("doc_id", "text_id").distinct()
+    gone = materialise(gone, "similar-gone").toDF("_gone_id", "_gone_text")
+    same = (docs[id_col].cast("long") == gone["_gone_id"]) & (_text_id(docs[text_col]) == gone["_gone_text"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -343,6 +343,14 @@ def test_similar_under_shared_keys(spark, how):
     assert {i: reach.get(i, i) for i, _ in rows} == want
 
 
+def test_similar_repeated_ids(spark):
+    clean = " ".join(f"clean{i}" for i in range(40))
+    copied = " ".join(f"copy{i}" for i in range(40))
+    rows = [(7, clean), (7, copied + " end"), (3, copied), (9, clean)]
+    kept = simhash.keep_similar_first(docs(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, copied), (7, clean)]
+
+
 # 7
 
 
