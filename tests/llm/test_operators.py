@@ -351,6 +351,20 @@ def test_similar_repeated_ids(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, copied), (7, clean)]
 
 
+def test_similar_prefix_is_complete():
+    rng = np.random.default_rng(4)
+    common = np.unique(rng.integers(0, 1 << 63, 40, np.uint64))
+    weight = rng.integers(2, 9, len(common))
+    for _ in range(2000):
+        n = int(rng.integers(1, 120))
+        both = np.concatenate([rng.choice(common, min(n // 2, 40), replace=False), rng.integers(0, 1 << 63, n - min(n // 2, 40), np.uint64)])
+        extra = rng.integers(0, 1 << 63, n // 4, np.uint64)
+        cut = int(rng.integers(0, len(extra) + 1))
+        x, y = np.unique(np.concatenate([both, extra[:cut]])), np.unique(np.concatenate([both, extra[cut:]]))
+        for order in ((common, weight), (common[:0], weight[:0])):
+            assert len(np.intersect1d(simhash.prefix(x, *order), simhash.prefix(y, *order)))
+
+
 # 7
 
 
