@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words, in every contract of this subpackage: blank, tab, line feed, VT, FF, CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -30,12 +30,10 @@ def tokenizer_file(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base if "://" in base else "file://" + os.path.abspath(base)
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Where that is unset, a folder below the
+    warehouse, which is shared, too; never a machine's own temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return base if ":/" in base else "file://" + os.path.abspath(base)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -50,13 +48,48 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_files(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialise`` once nothing reads it any more."""
-    spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/ledgerloom/" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(df.sparkSession, name)
+
+
+class Scratch:
+    """Tables of one operator's run: ``save`` writes one, ``drop`` deletes them all once their answers are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def save(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+        path = fresh_path(self.spark, label)
+        self.paths.append(path)
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths = []
+
+    def finish(self, df: DataFrame, label: str) -> DataFrame:
+        """The result, written; the tables that it was made from go."""
+        out = materialise(df, label)
+        self.drop()
+        return out
+
+
+def integer_id(df: DataFrame, id_col: str) -> Column:
+    """The id as a long; ids of other types than integers are refused, as the results carry integers."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"ids have to be integers, {id_col} is {kind.simpleString()}")
+    return F.col(id_col).cast("long")
 
 
 def total_bytes(df: DataFrame, text_col: str) -> int:
@@ -70,8 +103,16 @@ def split_of(id_col: str, modulus: int = 5) -> Column:
 
 
 def replace_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The input without columns that an operator is about to add: its own outputs win over clashing names."""
-    return df.drop(*[c for c in df.columns if c in names])
+    """The input without columns that an operator is about to add, in whatever case they are written: its own outputs win."""
+    return df.drop(*names)  # Spark's own comparison of names, which may ignore case
+
+
+def free_name(columns, name: str) -> str:
+    """A name like the given one that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

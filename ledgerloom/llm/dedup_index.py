@@ -1,65 +1,85 @@
 """Substring dedup with a log-structured fingerprint index.
 
-A window is 20 consecutive words of one document. Its fingerprint in the index is the least hash among its 5-word grams
-(the leftmost, where several are least): equal windows have equal fingerprints, and neighbouring windows mostly share
-theirs, so the index holds about an eighth of all windows.
-
-*Runs.* A batch of documents becomes one immutable run: (fingerprint, doc_id), bucketed and sorted by fingerprint. A new
-run is merge-joined with each older run, bucket by bucket, without a shuffle. When ``FANOUT`` runs have gathered, they
-are merged into one (compaction). Batches come in ascending order of doc_id; a run of a later batch never changes what
-was said about an earlier one.
-
-*Verification.* Only fingerprints that occur again, within the batch or in an older run, are looked at: the documents
-that hold them, old and new, are read again, and their windows are compared by 96 bits of hash over all 20 words. Of
-equal windows the first by (doc_id, start) stays, all others mark their words. Windows of fingerprints that very many
-documents hold are first ranked within ``SALTS`` parts, then the parts' firsts among each other, so a passage that a
-third of all documents share doesn't end in one task.
-
-Defined cases: a null or empty text has no words; texts of under 20 words lose none; a null doc_id comes before all
-others, and rows without one are told apart by nothing; rows with equal doc_id and start are the same place, so
-repeated rows lose the same words and none to each other; an empty table gives an empty table; other columns are ignored.
+A window is 20 consecutive words of one document. Its fingerprint is the least hash among its 5-word grams (the
+leftmost, where several are least): equal windows have equal fingerprints, and neighbouring windows mostly share theirs.
+Windows of one document that share the place of their fingerprint form a *stretch*, of 16 windows at most; a text has
+about a seventh as many stretches as words.
+
+*Log.* The texts of a batch are written once, in files that never change. Everything later goes by file and row, so
+neither the input nor texts that nothing points to are read again, and no text is ever shuffled.
+
+*Runs.* A batch gives one immutable run, bucketed and sorted by fingerprint: (fingerprint, digest of the stretch's window
+hashes, doc_id, start, file, row). Older runs are merge-joined with it by fingerprint, bucket by bucket. When ``fanout``
+runs of a level have gathered they are merged into one of the next level, and their files go. A manifest, of which each
+version is a new file, says what counts; ``FingerprintIndex(spark, path)`` opens an index again in another job.
+
+*Verification.* Stretches with equal digests are settled by their places alone. Only stretches that share a fingerprint
+with a *different* stretch are looked at window by window: their words, of the new batch and of the old ones, are read
+from the log at the places that the run names, and windows are compared by a hash over all 20 words whose word hashes
+have another seed than the fingerprint's. Of equal windows the first stays, the others mark their words.
+
+*Hot keys.* A file's stretches are settled among each other before they are shuffled, and so are its windows, so a
+passage of a third of all documents costs a row per slice of a file. A line of under 20 words in many documents makes as
+many different stretches under one fingerprint; its bucket is sorted with spilling, its windows are dealt by their own
+hashes.
+
+What lies in older batches counts as earlier. ``dedup`` adds a table in batches of ascending doc_id, so earlier means
+a smaller doc_id, or an earlier start in the same document.
+
+Defined cases: a null or empty text has no words; texts of under 20 words lose none; a text of any length is one row of
+the log and is read in one piece; ids are integers (others are refused with a ValueError); a null doc_id comes before
+all others, at the place of the least long; rows with equal doc_id and start are the same place, so repeated rows (and a
+batch added twice) lose the same words and none to each other; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, slices, text_bytes
+from .common import Scratch, delete_path, fresh_path, integer_id, materialise, slices, text_bytes
 
 WINDOW = 20
 GRAM = 5
 BATCHES = 2
-FANOUT = 2
-#: A fingerprint in more documents than this is spread over so many parts.
-HOT = 500
-SALTS = 64
+FANOUT = 4
+#: Stretches, and windows, that a task settles among each other at a time.
+SETTLED_TOGETHER = 1 << 19
+ROW_GROUP = 16 << 20
 NO_ID = -(1 << 63)
+SEED_GRAM, SEED_WINDOW = 0, 1
 P1, P2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
+RUN = "fp long, sd long, doc_id long, start int, n int, file int, row int, settled boolean"
+MARK = ("file", "row", "start", "n")
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX
     return x ^ (x >> np.uint64(29))
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Hash and document of every word of a batch, in order, and the words."""
+def hashed_words(texts: list[bytes], *seeds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of every word of a batch, in order: its hash for each seed, and its document."""
     split = [t.split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
     number: dict[bytes, int] = {}
     flat = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(split)), np.int64, int(counts.sum()))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in number), np.uint64, len(number))
-    return hashes[flat] if len(flat) else hashes, np.repeat(np.arange(len(texts)), counts), split
+    return [np.fromiter((digest(w, s) for w in number), np.uint64, len(number))[flat] for s in seeds], np.repeat(np.arange(len(texts)), counts)
 
 
 def rolled(h: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
@@ -88,177 +108,327 @@ def fingerprints(h: np.ndarray, doc: np.ndarray, window: int = WINDOW, gram: int
     return start, least[start], place[start]
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text): n_words, digest of all words, and the document's fingerprints, those on two places or more twice."""
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            h, doc, split = hashed_words(text_bytes(batch.column("text")))
-            _, _, place = fingerprints(h, doc)
-            place = np.unique(place)
-            value = rolled(h, GRAM, P1)[place] if len(place) else np.zeros(0, np.uint64)
-            order = np.lexsort((value, doc[place])) if len(place) else np.zeros(0, np.int64)
-            value, owner = value[order], doc[place][order] if len(place) else np.zeros(0, np.int64)
-            third = np.zeros(len(value), bool)
-            third[2:] = (value[2:] == value[:-2]) & (owner[2:] == owner[:-2])
-            value, owner = value[~third], owner[~third]
-            cuts = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(list(map(len, split)), pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in split]),
-                    pa.ListArray.from_arrays(cuts, pa.array(value.view(np.int64))),
-                ],
-                ["doc_id", "n_words", "sha256", "prints"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha256 string, prints array<long>")
-
-
-def windows(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text, prints, hot): the windows of the listed fingerprints with both hashes; part is 0 unless hot."""
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            h, doc, _ = hashed_words(text_bytes(batch.column("text")))
-            start, value, _ = fingerprints(h, doc)
-            own = _mixed(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(1))
-
-            def within(column: str, start=start, value=value, own=own, doc=doc, batch=batch) -> np.ndarray:
-                lists = batch.column(column)
-                sizes = np.diff(lists.offsets.to_numpy())
-                listed = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                return np.isin(value ^ own[doc[start]], listed ^ np.repeat(own, sizes))
-
-            some, hot = within("prints"), within("hot")
-            start, hot = start[some], hot[some]
-            ids = batch.column("doc_id").to_numpy()
-            first = np.searchsorted(doc, np.arange(batch.num_rows))
-            owner = doc[start]
-            part = np.where(hot, _mixed(ids[owner].view(np.uint64)).astype(np.int64) % SALTS + 1, 0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rolled(h, WINDOW, P1)[start].view(np.int64)),
-                    pa.array((rolled(h, WINDOW, P2)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(part.astype(np.int32)),
-                    pa.array(ids[owner]),
-                    pa.array((start - first[owner]).astype(np.int32)),
-                ],
-                ["h", "c", "part", "doc_id", "start"],
-            )
-
-    return docs.select("doc_id", "text", "prints", "hot").mapInArrow(run, "h long, c int, part int, doc_id long, start int")
-
-
-def stripped(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text, starts): the words that no marked window covers."""
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            texts, removed, total = [], [], []
-            for text, starts in zip(text_bytes(batch.column("text")), batch.column("starts")):
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(fp, sd, document, start in it, number of windows) of a batch of texts."""
+    (a, b), doc = hashed_words(texts, SEED_GRAM, SEED_WINDOW)
+    start, value, place = fingerprints(a, doc)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    new = np.ones(len(start), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[start[1:]] != doc[start[:-1]])
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(start)))
+    # the place of the gram gives each window its place in the stretch, so a sum says all
+    sd = _mixed(np.add.reduceat(rolled(b, WINDOW, P2)[start], head) + n.astype(np.uint64))
+    owner = doc[start[head]]
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    return value[head].view(np.int64), sd.view(np.int64), owner, (start[head] - first[owner]).astype(np.int32), n.astype(np.int32)
+
+
+def _leading(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys and place, and for each row in it whether no row of its keys has a smaller place."""
+    order = np.lexsort([*reversed(place), *reversed(keys)])
+    same_key, same_place = np.ones((2, max(0, len(order) - 1)), bool)
+    for k in keys:
+        same_key &= k[order][1:] == k[order][:-1]
+    for p in place:
+        same_place &= p[order][1:] == p[order][:-1]
+    group = np.cumsum(np.append(True, ~same_key)) if len(order) else np.zeros(0, np.int64)
+    step = np.cumsum(np.append(True, ~(same_key & same_place))) if len(order) else group
+    return order, step == step[np.searchsorted(group, group)] if len(order) else np.zeros(0, bool)
+
+
+def _read(path: str, wanted: np.ndarray | None = None) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number of its first row, rows) of a file of the log, some at a time; row groups without a wanted row are left out."""
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as f:
+        file, at = pq.ParquetFile(f), 0
+        for g in range(file.num_row_groups):
+            end = at + file.metadata.row_group(g).num_rows
+            if wanted is None or np.diff(np.searchsorted(wanted, [at, end]))[0]:
+                here = at
+                for batch in file.iter_batches(256, row_groups=[g], columns=["doc_id", "text"]):
+                    for part in slices([batch], "text"):
+                        yield here, part
+                        here += part.num_rows
+            at = end
+
+
+def _by_file(batches) -> Iterator[tuple[int, str, pa.Table]]:
+    """(file, its path, its rows) of rows sorted by file and row; a file's first row has row -1 and its path."""
+    held: list[pa.RecordBatch] = []
+
+    def whole():
+        table = pa.Table.from_batches(held)
+        return table.column("file")[0].as_py(), table.column("path")[0].as_py(), table.slice(1)
+
+    for batch in batches:
+        file = batch.column("file").to_numpy()
+        cuts = [0, *np.flatnonzero(batch.column("row").to_numpy() < 0).tolist(), len(file)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and batch.column("row")[a].as_py() < 0:
+                    yield whole()
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _keys(batches) -> Iterator[pa.RecordBatch]:
+    """Of (file, path): the rows of a run; what a slice settles within itself comes as spans of windows."""
+    names = [c.split()[0] for c in RUN.split(", ")]
+
+    def settled(parts, file):
+        fp, sd, doc_id, row, start, n = (np.concatenate(x) for x in zip(*parts))
+        order, leads = _leading([fp, sd], [doc_id, start])
+        some, rest = order[leads], order[~leads]
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (fp, sd, doc_id, start, n)] + [pa.array(np.full(len(some), file, np.int32)), pa.array(row[some]), pa.array(np.zeros(len(some), bool))], names)
+        if not len(rest):
+            return
+        rest = rest[np.lexsort((start[rest], row[rest]))]
+        row, start, n, doc_id = row[rest], start[rest], n[rest], doc_id[rest]
+        new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + n[:-1]))
+        head = np.flatnonzero(new)
+        total = np.add.reduceat(n, head).astype(np.int32)
+        spread = _mixed(row[head].astype(np.uint64) + np.uint64(file + 1 << 32)).view(np.int64)  # spans have no key of their own
+        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(spread), pa.array(doc_id[head]), pa.array(start[head]), pa.array(total), pa.array(np.full(len(head), file, np.int32)), pa.array(row[head]), pa.array(np.ones(len(head), bool))], names)
+
+    for batch in batches:
+        for file, path in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist()):
+            parts, count = [], 0
+            for at, rows in _read(path):
+                fp, sd, owner, start, n = stretches(text_bytes(rows.column("text")))
+                ids = rows.column("doc_id").fill_null(NO_ID).to_numpy()
+                parts.append((fp, sd, ids[owner], (owner + at).astype(np.int32), start, n))
+                count += len(fp)
+                if count >= SETTLED_TOGETHER:
+                    yield from settled(parts, file)
+                    parts, count = [], 0
+            if parts:
+                yield from settled(parts, file)
+
+
+WINDOWS = "fp long, h long, is_new boolean, doc_id long, start int, file int, row int, settled boolean"
+
+
+def _windows(batches) -> Iterator[pa.RecordBatch]:
+    """Of stretches by file: their windows, each with a hash over its words; what a file settles within itself is so marked."""
+    names = [c.split()[0] for c in WINDOWS.split(", ")]
+    digest = xxhash.xxh64_intdigest
+
+    def settled(parts, file):
+        fp, h, is_new, doc_id, start, row = (np.concatenate(x) for x in zip(*parts))
+        order, leads = _leading([fp, h], [is_new, doc_id, start])
+        some = order[leads | is_new[order]]
+        done = ~leads[leads | is_new[order]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (fp, h, is_new, doc_id, start)] + [pa.array(np.full(len(some), file, np.int32)), pa.array(row[some]), pa.array(done)], names)
+
+    for file, path, table in _by_file(batches):
+        fp, is_new, doc_id, row, start, n = (table.column(c).to_numpy() for c in ("fp", "is_new", "doc_id", "row", "start", "n"))
+        parts, count = [], 0
+        for at, rows in _read(path, row):
+            texts = rows.column("text")
+            a, b = np.searchsorted(row, [at, at + rows.num_rows])
+            last, words = -1, []
+            for k in range(a, b):
+                if row[k] != last:
+                    last = int(row[k])
+                    words = texts[last - at].as_buffer().to_pybytes().split()
+                some = words[start[k] : start[k] + n[k] + WINDOW - 1]
+                h = rolled(np.fromiter((digest(w, SEED_WINDOW) for w in some), np.uint64, len(some)), WINDOW, P2).view(np.int64)
+                m = len(h)
+                parts.append((np.full(m, fp[k]), h, np.full(m, is_new[k]), np.full(m, doc_id[k]), start[k] + np.arange(m, dtype=np.int32), np.full(m, row[k])))
+                count += m
+                if count >= SETTLED_TOGETHER:
+                    yield from settled(parts, file)
+                    parts, count = [], 0
+        if parts:
+            yield from settled(parts, file)
+
+
+def _stripped(batches) -> Iterator[pa.RecordBatch]:
+    """Of marks by file: every document of the file without the words that its marks cover."""
+    for _, path, table in _by_file(batches):
+        row, start, n = (table.column(c).to_numpy() for c in ("row", "start", "n"))
+        for at, rows in _read(path):
+            cuts = np.searchsorted(row, np.arange(at, at + rows.num_rows + 1))
+            total, removed, kept, digest = [], [], [], []
+            for k, text in enumerate(text_bytes(rows.column("text"))):
                 words = text.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                at = starts.values.to_numpy()
-                at = at[at <= len(words) - WINDOW]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + WINDOW, -1)
-                stays = np.cumsum(edge[:-1]) == 0
-                texts.append(b" ".join([w for w, s in zip(words, stays.tolist()) if s]))
-                removed.append(len(words) - int(stays.sum()))
+                a, b = cuts[k], cuts[k + 1]
+                if a < b:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, start[a:b], 1)
+                    np.add.at(edge, start[a:b] + n[a:b] + (WINDOW - 1), -1)
+                    stays = np.cumsum(edge[:-1]) == 0
+                    left = b" ".join([w for w, s in zip(words, stays.tolist()) if s])
+                    removed.append(len(words) - int(stays.sum()))
+                    kept.append(left)
+                else:
+                    left = b" ".join(words)
+                    removed.append(0)
+                    kept.append(None)
                 total.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return docs.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+                digest.append(hashlib.sha256(left).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 class FingerprintIndex:
-    """Sorted, immutable runs of (hash, doc_id, n) in a folder that all machines share."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT, hot: int = HOT):
-        self.spark, self.path = spark, path or fresh_path(spark, "fingerprints")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.fanout, self.hot = fanout, hot
-        self.runs: list[DataFrame] = []
-        self.names: list[str] = []
-
-    def drop(self) -> None:
-        """Forget the index: its tables and their files."""
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.runs, self.names = [], []
-
-    def written(self, rows: DataFrame) -> DataFrame:
+    """Runs of stretches and the log of texts below a folder that all machines share. One writer."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path or fresh_path(spark, "fingerprints"), fanout
+        state, self.version = self._manifest()
+        self.buckets = state["buckets"] if state else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[dict] = state["runs"] if state else []  # of name and level
+        self.logs: list[dict] = state["logs"] if state else []  # of path and the number of the first file
+
+    # the manifest
+
+    def _at(self, *names: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _manifest(self) -> tuple[dict | None, int]:
+        store, folder = self._at("manifest")
+        if not store.exists(folder):
+            return None, 0
+        last = max(s.getPath().getName() for s in store.listStatus(folder))
+        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/manifest/{last}").collect())
+        return json.loads(text), int(last.partition(".")[0])
+
+    def _commit(self, runs: list[dict], logs: list[dict]) -> None:
+        """A new version of the manifest; two writers can't make the same one."""
+        store, path = self._at("manifest", f"{self.version + 1:08d}.json")
+        out = store.create(path, False)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": runs, "logs": logs}).encode()))
+        out.close()
+        self.runs, self.logs, self.version = runs, logs, self.version + 1
+
+    # runs
+
+    def _written(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
-        self.names.append(name)
+        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp", "sd").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({RUN.replace(' long', ' bigint')}) USING parquet CLUSTERED BY (fp) SORTED BY (fp, sd) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return self.spark.table(name)
 
-    def compact(self) -> None:
-        """Merge all runs into one; readers of the old ones aren't disturbed, as files are never changed."""
-        if len(self.runs) > 1:
-            merged = self.runs[0]
-            for run in self.runs[1:]:
-                merged = merged.union(run)
-            self.runs = [self.written(merged)]
-
-    def add(self, prints: DataFrame) -> DataFrame:
-        """Take in a batch's (doc_id, prints); returns (doc_id, prints, hot): all documents to be read again, and for what."""
-        rows = prints.select(F.explode("prints").alias("hash"), "doc_id").groupBy("hash", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-        new = self.written(rows)
-        again = new.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash", "n")
-        for old in self.runs:
-            held = old.join(new.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg((F.sum("n") + 1).alias("n"))
-            again = again.union(held)
-        self.runs.append(new)
-        again = self.written(again.groupBy("hash").agg((F.sum("n") > self.hot).alias("is_hot")))
-        todo = None
-        for run in self.runs:
-            found = run.select("hash", "doc_id").join(again, "hash")
-            todo = found if todo is None else todo.union(found)
-        if len(self.runs) >= self.fanout:
-            self.compact()
-        hot = F.collect_set(F.when(F.col("is_hot"), F.col("hash")))
-        return todo.groupBy("doc_id").agg(F.collect_set("hash").alias("prints"), hot.alias("hot"))
-
-
-def later_windows(found: DataFrame) -> DataFrame:
-    """(doc_id, start) of the windows that an earlier one equals."""
-    place = [F.col("doc_id"), F.col("start")]
-    local = found.withColumn("r", F.rank().over(W.partitionBy("h", "c", "part").orderBy(*place)))
-    # both conditions read r: neither moves below the window, so its exchange is used for both branches
-    firsts = local.where("r * part = part and r * part > 0").withColumn("r", F.rank().over(W.partitionBy("h", "c").orderBy(*place)))
-    return local.where("r > 1").select("doc_id", "start").union(firsts.where("r > 1").select("doc_id", "start"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT, hot: int = HOT) -> DataFrame:
-    """Per document: n_words, n_removed, kept (the kept words, joined by blanks; null where nothing was removed), kept_sha256."""
+    def _dropped(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, f"{self.path}/{name}")
+
+    def compact(self, level: int | None = None) -> None:
+        """Merge the runs of a level (None: all) into one of the next; of equal stretches the first stays. The old ones' files go."""
+        old = [r for r in self.runs if level is None or r["level"] == level]
+        if len(old) < 2:
+            return
+        rows = None
+        for r in old:
+            run = self._run(r["name"]).where("not settled")
+            rows = run if rows is None else rows.union(run)
+        first = F.row_number().over(W.partitionBy("fp", "sd").orderBy("doc_id", "start", "file", "row"))
+        merged = self._written(rows.repartition(self.buckets, "fp").withColumn("_first", first).where("_first = 1").drop("_first"))
+        self._commit([*(r for r in self.runs if r not in old), {"name": merged, "level": max(r["level"] for r in old) + 1}], self.logs)
+        for r in old:
+            self._dropped(r["name"])
+
+    def drop_runs(self) -> None:
+        """The log stays, so that answers can still be read; nothing can be added any more."""
+        for r in self.runs:
+            self._dropped(r["name"])
+        self.runs = []
+
+    def drop(self) -> None:
+        self.drop_runs()
+        delete_path(self.spark, self.path)
+
+    # batches
+
+    def _files(self, logs: list[dict]) -> list[tuple[int, str]]:
+        return [(log["first"] + i, f) for log in logs for i, f in enumerate(sorted(self.spark.read.parquet(log["path"]).inputFiles()))]
+
+    def _with_files(self, rows: DataFrame, files: list[tuple[int, str]], fn: Callable, schema: str) -> DataFrame:
+        """Rows that name a file and a row, taken to a task per file, with the file."""
+        blank = self.spark.createDataFrame(files, "file int, path string")
+        heads = blank.select(*(F.col(c) if c in ("file", "path") else F.lit(-1 if c == "row" else None).cast(rows.schema[c].dataType).alias(c) for c in [*rows.columns, "path"]))
+        both = rows.withColumn("path", F.lit(None).cast("string")).union(heads)
+        return both.repartition(max(1, len(files)), "file").sortWithinPartitions("file", "row", "start").mapInArrow(fn, schema)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Take in a batch; returns its documents (doc_id, n_words, n_removed, kept_sha256, kept), judged against all that the
+        index held before and among each other. kept is null where nothing was removed."""
+        spark, scratch = self.spark, Scratch(self.spark)
+        log = {"path": f"{self.path}/log-{uuid.uuid4().hex}", "first": sum(1 for _ in self._files(self.logs))}
+        texts = docs.select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        texts.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(log["path"])
+        files = self._files([log])
+        listed = spark.createDataFrame(files, "file int, path string").repartition(max(1, len(files)))
+        name = self._written(listed.mapInArrow(_keys, RUN))
+        new = self._run(name)
+        older = [self._run(r["name"]).where("not settled") for r in self.runs]
+
+        # of equal stretches of the batch the first is left; what shares its fingerprint with nothing else is done
+        place = F.struct("doc_id", "start")
+        by_print, by_stretch = W.partitionBy("fp"), W.partitionBy("fp", "sd")
+        seen = new.where("not settled").withColumn("first", F.min(place).over(by_stretch)).withColumn("varied", F.min("sd").over(by_print) != F.max("sd").over(by_print))
+        for i, old in enumerate(older):
+            seen = seen.join(old.select("fp").distinct().withColumn(f"old{i}", F.lit(True)), "fp", "left")
+        known = F.lit(False)
+        for i in range(len(older)):
+            known = known | F.col(f"old{i}").isNotNull()
+        seen = seen.withColumn("later", place != F.col("first")).where(F.col("later") | F.col("varied") | known)
+        seen = scratch.save(seen.select("fp", "sd", "doc_id", "start", "n", "file", "row", "later"), "seen")
+        cols = ["fp", "sd", "doc_id", "start", "n", "file", "row"]
+        pool = seen.where("not later").select(*cols, F.lit(True).alias("is_new"))
+        wanted = pool.select("fp").distinct()
+        for old in older:
+            pool = pool.union(old.join(wanted, "fp", "left_semi").select(*cols, F.lit(False).alias("is_new")))
+        # and now with the older batches
+        first = F.min(F.struct("is_new", "doc_id", "start")).over(by_stretch)
+        pool = pool.withColumn("first", first).withColumn("later", (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start")))
+        left = F.min(F.when(~F.col("later"), F.col("sd"))).over(by_print) != F.max(F.when(~F.col("later"), F.col("sd"))).over(by_print)
+        some = F.max(F.when(~F.col("later"), F.col("is_new"))).over(by_print)
+        pool = pool.withColumn("open", ~F.col("later") & left & some).where(F.col("open") | (F.col("later") & F.col("is_new")))
+        pool = scratch.save(pool.drop("sd", "first"), "pool")
+        windows = self._with_files(pool.where("open").select("file", "row", "start", "n", "fp", "is_new", "doc_id"), self._files([*self.logs, log]), _windows, WINDOWS)
+        windows = scratch.save(windows, "windows")
+        least = F.min(F.struct("is_new", "doc_id", "start")).over(W.partitionBy("fp", "h"))
+        ranked = windows.where("not settled").withColumn("first", least).where("is_new and (first.doc_id <> doc_id or first.start <> start)")
+
+        marks = new.where("settled").select(*MARK).union(seen.where("later").select(*MARK)).union(pool.where("later").select(*MARK))
+        one = ["file", "row", "start", F.lit(1).alias("n")]
+        marks = materialise(marks.union(windows.where("settled").select(*one)).union(ranked.select(*one)), "marks")
+        scratch.drop()
+        self._commit([*self.runs, {"name": name, "level": 0}], [*self.logs, log])
+        for level in sorted({r["level"] for r in self.runs}):
+            if sum(r["level"] == level for r in self.runs) >= self.fanout:
+                self.compact(level)
+        return self._with_files(marks, files, _stripped, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """Per document: n_words, n_removed, kept_sha256, kept (the kept words, joined by blanks; null where nothing was removed)."""
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    known = materialise(profile(base), "profile")
+    base = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shares = [i / batches for i in range(1, batches)]
-    cuts = sorted(set((known.agg(F.percentile_approx("doc_id", shares, 10_000).alias("q")).first()["q"] or []) if shares else []))
-    index = FingerprintIndex(spark, fanout=fanout, hot=hot)
-    starts = None
+    cuts = sorted(set((base.agg(F.percentile_approx("doc_id", shares, 10_000).alias("q")).first()["q"] or []) if shares else []))
+    index = FingerprintIndex(spark, fanout=fanout)
+    found = None
     for low, high in zip([None, *cuts], [*cuts, None]):
-        upper = F.lit(True) if high is None else F.col("doc_id") <= high
         fresh = F.lit(True) if low is None else F.col("doc_id") > low
-        todo = index.add(known.where(upper & fresh).select("doc_id", "prints"))
-        again = base.where(upper).join(todo, "doc_id")
-        marked = later_windows(windows(again)).where(fresh).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-        marked = materialise(marked, "marked")
-        starts = marked if starts is None else starts.union(marked)
-    index.drop()  # all that it said is written down
-    changed = stripped(base.join(starts, "doc_id"))
-    same = known.join(starts.select("doc_id"), "doc_id", "left_anti")
-    digest = F.sha2("kept", 256)
-    out = same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept")).union(
-        changed.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"), "kept")
-    )
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+        fresh = fresh if high is None else fresh & (F.col("doc_id") <= high)
+        fresh = fresh if low is not None else F.col("doc_id").isNull() | fresh
+        answer = index.add(base.where(fresh))
+        found = answer if found is None else found.union(answer)
+    index.drop_runs()
+    found = materialise(found, "deduplicated")
+    index.drop()
+    return found
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

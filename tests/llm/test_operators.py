@@ -63,27 +63,68 @@ def brute_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("batches,hot", [(1, 500), (3, 1)])
-def test_op1(spark, sf_dir, batches, hot):
+@pytest.mark.parametrize("batches,fanout,together", [(1, 4, 1 << 19), (3, 2, 1 << 19), (4, 3, 50)])
+def test_op1(spark, sf_dir, monkeypatch, batches, fanout, together):
+    monkeypatch.setattr(dedup_index, "SETTLED_TOGETHER", together)
     rows = [(i, t) for i, t in TEXTS] + [(100 + i, t) for i, t in tables(sf_dir)]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dedup_index.dedup(docs(spark, rows), batches=batches, hot=hot).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dedup_index.dedup(docs(spark, rows), batches=batches, fanout=fanout).collect()}
     assert got == brute_dedup(rows)
 
 
+def test_op1_partial_overlaps(spark):
+    """Common lines and passages in unlike surroundings, edits, and passages that repeat within a text."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 6])))
+    line, passage = [word() for _ in range(9)], [word() for _ in range(33)]
+    rows = []
+    for i in range(160):
+        words = [word() for _ in range(rng.choice([0, 3, 15, 40]))]
+        for part in rng.sample([line, passage, passage[3:27], passage[:20], passage[5:] + line], rng.randint(0, 4)):
+            words += [*part, *(word() for _ in range(rng.choice([0, 2, 30])))]
+        if rng.random() < 0.3 and words:
+            words[rng.randrange(len(words))] = word()
+        rows.append((i * 7 % 160, " ".join(words)))
+    want = brute_dedup(rows)
+    assert 20 < sum(v[1] > 0 for v in want.values())
+    for batches in (1, 4):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dedup_index.dedup(docs(spark, rows), batches=batches, fanout=2).collect()}
+        assert got == want
+
+
 def test_op1_edges(spark):
     assert dedup_index.documents(docs(spark).limit(0)).collect() == []
     twice = docs(spark, [(1, PASSAGE), (1, PASSAGE), (2, PASSAGE)])
     assert sorted((r["doc_id"], r["n_removed"]) for r in dedup_index.documents(twice).collect()) == [(1, 0), (1, 0), (2, 60)]
     kept = {r["doc_id"]: r["kept"] for r in dedup_index.dedup(docs(spark, [(1, PASSAGE), (2, "a " + PASSAGE + " b")])).collect()}
     assert kept[2] == bytearray(b"a b") and kept[1] is None
-
-
-def test_op1_index_compacts(spark):
-    index = dedup_index.FingerprintIndex(spark, buckets=3, fanout=2)
-    prints = dedup_index.profile(docs(spark, [(1, PASSAGE)]).select("doc_id", "text"))
-    assert index.add(prints).count() == 0 and len(index.runs) == 1
-    again = index.add(dedup_index.profile(docs(spark, [(2, PASSAGE)]).select("doc_id", "text")))
-    assert sorted(r["doc_id"] for r in again.collect()) == [1, 2] and len(index.runs) == 1
+    least = dedup_index.documents(docs(spark, [(-(1 << 63), PASSAGE), (5, PASSAGE)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in least) == [(-(1 << 63), 0), (5, 60)]
+    with pytest.raises(ValueError):
+        dedup_index.documents(docs(spark).withColumn("doc_id", F.lit("x")))
+
+
+def test_op1_index_is_opened_again(spark, tmp_path):
+    """Batches by several writers one after the other, each opening the index anew, with a compaction in between."""
+    path = f"file://{tmp_path}/index"
+    passages = [" ".join(f"p{k}w{i}" for i in range(45)) for k in range(6)]
+    batches = [[(10 * b + i, f"head{b} {passages[(b + i) % 6]} tail{i} {passages[(b * i) % 6][:200]}") for i in range(5)] for b in range(5)]
+    got = {}
+    for b, rows in enumerate(batches):
+        index = dedup_index.FingerprintIndex(spark, path, buckets=3, fanout=3)
+        assert len(index.logs) == b and index.buckets == 3
+        for name in [r["name"] for r in index.runs]:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # as in another session, which knows the files alone
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in index.add(docs(spark, rows)).collect()}
+    assert got == brute_dedup([r for rows in batches for r in rows])
+    index = dedup_index.FingerprintIndex(spark, path)
+    assert sorted(r["level"] for r in index.runs) == [0, 0, 1]
+    index.compact()
+    assert len(index.runs) == 1 and sorted(p.name for p in (tmp_path / "index").glob("run_*")) == [index.runs[0]["name"]]
+    again = {r["doc_id"]: r["n_removed"] for r in index.add(docs(spark, batches[0])).collect()}
+    assert again == {i: got[i][1] for i in again}  # the same places once more
+    late = index.add(docs(spark, [(99, passages[2])])).first()
+    assert late["n_removed"] == 45
+    index.drop()
 
 
 # 2
