@@ -388,14 +388,14 @@ class FingerprintIndex:
         wanted = pool.select("fp").distinct()
         for old in older:
             pool = pool.union(old.join(wanted, "fp", "left_semi").select(*cols, F.lit(False).alias("is_new")))
-        # and now with the older batches
+        # and now with the older batches; dealt by stretch, as many different stretches can share a fingerprint
         first = F.min(F.struct("is_new", "doc_id", "start")).over(by_stretch)
         pool = pool.withColumn("first", first).withColumn("later", (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.start") != F.col("start")))
-        left = F.min(F.when(~F.col("later"), F.col("sd"))).over(by_print) != F.max(F.when(~F.col("later"), F.col("sd"))).over(by_print)
-        some = F.max(F.when(~F.col("later"), F.col("is_new"))).over(by_print)
-        pool = pool.withColumn("open", ~F.col("later") & left & some).where(F.col("open") | (F.col("later") & F.col("is_new")))
-        pool = scratch.save(pool.drop("sd", "first"), "pool")
-        windows = self._with_files(pool.where("open").select("file", "row", "start", "n", "fp", "is_new", "doc_id"), self._files([*self.logs, log]), _windows, WINDOWS)
+        pool = scratch.save(pool.where("is_new or not later").drop("first"), "pool")
+        kinds = pool.where("not later").groupBy("fp").agg(F.min("sd").alias("a"), F.max("sd").alias("b"), F.max("is_new").alias("some"))
+        kinds = scratch.save(kinds.where("some and a <> b").select("fp"), "kinds")
+        opened = pool.where("not later").join(kinds, "fp", "left_semi")
+        windows = self._with_files(opened.select("file", "row", "start", "n", "fp", "is_new", "doc_id"), self._files([*self.logs, log]), _windows, WINDOWS)
         windows = scratch.save(windows, "windows")
         least = F.min(F.struct("is_new", "doc_id", "start")).over(W.partitionBy("fp", "h"))
         ranked = windows.where("not settled").withColumn("first", least).where("is_new and (first.doc_id <> doc_id or first.start <> start)")

@@ -5,13 +5,19 @@ found without row-at-a-time code: ``split`` gives the gaps between matches, ``re
 prefix sum over their lengths (in blocks, so it stays linear) the positions, in code points.
 
 The method adds spans. A candidate is a run of 20 or more characters of the base64 alphabets; its class is hex, alnum
-or base64. An ordered fold slides a window of 20 characters over it and keeps the sum of c*log2(c) over the window's
-character counts c: the leaving and the entering character change one term each, nothing else is counted again. Terms
-are whole micro-bits, so any engine gets the same sums. Windows whose entropy reaches their class's threshold make a
-span from the first such window's start to the last one's end. Candidates on the allow list are suppressed.
-
-Defined cases: a null or empty text has no spans; repeated rows keep a row each; an empty table gives an empty table;
-other columns are ignored by ``scan`` and kept by ``redact``.
+or base64. An ordered fold slides a window of 20 characters over it. Its state holds the window's count of each
+character, five bits each in six longs, and the sum of c*log2(c) over them: the leaving and the entering character
+change one count and one term each, nothing is counted again. Terms are whole micro-bits, so any engine gets the same
+sums. Windows whose entropy reaches their threshold make a span from the first such window's start to the last one's
+end.
+
+The allow list acts on windows, not on candidates: UUIDs and the placeholders of documentation are blanked out before
+windows are judged, so what stands beside them still counts; a window without letters (dates, numbers) never counts; one
+without digits and plus signs (words, paths, names) has to reach the threshold ``WORDLIKE``, which random letters of both
+cases do and words don't.
+
+Defined cases: a null or empty text has no spans; a text of any length is scanned whole; repeated rows keep a row each;
+an empty table gives an empty table; other columns, whatever their names, are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: The base patterns. Letters are spelt in both cases, as engines differ in what case folding means.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 12
@@ -29,14 +37,21 @@ HEX = r"[0-9a-f]{16,}"
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-#: Least entropy of a window in bits, per class.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Least entropy of a window in bits, per class, and for windows without digits and plus signs.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.75}
-#: Candidates that are no secrets: words and paths, UUIDs, digits alone, documentation placeholders.
-ALLOWED = r"^[A-Za-z_/-]+$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9_-]+$|EXAMPLE|example|XXXXX|xxxxx"
+WORDLIKE = 4.0
+#: What is blanked out before windows are judged, and by what: UUIDs, documentation placeholders.
+ALLOWED = (
+    ("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "-" * 36),
+    ("EXAMPLE|example", "-" * 7),
+    ("XXXXX|xxxxx", "-" * 5),
+)
 MASK = "[SECRET]"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 UNIT = 1_000_000
 BLOCK = 256
+BITS, PER_LONG = 5, 12  # of a count, and counts in a long
 SPAN = "struct<start:int,ord:int,end:int>"
 
 
@@ -47,7 +62,7 @@ def terms(window: int = WINDOW) -> list[int]:
 
 def limits(thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> dict[str, int]:
     """The largest sum of terms at which a window reaches its class's threshold."""
-    return {k: math.floor(UNIT * window * (math.log2(window) - t)) for k, t in thresholds.items()}
+    return {k: math.floor(UNIT * window * (math.log2(window) - t)) for k, t in {**thresholds, "wordlike": WORDLIKE}.items()}
 
 
 def _sums_before(lengths: Column) -> Column:
@@ -86,54 +101,71 @@ def _base(text: Column) -> Column:
     )
 
 
-def _windows(hit: Column, limit: Column, window: int) -> Column:
-    """struct<first, last>: from the first window that reaches the threshold to the end of the last; first is -1 without one."""
+def _blanked(hit: Column) -> Column:
+    for pattern, blank in ALLOWED:
+        hit = F.regexp_replace(hit, pattern, blank)
+    return hit
+
+
+def _windows(hit: Column, limit: Column, wordlike: int, window: int) -> Column:
+    """struct<first, last>: from the first window that reaches its threshold to the end of the last; first is -1 without one."""
     term = F.array(*map(F.lit, terms(window)))
-    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
     at = lambda c: F.element_at(term, c + 1)
-    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("q"), F.lit(0).cast("int").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    one = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place % PER_LONG * BITS)
+    counted = lambda counts, place: F.call_function("shiftright", F.element_at(counts, F.floor(place / PER_LONG).cast("int") + 1), place % PER_LONG * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+    more = lambda counts, place, sign: F.transform(counts, lambda x, i: F.when(i == F.floor(place / PER_LONG), x + sign * one(place)).otherwise(x))
+    place_of = lambda i: (F.position(F.substring(hit, i, F.lit(1)), F.lit(ALPHABET)) - 1).cast("int")
+    is_letter, is_mark = lambda k: (k < 52).cast("int"), lambda k: ((k >= 52) & (k <= 62)).cast("int")  # noqa: E731  digits and plus
+    longs = -(-len(ALPHABET) // PER_LONG)
+    start = F.struct(
+        F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), *(F.lit(0).alias(n) for n in ("s", "letters", "marks")), F.lit(-1).alias("first"), F.lit(-1).alias("last")
+    )
 
-    def leave(a: Column) -> Column:
-        gone = F.substring(a["q"], 1, 1)
-        full = F.length(a["q"]) == window
+    def moved(a: Column, place: Column, sign: int) -> Column:
+        """The state with one character more or less; first and last stay."""
+        c = counted(a["counts"], place)
         return F.struct(
-            F.when(full, F.substring(a["q"], 2, window - 1)).otherwise(a["q"]).alias("q"),
-            F.when(full, a["s"] - at(count(a["q"], gone)) + at(count(a["q"], gone) - 1)).otherwise(a["s"]).alias("s"),
-        )
+            more(a["counts"], place, sign).alias("counts"), (a["s"] + at(c + sign) - at(c)).cast("int").alias("s"),
+            (a["letters"] + sign * is_letter(place)).alias("letters"), (a["marks"] + sign * is_mark(place)).alias("marks"), a["first"].alias("first"), a["last"].alias("last"),
+        )
 
-    def enter(a: Column, left: Column, ch: Column) -> Column:
-        total = left["s"] - at(count(left["q"], ch)) + at(count(left["q"], ch) + 1)
-        high = (F.length(left["q"]) == window - 1) & (total <= limit)
-        return F.struct(
-            (a["i"] + 1).alias("i"),
-            F.concat(left["q"], ch).alias("q"),
-            total.alias("s"),
-            F.when(high & (a["first"] < 0), a["i"] + 1 - window).otherwise(a["first"]).alias("first"),
-            F.when(high, a["i"] + 1).otherwise(a["last"]).alias("last"),
-        )
+    def judged(a: Column, i: Column) -> Column:
+        high = (i >= window) & (a["letters"] > 0) & (a["s"] <= F.when(a["marks"] > 0, limit).otherwise(F.lit(wordlike)))
+        first = F.when(high & (a["first"] < 0), i - window).otherwise(a["first"])
+        return F.struct(*(a[n].alias(n) for n in ("counts", "s", "letters", "marks")), first.cast("int").alias("first"), F.when(high, i).otherwise(a["last"]).cast("int").alias("last"))
+
+    # one-element transforms name a value, so it's computed once a step
+    name = lambda value, fn: F.element_at(F.transform(F.array(value), fn), 1)
+
+    def step(a: Column, i: Column) -> Column:
+        gone = F.when(i > window, name(place_of(i - window), lambda k: moved(a, k, -1))).otherwise(a)
+        return name(name(gone, lambda left: name(place_of(i), lambda k: moved(left, k, 1))), lambda now: judged(now, i))
 
-    # a one-element transform names the state after the leaving character, so it's computed once a step
-    step = lambda a, ch: F.element_at(F.transform(F.array(leave(a)), lambda left: enter(a, left, ch)), 1)
-    return F.aggregate(F.regexp_extract_all(hit, F.lit("."), F.lit(0)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), F.length(hit)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def _entropy(text: Column, thresholds: dict[str, float], window: int) -> Column:
     limit = limits(thresholds, window)
-    kinds = F.filter(_found(text, CANDIDATE), lambda m: ~m["hit"].rlike(ALLOWED))
     order = lambda h: F.when(h.rlike("^[0-9A-Fa-f]+$"), 3).when(h.rlike("^[A-Za-z0-9]+$"), 4).otherwise(5)
     most = lambda o: F.when(o == 3, limit["hex"]).when(o == 4, limit["alnum"]).otherwise(limit["base64"])
-    classed = F.transform(kinds, lambda m: F.struct(m["start"].alias("start"), m["hit"].alias("hit"), order(m["hit"]).alias("ord")))
-    swept = F.transform(classed, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), _windows(m["hit"], most(m["ord"]), window).alias("w")))
+    classed = F.transform(_found(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), _blanked(m["hit"]).alias("hit"), order(m["hit"]).alias("ord")))
+    swept = F.transform(classed, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), _windows(m["hit"], most(m["ord"]), limit["wordlike"], window).alias("w")))
     return F.transform(F.filter(swept, lambda m: m["w"]["first"] >= 0), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), m["ord"].alias("ord"), (m["start"] + m["w"]["last"]).alias("end")))
 
 
+def _spans(text: Column, thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> tuple[Column, Column]:
+    """Sorted base spans and all further spans: array<struct<start, ord, end>>, ord being the place in ``KINDS``."""
+    text = F.coalesce(text, F.lit(""))
+    return F.array_sort(_base(text).cast(f"array<{SPAN}>")), _entropy(text, thresholds, window).cast(f"array<{SPAN}>")
+
+
 def with_spans(df: DataFrame, text_col: str = "text", thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> DataFrame:
-    """The input with ``base_spans`` and ``spans``: sorted array<struct<start, ord, end>>, ord being the place in ``KINDS``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.array_sort(_base(text).cast(f"array<{SPAN}>"))
-    more = _entropy(text, thresholds, window).cast(f"array<{SPAN}>")
-    out = df.drop("base_spans", "spans").withColumn("base_spans", base).withColumn("_more", more)
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", "_more"))).drop("_more")
+    """The input with ``base_spans`` and ``spans``; columns of these names, in whatever case, are replaced."""
+    base, more = _spans(F.col(text_col), thresholds, window)
+    if text_col.lower() in ("base_spans", "spans"):
+        raise ValueError(f"the text column can't be {text_col}")
+    out = df.drop("base_spans", "spans").withColumn("base_spans", base).withColumn("spans", more)
+    return out.withColumn("spans", F.array_sort(F.concat("base_spans", "spans")))
 
 
 def _written(spans: str) -> Column:
@@ -153,9 +185,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(df: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """The input with each span of its text replaced by ``mask`` (overlapping spans by one); other columns stay."""
-    known = F.coalesce(F.col(text_col), F.lit(""))
-    spans = F.array_sort(F.concat(_base(known).cast(f"array<{SPAN}>"), _entropy(known, THRESHOLDS, WINDOW).cast(f"array<{SPAN}>")))
-    found = df.withColumn("_spans", spans)
+    base, more = _spans(F.col(text_col))
+    own, out = free_name(df.columns, "spans"), free_name(df.columns, "clean")
+    found = df.withColumn(own, F.array_sort(F.concat(base, more)))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -164,9 +196,9 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame
         longer = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
         return F.when(s["start"] >= a["at"], fresh).otherwise(longer)
 
-    folded = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    clean = F.when(F.size("_spans") > 0, folded).otherwise(text)
-    return found.withColumn("_clean", clean).select(*(F.col("_clean").alias(c) if c == text_col else F.col(c) for c in df.columns))
+    folded = F.aggregate(own, start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    clean = F.when(F.size(own) > 0, folded).otherwise(text)
+    return found.withColumn(out, clean).select(*(F.col(out).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
 
 
 def _sql_spans(text: str, pattern: str, order: str, keep: str = "true", low: str = "s", high: str = "s + length(h)") -> str:
@@ -189,13 +221,17 @@ def oracle_sql(docs: str = "documents") -> str:
         _sql_spans("text", p, o, k)
         for p, o, k in ((ASSIGN, "0", f"length(regexp_extract(h, '{assign}', 2)) >= {ASSIGN_LEAST}"), (ACCESS, "1", "true"), (HEX, "2", "true"))
     ).replace("@docs", docs)
-    sweep = f"""list_filter(range(0, length(h) - {WINDOW} + 1), lambda k:
-        list_sum(list_transform(list_distinct(regexp_extract_all(substr(h, k::INT + 1, {WINDOW}), '.')),
-          lambda c: {term}[length(substr(h, k::INT + 1, {WINDOW})) - length(replace(substr(h, k::INT + 1, {WINDOW}), c, '')) + 1])) <= CASE o WHEN 3 THEN {limit["hex"]} WHEN 4 THEN {limit["alnum"]} ELSE {limit["base64"]} END)"""
-    candidates = _sql_spans("text", CANDIDATE, "h", f"NOT regexp_matches(h, '{ALLOWED}')").replace("@docs", docs)
+    cut = f"substr(h, k::INT + 1, {WINDOW})"
+    sweep = f"""list_filter(range(0, length(h) - {WINDOW} + 1), lambda k: regexp_matches({cut}, '[A-Za-z]') AND
+        list_sum(list_transform(list_distinct(regexp_extract_all({cut}, '.')), lambda c: {term}[length({cut}) - length(replace({cut}, c, '')) + 1]))
+          <= CASE WHEN NOT regexp_matches({cut}, '[0-9+]') THEN {limit["wordlike"]} WHEN o = 3 THEN {limit["hex"]} WHEN o = 4 THEN {limit["alnum"]} ELSE {limit["base64"]} END)"""
+    blanked = "ord"
+    for pattern, blank in ALLOWED:
+        blanked = f"regexp_replace({blanked}, '{pattern}', '{blank}', 'g')"
+    candidates = _sql_spans("text", CANDIDATE, "h").replace("@docs", docs)
     return f"""
     WITH base AS ({base}),
-    cand AS (SELECT doc_id, start, ord AS h, CASE WHEN regexp_matches(ord, '^[0-9A-Fa-f]+$') THEN 3 WHEN regexp_matches(ord, '^[A-Za-z0-9]+$') THEN 4 ELSE 5 END AS o FROM ({candidates})),
+    cand AS (SELECT doc_id, start, {blanked} AS h, CASE WHEN regexp_matches(ord, '^[0-9A-Fa-f]+$') THEN 3 WHEN regexp_matches(ord, '^[A-Za-z0-9]+$') THEN 4 ELSE 5 END AS o FROM ({candidates})),
     swept AS (SELECT doc_id, start, o, {sweep} AS w FROM cand),
     more AS (SELECT doc_id, (start + w[1])::INT AS start, o AS ord, (start + w[-1] + {WINDOW})::INT AS "end" FROM swept WHERE len(w) > 0),
     named AS (SELECT doc_id, start, ord, {list(KINDS)}[ord + 1] || ':' || start || ':' || "end" AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM more)),
