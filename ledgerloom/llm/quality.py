@@ -9,9 +9,10 @@ Training: labelled rows outside the held-out fold, at most ``MAX_LABELLED`` of t
 (a documented bound on the fit, not on what is scored). They are turned into sparse rows where the texts are, and one
 task walks over them in order; its weights, of fixed size, go to every scoring task.
 
-Defined cases: a null or empty text has no features and gets the score of the intercept; a document with several labels
-counts with the lowest; null labels are left out; without any label every text scores ``NO_MODEL``; repeated rows keep
-a row each; other columns are ignored by ``scores`` and kept by ``keep``.
+Defined cases: a null or empty text has no features and gets the score of the intercept; a text of any length is scored
+whole; a document with several labels counts with the lowest; null labels are left out; without any label every text
+scores ``NO_MODEL``; repeated rows keep a row each; other columns, whatever their names, are ignored by ``scores`` and
+kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import replace_columns, slices, split_of, text_bytes
+from .common import free_name, replace_columns, slices, split_of, text_bytes
 
 BITS = 18
 MAX_LABELLED = 12_000
@@ -155,11 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return weights
 
 
-def predict(df: DataFrame, weights: np.ndarray | None, text_col: str = "text") -> DataFrame:
-    """The input with ``score``: how likely label 1 is."""
-    df = replace_columns(df, "score")
+def predict(df: DataFrame, weights: np.ndarray | None, text_col: str = "text", out: str = "score") -> DataFrame:
+    """The input with ``out``: how likely label 1 is."""
+    df = replace_columns(df, out)
     if weights is None:
-        return df.withColumn("score", F.lit(NO_MODEL))
+        return df.withColumn(out, F.lit(NO_MODEL))
     shared = df.sparkSession.sparkContext.broadcast(weights)  # 1 MB, whatever the data
     names = df.columns
 
@@ -168,9 +169,9 @@ def predict(df: DataFrame, weights: np.ndarray | None, text_col: str = "text") -
         for batch in slices(batches, text_col, SLICE_BYTES):
             at, index, value = features(text_bytes(batch.column(text_col)))
             total = np.bincount(at, w[index] * value, minlength=batch.num_rows) + w[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())], [*names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,4 +183,5 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier doesn't reject, columns as they are."""
-    return predict(docs, fit(docs, labels, id_col, text_col), text_col).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    own = free_name(docs.columns, "score")
+    return predict(docs, fit(docs, labels, id_col, text_col), text_col, own).where(F.col(own) >= THRESHOLD).drop(own)
