@@ -1,7 +1,7 @@
 """Byte-level BPE as a tree reduction over a monoid.
 
-A text is cut in halves until the parts are leaves, each leaf is encoded alone by the tiktoken library, and neighbours
-are joined: a window of text around the cut is encoded again and widened until both its rims provably stay. Three
+A text is cut in halves until the parts are leaves of at most ``LEAF_CHARS`` characters, each leaf is encoded alone by the
+tiktoken library, and neighbours are joined: a window of text around the cut is encoded again and widened until both its rims provably stay. Three
 kinds of rim do:
 
 * *Blanks.* A blank before another character than white space starts a piece of the pattern in any context. Most joins
@@ -13,7 +13,11 @@ kinds of rim do:
   widened: a list of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of theirs, so
   once both rims of the window hold, nothing outside can change.
 
-Defined cases: a null or empty text has no ids; a text is never cut off; repeated rows and ids give equal rows; other
+Decoding is the monoid's homomorphism: bytes are concatenated up the tree, and as concatenation is associative any tree
+gives the same, so all leaves are laid out in one buffer at once.
+
+Defined cases: a null or empty text has no ids; a text is never cut off; ids without a token can't be decoded and are
+refused; repeated rows and ids give equal rows; other
 columns pass through, but columns named like an output are replaced; an empty table gives an empty table.
 """
 
@@ -39,7 +43,7 @@ from .common import list_array, replace_columns, slices, tokenizer_file
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the public vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF_CHARS = 4096
+LEAF_CHARS = 256
 LEAF_BYTES = 64
 NEVER = 1 << 60
 
@@ -176,7 +180,7 @@ class TreeBpe:
         return list(chain.from_iterable(self.piece(p.encode()) for p in self.pieces(text)))
 
     def decode(self, ids) -> bytes:
-        """Concatenation up the tree; ``join`` lays all leaves out in one buffer."""
+        """Concatenation up the tree."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -214,7 +218,10 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY) ->
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = part.column(ids_col)
-                taken = leaves.take(ids.flatten())  # its buffer is the concatenation of all rows
+                flat = ids.flatten()
+                taken = leaves.take(flat) if not len(flat) or pc.max(flat).as_py() is None or pc.max(flat).as_py() < len(leaves) else None  # its buffer is the concatenation of all rows
+                if taken is None or taken.null_count:
+                    raise ValueError("an id has no token")
                 ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1]
                 cuts = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
                 rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends[cuts].copy()), taken.buffers()[2]])

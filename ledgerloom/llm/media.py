@@ -1,7 +1,10 @@
 """Media columns of interleaved document sequences.
 
 * ``parse`` turns HTML into an ordered list of items: runs of text, and references to media with their digest, caption
-  and alternative text. Positions count items from 0, so order and captions survive every later join.
+  and alternative text. Positions count items from 0, so order and captions survive every later join. A figure's caption
+  goes to all media of the figure, wherever it stands in it; one that is never closed ends at its first block. Content is
+  that of a reader without scripts: ``noscript`` counts, ``script``, ``style`` and ``template`` don't. References come from
+  ``src``, else ``data-src``, else the first entry of ``srcset`` or ``data-srcset``; a video's poster is an image before it.
 * ``pack`` stores a payload losslessly as the samples of a picture (binary PPM: 8 bits, three channels, 64 pixels a
   row, so 192 bytes a row; a padded payload is whole rows). ``unpack`` reads the samples back from the stored bytes.
 * ``resolve`` joins references to a media table by digest. The table holds each digest once, and only the columns that
@@ -9,15 +12,16 @@
 
 Stored media are content-addressed: the digest is SHA-256 of the stored bytes, equal payloads have one entry.
 
-Defined cases: a null or empty text is a payload of 192 blanks; a null HTML has no items; references whose digest no
-entry has keep null media columns; repeated rows keep a row each; an empty table gives an empty table; columns named
-like an output are replaced.
+Defined cases: a null or empty text is a payload of 192 blanks; a text of any length is one payload; a null HTML has no
+items; references whose digest no entry has keep null media columns; repeated rows keep a row each; an empty table gives
+an empty table; columns named like an output, in whatever case, are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,72 +30,123 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, replace_columns, slices, text_bytes
+from .common import Scratch, replace_columns, slices, text_bytes
 
 ROW = 192
 WIDTH = 64
 MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
-SKIPPED_TAGS = {"script", "style", "template", "noscript"}
+SKIPPED_TAGS = {"script", "style", "template"}
 BLOCK_TAGS = {"p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "br", "article", "section", "figure", "header", "footer", "main", "body", "title", "blockquote", "pre"}
+#: Blocks that can't lie in a caption, so an open one ends there.
+SECTION_TAGS = {"figure", "article", "section", "header", "footer", "main", "body", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "th"}
 ITEM = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("caption", T.StringType()), T.StructField("alt", T.StringType())])
 
 
+def _one_line(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
 class _Items(HTMLParser):
-    """Collects items in document order; a figure's caption goes to the figure's media."""
+    """Collects items in document order. Open figures are a stack of the media seen in them and the runs of their caption."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.skipped = 0
-        self.figure: list[int] | None = None
-        self.caption: list[str] | None = None
+        self.figures: list[dict] = []
+        self.in_caption = False
 
     def flush(self):
-        if text := " ".join("".join(self.run).split()):
-            self.items.append({"kind": "text", "text": text})
+        """The text so far becomes an item; inside a caption, one of its runs."""
+        if text := _one_line(self.run):
+            if self.in_caption:
+                self.figures[-1]["caption"].append(text)
+            else:
+                self.items.append({"kind": "text", "text": text})
         self.run = []
 
+    def end_caption(self, whole: bool):
+        """Only the first run belongs to a caption that isn't closed; the others are text."""
+        self.flush()
+        self.in_caption = False
+        runs = self.figures[-1]["caption"]
+        if not whole:
+            self.items += [{"kind": "text", "text": t} for t in runs[1:]]
+            del runs[1:]
+
+    def end_figure(self, whole: bool = True):
+        if self.in_caption:
+            self.end_caption(whole)
+        figure = self.figures.pop()
+        text = " ".join(figure["caption"])
+        for item in figure["media"]:
+            item.setdefault("caption", text or None)
+        if text and not figure["media"]:
+            self.items.append({"kind": "text", "text": text})
+
+    def media(self, kind: str, ref: str, alt: str | None):
+        if not self.in_caption:
+            self.flush()
+        item = {"kind": kind, "ref": ref, "alt": alt}
+        self.items.append(item)
+        if self.figures:
+            self.figures[-1]["media"].append(item)
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED_TAGS:
             self.skipped += 1
-        elif tag == "figcaption" and self.figure is not None:
-            self.flush()
-            self.caption = []
-        elif tag in MEDIA_TAGS:
-            self.flush()
+        if self.skipped:
+            return
+        if tag in MEDIA_TAGS:
             have = dict(attrs)
-            if have.get("src"):
-                if self.figure is not None:
-                    self.figure.append(len(self.items))
-                self.items.append({"kind": MEDIA_TAGS[tag], "ref": have["src"], "alt": have.get("alt")})
+            if have.get("poster"):
+                self.media("image", have["poster"], have.get("alt"))
+            sets = (have.get(n, "") or "" for n in ("srcset", "data-srcset"))
+            ref = next((r for r in (have.get("src"), have.get("data-src"), *(x.split(",")[0].strip().split(" ")[0] for x in sets)) if r), None)
+            if ref:
+                self.media(MEDIA_TAGS[tag], ref, have.get("alt"))
+        elif tag == "figcaption" and self.figures:
+            if self.in_caption:
+                self.end_caption(False)
+            self.flush()
+            self.in_caption = True
         elif tag in BLOCK_TAGS:
+            if self.in_caption and tag in SECTION_TAGS:
+                self.end_caption(False)
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append({"media": [], "caption": []})
 
     def handle_endtag(self, tag):
         if tag in SKIPPED_TAGS:
             self.skipped = max(0, self.skipped - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure or ():
-                self.items[i]["caption"] = text
+        if self.skipped:
+            return
+        if tag == "figcaption" and self.in_caption:
+            self.end_caption(True)
         elif tag in BLOCK_TAGS:
             self.flush()
-            if tag == "figure":
-                self.figure = None
+            if tag == "figure" and self.figures:
+                self.end_figure()
+            elif tag in SECTION_TAGS and self.in_caption:
+                self.end_caption(False)
 
     def handle_data(self, data):
         if not self.skipped:
-            (self.run if self.caption is None else self.caption).append(data)
+            self.run.append(data)
+
+    def finish(self):
+        self.close()
+        while self.figures:
+            self.end_figure(False)
+        self.flush()
 
 
 def items_of(html: str | None) -> list[dict]:
     parser = _Items()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
+    parser.finish()
     return [{n: x.get(n) for n in ITEM.names} | {"position": i} for i, x in enumerate(parser.items)]
 
 
@@ -192,19 +247,42 @@ def resolve(refs: DataFrame, media: DataFrame, ref: Column | str = "digest") ->
     return refs.withColumn("_ref", key).join(right, F.col("_ref") == F.col("_digest"), "left").drop("_ref", "_digest")
 
 
+def interleaved(data: bytes, digest: str) -> str:
+    """A document's page: the first half of its text by lines, its picture with a caption, the rest."""
+    text = data.decode(errors="replace")
+    lines = text.split("\n")
+    half = (len(lines) + 1) // 2
+    caption = f"{len(data)} bytes: {' '.join(text.split(None, 5)[:5])}"
+    part = lambda xs: "".join(f"<p>{escape(x)}</p>" for x in xs)
+    return f'<article>{part(lines[:half])}<figure><img src="sha256:{digest}" alt="payload"><figcaption>{escape(caption)}</figcaption></figure>{part(lines[half:])}</article>'
+
+
+def pages(kept: DataFrame) -> DataFrame:
+    """Of stored media (doc_id, n_bytes, digest, media): (doc_id, n_bytes, html), the page of each, from the stored bytes."""
+    kind = kept.schema["doc_id"]
+
+    def run(batches):
+        for batch in slices(batches, "media"):
+            sizes, digests = batch.column("n_bytes").to_pylist(), batch.column("digest").to_pylist()
+            html = [interleaved(unpack(m)[:n], d) for m, n, d in zip(batch.column("media").to_pylist(), sizes, digests)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(html, pa.string())], ["doc_id", "n_bytes", "html"])
+
+    return kept.select("doc_id", "n_bytes", "digest", "media").mapInArrow(run, T.StructType([kind, T.StructField("n_bytes", T.LongType()), T.StructField("html", T.StringType())]))
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as an interleaved document of one picture: stored, parsed from its page, joined by digest, described."""
-    kept = materialise(store(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "media")
-    page = F.format_string(
-        '<article><h1>document</h1><figure><img src="sha256:%s" alt="payload"><figcaption>%d bytes</figcaption></figure></article>',
-        F.col("digest"), F.col("n_bytes"),
-    )
-    items = sequence(parse(kept.select("doc_id", page.alias("html"))).drop("html"), "doc_id")
+    """Each text as an interleaved document: its own lines around a picture that holds it whole. The picture is stored, found
+    again in the parsed page, joined by digest and described. Only what the picture's bytes say travels through the join:
+    payloads of a digest are read where they are stored."""
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.save(store(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "media")
+    parsed = parse(pages(kept)).drop("html")
+    items = parsed.select("doc_id", "n_bytes", F.size("items").alias("n_items"), F.filter("items", lambda x: x["kind"] == "text").alias("texts"), F.inline("items"))
     refs = items.where(F.col("ref").startswith("sha256:")).select(
-        "doc_id", "position", F.expr("substring(ref, 8)").alias("digest"), F.expr("cast(split(caption, ' ')[0] as long)").alias("n_bytes")
+        "doc_id", "n_bytes", "position", "n_items", F.sha2(F.array_join(F.transform("texts", lambda x: x["text"]), "\n"), 256).alias("texts_sha256"), "caption", F.expr("substring(ref, 8)").alias("digest")
     )
     # one row per digest: partial aggregates first, so a text in many copies isn't gathered; written, so that both sides
     # of the join are dealt anew and Spark can split the references of a digest that many documents share
     seen = [f.split()[0] for f in FEATURES.split(", ")]
-    media = materialise(describe(kept).groupBy("digest").agg(*(F.min(c).alias(c) for c in seen)), "media-features")
-    return resolve(refs, media).select("doc_id", "n_bytes", *seen, "position")
+    media = scratch.save(describe(kept).groupBy("digest").agg(*(F.min(c).alias(c) for c in seen)), "media-features")
+    return scratch.finish(resolve(refs, media).select("doc_id", "n_bytes", *seen, "position", "n_items", "caption", "texts_sha256"), "media-documents")

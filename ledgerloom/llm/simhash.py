@@ -26,10 +26,11 @@ components that are left are verified. So no pair is skipped unless its two are
 Components: rounds of large-star and small-star steps over the links, each written to the shared folder; every node
 ends up with the smallest id that it can reach. Joins on a node's id spread heavy nodes over ``SALTS`` parts.
 
-Defined cases: a null or empty text has fingerprint zero, linked like any other; rows with equal ids are one node, which
+Defined cases: a null or empty text has fingerprint zero, linked like any other; a text of any length is one fingerprint
+or shingle set; ids are integers (others are refused with a ValueError); rows with equal ids are one node, which
 links whatever any of them links; a null id takes no part in links and has component null unless others share its
 fingerprint's component; repeated rows keep a row each; an empty table gives an empty table; other columns are ignored
-by ``components`` and kept by ``keep_first``.
+by ``components`` and kept, whatever their names, by ``keep_first`` and ``keep_similar_first``.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop_files, materialise, slices, text_bytes
+from .common import drop_files, free_name, integer_id, materialise, slices, text_bytes
 from .dedup_index import P1, rolled
 
 SHINGLE = 3
@@ -88,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t, shingle) for t in text_bytes(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # the Golay code
@@ -205,8 +206,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each component stays, that of the smallest id; columns as they are."""
-    gone = components(docs, id_col, text_col, shingle).where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(materialise(gone, "simhash-gone"), id_col, "left_anti").select(*docs.columns)
+    own = free_name(docs.columns, "gone")
+    gone = components(docs, id_col, text_col, shingle).where("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct()
+    gone = materialise(gone, "simhash-gone")
+    return docs.join(gone, docs[id_col] == gone[own], "left_anti")
 
 
 # similar documents
@@ -336,7 +339,7 @@ def _text_id(text: F.Column) -> F.Column:
 
 
 def _with_text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.where(F.col(id_col).isNotNull()).select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.withColumn("text_id", _text_id(F.col("text")))
 
 
@@ -368,6 +371,7 @@ def keep_similar_first(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an id stay. A row goes only if its own text is a copy, whatever other rows of its id hold."""
     base = _with_text_id(docs, id_col, text_col)
     gone = base.join(_similar_texts(base), "text_id").where("doc_id <> component_id").select("doc_id", "text_id").distinct()
-    gone = materialise(gone, "similar-gone").toDF("_gone_id", "_gone_text")
-    same = (docs[id_col].cast("long") == gone["_gone_id"]) & (_text_id(docs[text_col]) == gone["_gone_text"])
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    own, text = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_text")
+    gone = materialise(gone, "similar-gone").toDF(own, text)
+    same = (docs[id_col].cast("long") == gone[own]) & (_text_id(docs[text_col]) == gone[text])
+    return docs.join(gone, same, "left_anti")

@@ -10,7 +10,8 @@ copying. A sibling stream ``*.index.arrow`` says where each document starts.
 A file counts once it is in the manifest, which Spark's own commit writes: a task that is run twice leaves a file that
 nobody reads. Nothing is gathered on the driver but one line per file.
 
-Defined cases: a null or empty text is the end id alone; rows of equal doc_id lie next to each other, in the order of
+Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole; ids are integers (others
+are refused with a ValueError); rows of equal doc_id lie next to each other, in the order of
 their texts, and keep a row each; a null doc_id comes first; an empty table gives no rows. Columns besides id and text
 aren't stored.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, slices, text_bytes, tokenizer_file, total_bytes
+from .common import fresh_path, integer_id, slices, text_bytes, tokenizer_file, total_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -60,7 +61,8 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the strings of special tokens in a text are ordinary text, as the description of the public vocabularies asks for
+        self.tokenizer.encode_special_tokens = True
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.mark = self.ids([MARK])[0]
@@ -116,7 +118,7 @@ def _sequences(flat: np.ndarray, seq_len: int, schema: pa.Schema) -> pa.RecordBa
 def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, seq_len: int = SEQ_LEN, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the store below ``path`` (a URI in a folder that all machines share); returns its manifest, a row per file."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     files = max(1, -(-total_bytes(rows, "text") // file_bytes))
     # many rows of one id are dealt by their texts
     dealt = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")

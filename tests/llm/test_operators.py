@@ -472,6 +472,11 @@ def test_op7_joins():
         assert small.encode(text) == lib.encode_ordinary(text)
         assert small.decode(small.encode(text)) == text.encode()
     assert small.encode("a" * 20_000) == lib.encode_ordinary("a" * 20_000)
+    usual = bpe.load()  # as the query runs it: most texts of the table are several leaves
+    table = [t for _, t in tables("/root/testdata/sf0.01")]
+    assert sum(len(t) > bpe.LEAF_CHARS for t in table) > 0.9 * len(table)
+    for text in [*table, LONG, "x" * 5000, " " * 3000 + "\n" * 700, "\u3000".join("日本語" * 9 for _ in range(90))]:
+        assert usual.encode(text) == lib.encode_ordinary(text)
 
 
 def test_op7(spark):
@@ -483,6 +488,11 @@ def test_op7(spark):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
     assert bpe.digests(docs(spark).limit(0)).collect() == []
     assert bpe.encode(docs(spark)).columns.count("ids") == 1
+    odd = bpe.encode(docs(spark).toDF("doc_id", "text", "IDS", "source", "n_chars", "x", "Decoded", "y"))
+    assert bpe.decode(odd).columns == ["doc_id", "text", "source", "n_chars", "x", "y", "ids", "decoded"]
+    for wrong in ([99_999_999], [None]):
+        with pytest.raises(Exception, match="no token"):
+            bpe.decode(spark.createDataFrame([(1, wrong)], "doc_id long, ids array<int>")).collect()
     assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).where("decoded = X''").count() == 2
 
 
@@ -497,7 +507,19 @@ def test_op8(spark):
         r = got[i][0]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         stored = media.pack(data)
-        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.unpack(stored) == payload and r["position"] == 1
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.unpack(stored) == payload
+        lines = (t or "").split("\n")
+        parts = [[" ".join(x.split()) for x in xs] for xs in (lines[: (len(lines) + 1) // 2], lines[(len(lines) + 1) // 2 :])]
+        before, after = ([x for x in xs if x] for xs in parts)
+        assert (r["position"], r["n_items"], r["caption"]) == (len(before), len(before) + len(after) + 1, f"{len(data)} bytes: {' '.join((t or '').split()[:5])}".strip())
+        assert r["texts_sha256"] == hashlib.sha256("\n".join(before + after).encode()).hexdigest()
+        cells = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).astype(int)
+        means = [int(cells[:, :, k].sum()) // (len(cells) * 64) for k in range(3)]
+        light, bits = cells.sum(2), []
+        for a, b in zip(np.linspace(0, len(cells), 9).astype(int)[:-1], np.linspace(0, len(cells), 9).astype(int)[1:]):
+            row = [int(light[a:b, c:d].sum()) * 1000 // max(1, (b - a) * (d - c)) for c, d in zip(np.linspace(0, 64, 10).astype(int)[:-1], np.linspace(0, 64, 10).astype(int)[1:])]
+            bits += [int(y > x) for x, y in zip(row, row[1:])]
+        assert r["feature"] == f"{len(cells)}x64:{means[0]}.{means[1]}.{means[2]}:{int(''.join(map(str, bits)), 2):016x}"
     assert got[1][0]["feature"] == got[13][0]["feature"]
     assert media.documents(docs(spark).limit(0)).collect() == []
 
@@ -507,6 +529,13 @@ def test_op8_pages(spark, sf_dir):
     items = media.items_of(html)
     assert [(x["position"], x["kind"], x["text"], x["ref"], x["caption"]) for x in items] == [(0, "text", "A b", None, None), (1, "image", None, "sha256:aa", "Cap & t"), (2, "text", "tail", None, None), (3, "image", None, "u", None)]
     assert media.items_of(None) == [] and media.items_of("<p><<a") != None  # noqa: E711
+    seen = lambda h: [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.items_of(h)]
+    assert seen('<figure><figcaption>C</figcaption><img src=a><img data-src=b></figure>x') == [("image", "a", "C"), ("image", "b", "C"), ("text", "x", None)]
+    assert seen("<figure><img src=a><figcaption>C <b>d</b><p>one</p></figure><p>two</p>") == [("image", "a", "C d one"), ("text", "two", None)]
+    assert seen("<figure><img src=a><figcaption>C<h2>head</h2><p>two</p>") == [("image", "a", "C"), ("text", "head", None), ("text", "two", None)]
+    assert seen("<figure><figure><img src=a><figcaption>in</figcaption></figure><img src=b><figcaption>out</figcaption></figure>") == [("image", "a", "in"), ("image", "b", "out")]
+    assert seen('<noscript>n<img src=a></noscript><template>t<img src=b></template><img srcset="c 1x, d 2x"><video poster=p src=v></video>') == [("text", "n", None), ("image", "a", None), ("image", "c", None), ("image", "p", None), ("video", "v", None)]
+    assert seen("<figure><figcaption>alone</figcaption></figure></figure><script>x<img src=a>") == [("text", "alone", None)]
     rows = media.sequence(media.parse(spark.createDataFrame([(1, html, "z"), (2, None, "z")], "page_id long, html string, items string")), "page_id")
     table = spark.createDataFrame([("aa", bytearray(b"1"))], "digest string, media binary")
     out = media.resolve(rows.withColumn("digest", F.expr("substring(ref, 8)")).where("ref is not null"), table.withColumnRenamed("digest", "d").withColumnRenamed("d", "digest"), "digest")
