@@ -15,8 +15,15 @@ at most, and linking each to the smallest links all. So no crowd makes pairs, an
 *Similar documents.* Two bits of 64 hold only copies with a word or two changed. ``similar_components`` finds all
 documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Of two such sets in one common
 order, the first n - ceil(0.8 n) + 1 shingles of each have one in common, so these are the keys (prefix filter):
-whatever the order, no pair that similar is without a shared key. All nodes under a key are paired, if their lengths
-allow it, and verified on whole shingle sets. Nodes are distinct texts, so exact copies cost one.
+whatever the order, no pair that similar is without a shared key. All nodes under a key are paired, if their lengths and
+the places of the key in them allow it, and verified on whole shingle sets. Nodes are distinct texts, so exact copies
+cost one.
+
+*Places.* Say the key is the first that two sets have in common in the order, at places i and j (from 1) of n and m. What
+lies before isn't in common, so 1 + min(n - i, m - j) is the most that can be; similar sets need 0.8 / 1.8 of n + m. A
+pair that is similar passes this at its first common key, which lies in both prefixes, so whatever doesn't pass at a key
+needn't be looked at there. The shorter set of a pair then has the key in its first ninth. That takes apart crowds of
+near copies with so many words of their own that no two are similar.
 
 The order is by value, but shingles that a part of the texts has often come last, so that lines which many have in
 common are seldom keys. Where more than ``CROWD_KEYS`` hold a key all the same (many near copies), a head is verified
@@ -56,7 +63,7 @@ SALTS = 8
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 CROWD_KEYS = 32
-ROUNDS = 1
+ROUNDS = 2
 COMMON = 100_000
 COMMON_PART = 16
 GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -250,7 +257,8 @@ def prefix(hashes: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.nda
 
 
 def _shingle_keys(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Of (node, text): (key, node, n), the shingles of the prefix in an order, or all of them; n counts all."""
+    """Of (node, text): (key, node, n, pos), the shingles of the prefix in an order, or all of them; n counts all, pos is the
+    key's place in the order, from 1."""
 
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
@@ -259,9 +267,10 @@ def _shingle_keys(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray] | None
             found = found if order is None else [prefix(x, *order) for x in found]
             taken = np.array([len(x) for x in found], np.int64)
             node = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), taken)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), node, pa.array(np.repeat(n, taken))], ["key", "node", "n"])
+            pos = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), node, pa.array(np.repeat(n, taken)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
 
-    return nodes.select("node", "text").mapInArrow(run, "key long, node long, n long")
+    return nodes.select("node", "text").mapInArrow(run, "key long, node long, n long, pos int")
 
 
 def _shared(keyed: DataFrame, label: str) -> DataFrame:
@@ -272,15 +281,21 @@ def _shared(keyed: DataFrame, label: str) -> DataFrame:
     return shared
 
 
-def _long_enough(n: F.Column, m: F.Column) -> F.Column:
-    return (n >= F.lit(SIMILARITY) * m - F.lit(1e-9)) & (m >= F.lit(SIMILARITY) * n - F.lit(1e-9))
+def _may_be_similar(n: F.Column, i: F.Column, m: F.Column, j: F.Column) -> F.Column:
+    """Whether sets of n and m elements can be similar whose first common one lies at the places i and j."""
+    most = F.least(n - i, m - j) + 1
+    return (n >= F.lit(SIMILARITY) * m - F.lit(1e-9)) & (m >= F.lit(SIMILARITY) * n - F.lit(1e-9)) & (most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (n + m) - F.lit(1e-9))
 
 
 def _key_pairs(held: DataFrame) -> DataFrame:
-    """All pairs (u, v) of the nodes under each key of (key, node, n, c) whose lengths allow it and whose c differ."""
-    a, b = held.select("key", "node", "n", "c"), held.select("key", "node", "n", "c").toDF("key", "node2", "n2", "c2")
-    both = a.join(b, (a["key"] == b["key"]) & (a["node"] > b["node2"]) & (a["c"] != b["c2"]) & _long_enough(F.col("n"), F.col("n2")))
-    return both.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
+    """All pairs (u, v) of the nodes under each key of (key, node, n, pos, c) that may be similar and whose c differ."""
+    names = ["key", "node", "n", "pos", "c"]
+    # of two sets the shorter has the key in its first ninth, so only such rows are one side of the join
+    short = held.where(F.col("n") - F.col("pos") + 1 >= F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * F.col("n") - F.lit(1e-9))
+    a, b = held.select(*names), short.select(*names).toDF("key", "node2", "m", "pos2", "c2")
+    longer = (a["n"] > b["m"]) | (a["n"] == b["m"]) & (a["node"] != b["node2"])
+    both = a.join(b, (a["key"] == b["key"]) & longer & (a["c"] != b["c2"]) & _may_be_similar(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
+    return both.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -313,14 +328,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _reach(rest: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """(u, v) of ``star_components``, of the edges and of more for the crowded keys of (key, node, n), until none has an
+    """(u, v) of ``star_components``, of the edges and of more for the crowded keys of (key, node, n, pos), until none has an
     unverified pair across components."""
     for i in range(rounds + 1):
         reach = star_components(edges)
-        group = rest.join(reach.toDF("node", "c"), "node", "left").select("key", "node", "n", F.coalesce("c", "node").alias("c"))
+        group = rest.join(reach.toDF("node", "c"), "node", "left").select("key", "node", "n", "pos", F.coalesce("c", "node").alias("c"))
         group = materialise(group, "crowd-components")
-        by = F.xxhash64("node")  # the same order under each key
-        head = F.min_by(F.struct("node", "n", "c"), by).alias("head")
+        by = F.struct("pos", F.xxhash64("node"))  # the one with the fewest shingles of its own is like most others
+        head = F.min_by(F.struct("node", "n", "pos", "c"), by).alias("head")
         some = group.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), head).where("lo <> hi")
         some = materialise(group.join(materialise(some.select("key", "head"), "crowd-open"), "key"), "crowd-group")
         drop_files(group)
@@ -328,10 +343,10 @@ def _reach(rest: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int) ->
             return reach
         if i == rounds:
             return star_components(edges.union(_verified(_key_pairs(some), nodes)))
-        apart = (F.col("c") != F.col("head.c")) & _long_enough(F.col("n"), F.col("head.n"))
+        apart = (F.col("c") != F.col("head.c")) & _may_be_similar(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"))
         pairs = some.where(apart).select(F.greatest("node", "head.node").alias("u"), F.least("node", "head.node").alias("v")).distinct()
         edges = materialise(edges.union(_verified(pairs, nodes)), "similar-edges")
-        rest = materialise(some.where("node <> head.node").select("key", "node", "n"), "crowd-rest")
+        rest = materialise(some.where("node <> head.node").select("key", "node", "n", "pos"), "crowd-rest")
 
 
 def _text_id(text: F.Column) -> F.Column:
@@ -351,7 +366,7 @@ def _similar_texts(base: DataFrame, crowd: int = CROWD_KEYS, rounds: int = ROUND
     shared = _shared(keyed, "shingle-shared")
     drop_files(keyed)
     edges = _verified(_key_pairs(shared.where(F.col("held") <= crowd).withColumn("c", F.col("node"))), nodes)
-    reach = _reach(shared.where(F.col("held") > crowd).select("key", "node", "n"), edges, nodes, rounds)
+    reach = _reach(shared.where(F.col("held") > crowd).select("key", "node", "n", "pos"), edges, nodes, rounds)
     named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = materialise(named, "similar-named")
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))

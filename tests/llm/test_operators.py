@@ -688,3 +688,21 @@ def test_op10(spark, sf_dir):
     noise = " ".join("\U0001f9ff\U00010348" * 3 for _ in range(40))
     assert not fertility.rules(docs(spark, [(1, noise)])).first()["kept"]
     assert fertility.rules(docs(spark).limit(0)).count() == 0 and fertility.rules(docs(spark).drop("lang")).count() == len(TEXTS)
+
+
+def test_similar_places_lose_no_pair():
+    """A similar pair passes the test of places at its first common key, whatever the order and the sizes."""
+    rng = np.random.default_rng(9)
+    for _ in range(3000):
+        n = int(rng.integers(1, 90))
+        both, extra = np.unique(rng.integers(0, 1 << 40, n, np.uint64)), np.unique(rng.integers(1 << 41, 1 << 42, n // 3 + 1, np.uint64))
+        cut = int(rng.integers(0, len(extra) + 1))
+        x, y = np.concatenate([both, extra[:cut]]), np.concatenate([both, extra[cut:]])
+        if len(both) < 0.8 * (len(x) + len(y) - len(both)):
+            continue
+        weight = (np.unique(np.concatenate([x, y])), rng.integers(0, 4, len(x) + len(y) - len(both)))
+        a, b = simhash.prefix(x, *weight).tolist(), simhash.prefix(y, *weight).tolist()
+        i, j = next((i, b.index(k)) for i, k in enumerate(a) if k in b)
+        assert 1 + min(len(x) - i - 1, len(y) - j - 1) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
+        short, at = min((len(x), i + 1), (len(y), j + 1))
+        assert short - at + 1 >= 1.6 / 1.8 * short - 1e-9
