@@ -1,103 +1,103 @@
-"""Symbols and imports of the TypeScript family, by a lexer that masks literals and a scan over declarations."""
+"""Symbols and imports of the TypeScript family: a tokenizer, and a reader that walks over statements and members."""
 
 from __future__ import annotations
 
 import posixpath
 import re
+from dataclasses import dataclass
 
 from ..functions.text import CODE_EXTENSIONS
 from ..sources.aliases import resolve_alias
 from .base import Symbol, register
 
-MAX_DECLARATION_LINES = 2000
 SIGNATURE_BYTES = 200
-_W = r"[A-Za-z_$][\w$]*"
-_A = re.ASCII
-
-# -- masking ----------------------------------------------------------------
-
-_REGEX_BEFORE = set("(,=:[!&|?{};+-*%<>~^") | {""}
-_REGEX_WORDS = ("return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do")
-
-
-def masked_lines(text: str) -> list[str]:
-    """The lines of a source, comments gone and literal bodies blanked; delimiters stay, and so do template expressions."""
-    out: list[str] = []
-    line: list[str] = []
-    modes: list = ["code"]  # code, ', ", `, /, [ (in a regex class), // or /*; an int in between: brace depth of a template expression
-    i, n = 0, len(text)
-
-    def regex_may_start() -> bool:
-        code = "".join(line).rstrip()
-        if not code:
-            return True
-        word = re.search(rf"({_W})$", code)
-        return code[-1] in _REGEX_BEFORE or bool(word and word[1] in _REGEX_WORDS)
-
-    depth: list[int] = []
-    while i < n:
-        ch, two, mode = text[i], text[i : i + 2], modes[-1]
-        if ch == "\n":
-            out.append("".join(line))
-            line = []
-            if mode in ("//", "'", '"', "/", "["):  # these end with their line
-                while modes[-1] in ("//", "'", '"', "/", "["):
-                    modes.pop()
-            i += 1
+
+_LEX = re.compile(
+    r"""(?P<gap>(?:[^\S\n]|//[^\n]*)+)|(?P<line>\n)|(?P<comment>/\*(?:.*?\*/|.*\Z))|(?P<string>'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*")"""
+    r"""|(?P<name>[#@]?[^\W\d][\w$]*|[#@]?\$[\w$]*)|(?P<number>\.?\d[\w.]*)|(?P<op>=>|\.\.\.|\?\.|\?\?|&&|\|\||[=!<>+*%&|^/-]=+|.)""",
+    re.S,
+)
+_CHUNK = re.compile(r"(?:\\.|[^\\`$]|\$(?!\{))*", re.S)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: Names behind which an expression starts, so that a slash opens a regular expression there.
+_BEFORE_VALUE = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "yield", "await", "instanceof"}
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}", "${": "}"}, {")", "]", "}"}
+#: Signs that leave a statement open at the end of a line, and those that carry one on from the next.
+_OPERATORS = set("= | & : , . ? + - * / < % ! ~ ^ => ?? && || ... ?.".split()) | {"==", "===", "!=", "!==", "<=", "+=", "-=", "*=", "/=", "|=", "&="}
+_CARRY_ON = set("| & . ? : = + * / % < > => ?? && || ?. ) ] , == === != !== <= >= += -=".split()) | {"extends", "keyof", "as", "satisfies", "instanceof", "in"}
+_MODIFIERS = {"public", "private", "protected", "static", "async", "abstract", "override", "readonly", "declare", "accessor", "get", "set"}
+_NOT_MEMBERS = {"if", "for", "while", "switch", "catch", "return", "do", "else", "new", "typeof", "function", "case", "with"}
+
+
+@dataclass(frozen=True)
+class Token:
+    text: str
+    kind: str
+    line: int
+    fresh: bool  # the first of its line
+    gap: bool  # something lies between it and the one before
+
+    @property
+    def shown(self) -> str:
+        """As in a signature: literals are empty."""
+        return {"string": self.text[0] * 2, "regex": "//" + self.text.rpartition("/")[2]}.get(self.kind, self.text)
+
+
+def tokens_of(source: str) -> list[Token]:
+    """All tokens but comments. A template's marks are tokens of their own, and so are those of its expressions."""
+    out: list[Token] = []
+    inside: list[int] = []  # for each open template expression the braces that are open in it
+    at, line, fresh, gap = 0, 1, True, False
+
+    def put(text: str, kind: str):
+        nonlocal fresh, gap
+        out.append(Token(text, kind, line, fresh, gap))
+        fresh = gap = False
+
+    def template(start: int) -> int:
+        """From a template's text to the end of the template or to its next expression."""
+        nonlocal line
+        end = _CHUNK.match(source, start).end()
+        line += source.count("\n", start, end)
+        if source.startswith("${", end):
+            put("${", "mark")
+            inside.append(0)
+            return end + 2
+        if end < len(source):
+            put("`", "mark")
+        return end + 1
+
+    while at < len(source):
+        if source[at] == "`":
+            put("`", "mark")
+            at = template(at + 1)
             continue
-        if mode == "code":
-            if two in ("//", "/*"):
-                modes.append(two)
-                i += 2
-                continue
-            if ch in "'\"`":
-                modes.append(ch)
-            elif ch == "/" and regex_may_start():
-                modes.append("/")
-            elif depth and ch == "{":
-                depth[-1] += 1
-            elif depth and ch == "}":
-                if depth[-1] == 0:
-                    depth.pop()
-                    modes.pop()  # back in the template
-                else:
-                    depth[-1] -= 1
-            line.append(ch)
-        elif mode == "/*":
-            if two == "*/":
-                modes.pop()
-                i += 2
-                continue
-        elif mode == "//":
-            pass
-        elif ch == "\\":
-            i += 1 if text[i + 1 : i + 2] == "\n" else 2
+        if source[at] == "}" and inside and not inside[-1]:
+            inside.pop()
+            put("}", "mark")
+            at = template(at + 1)
+            continue
+        last = out[-1] if out else None
+        value = last and (last.kind in ("number", "string", "regex") or last.kind == "name" and last.text not in _BEFORE_VALUE or last.text in (")", "]") or last.text in ("`", "}") and last.kind == "mark")
+        if source[at] == "/" and not value and (m := _REGEX.match(source, at)):
+            put(m.group(), "regex")
+            at = m.end()
             continue
-        elif mode == "`" and two == "${":
-            line += "${"
-            depth.append(0)
-            modes.append("code")
-            i += 2
+        m = _LEX.match(source, at)
+        text, kind, at = m.group(), m.lastgroup, m.end()
+        if kind in ("gap", "line", "comment"):
+            line += text.count("\n")
+            fresh, gap = fresh or "\n" in text, True
             continue
-        elif mode == "/" and ch == "[":
-            modes.append("[")
-        elif mode == "[" and ch == "]":
-            modes.pop()
-        elif ch == mode:
-            line.append(ch)
-            modes.pop()
-        i += 1
-    out.append("".join(line))
+        if inside and text in "{}":
+            inside[-1] += 1 if text == "{" else -1
+        put(text, kind)
+        line += text.count("\n")
     return out
 
 
 # -- imports ----------------------------------------------------------------
 
-_STATEMENT = re.compile(r"^[ \t\n\f\r]*(?:import|export)[ \t\n\f\r]+[\w{*]", _A)
-_FROM = re.compile(r"\bfrom\s*[\"']([^\"']+)[\"']", _A)
-_BARE = re.compile(r"^\s*import\s*[\"']([^\"']+)[\"']", _A)
-_CALLS = (re.compile(r"\bimport\s*\(\s*[\"']([^\"']+)[\"']", _A), re.compile(r"\brequire\s*\(\s*[\"']([^\"']+)[\"']", _A))
-_COMMENT = re.compile(r"/\*.*?\*/|//.*$|/\*.*$")
 _EXTENSION = re.compile(r"\.(?:" + "|".join(CODE_EXTENSIONS) + ")$", re.I)
 
 
@@ -113,115 +113,269 @@ def import_key(importer: str, spec: str, aliases: dict) -> str:
     return spec if target is None else file_key(target)
 
 
+def specifiers(tokens: list[Token]) -> list[str]:
+    """What a source imports, in order: ``from`` of import and export statements, ``import()`` and ``require()``."""
+    found: list[str] = []
+    stated = False  # inside a statement that may name a source
+    for i, t in enumerate(tokens):
+        before = tokens[i - 1] if i else None
+        after = tokens[i + 1] if i + 1 < len(tokens) else None
+        if t.kind == "name" and t.text in ("import", "export") and (t.fresh or before is None or before.text in (";", "}")):
+            # an export of a declaration names none
+            stated = bool(after) and after.kind != "string" and (t.text == "import" or after.text in ("{", "*", "type"))
+        elif t.text == ";":
+            stated = False
+        if t.kind != "string":
+            continue
+        called = i > 1 and before.text == "(" and tokens[i - 2].text in ("import", "require")
+        named = stated and before.text == "from"
+        if called or named:
+            found.append(t.text[1:-1])
+        if named:
+            stated = False
+    return found
+
+
 def imports_in(path: str, text: str, aliases: dict) -> list[str]:
-    """Import keys in order of first appearance. A bare side-effect import counts only while a statement is open."""
-    found: dict[str, None] = {}
-    is_open = False
-    for raw in text.split("\n"):
-        line = _COMMENT.sub("", raw)
-        is_open = is_open or bool(_STATEMENT.match(line))
-        specs = []
-        if is_open:
-            m = _FROM.search(line) or _BARE.match(line)
-            if m:
-                specs.append(m[1])
-            is_open = not m and ";" not in line
-        for pattern in _CALLS:
-            specs += pattern.findall(line)
-        for key in (import_key(path, s, aliases) for s in specs):
-            if key:
-                found.setdefault(key)
-    return list(found)
+    """Import keys in order of first appearance; a bare side-effect import isn't one."""
+    keys = (import_key(path, s, aliases) for s in specifiers(tokens_of(text)))
+    return list(dict.fromkeys(k for k in keys if k))
 
 
 # -- declarations -----------------------------------------------------------
 
-_EXPORT, _DECLARE = r"^\s*(?:export\s+)?", r"(?:declare\s+)?"
-#: pattern, kind of symbol, what its block holds: body (nothing to report), members, or scope (declarations again)
-_DECLARATIONS = [
-    (re.compile(p, _A), kind, block)
-    for p, kind, block in (
-        (rf"{_EXPORT}(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_W})", "func", "body"),
-        (rf"{_EXPORT}(?:default\s+)?(?:abstract\s+)?class\s+({_W})", "type", "members"),
-        (rf"{_EXPORT}{_DECLARE}interface\s+({_W})", "type", "members"),
-        (rf"{_EXPORT}{_DECLARE}(?:const\s+)?enum\s+({_W})", "type", None),
-        (rf"{_EXPORT}{_DECLARE}(?:namespace|module)\s+({_W})", "type", "scope"),
-        (rf"{_EXPORT}{_DECLARE}type\s+({_W})\s*[=<;]", "type", None),
-    )
-]
-_VARIABLE = re.compile(rf"{_EXPORT}{_DECLARE}(const|let|var)\s+({_W})\s*(?::\s*[^=;]+)?=\s*(.*)$", _A)
-_ARROW = re.compile(rf"^(?:async\s+)?(?:\([^)]*\)|{_W})\s*(?::\s*[^=]*?)?\s*=>", _A)
-_MEMBER = re.compile(rf"^\s*(?:(?:public|private|protected|static|async|abstract|override|readonly)\s+)*(?:get\s+|set\s+)?\*?\s*({_W})\s*(?:<[^(:;]*>)?\s*\(", _A)
-#: Words that look like a member's name before a parenthesis.
-_NO_MEMBERS = {"if", "for", "while", "switch", "catch", "return", "do", "else", "new", "typeof", "function", "case", "with"}
-
-
-def _declaration(line: str) -> tuple[str, str, str | None] | None:
-    """(name, kind, block) of what a line declares."""
-    for pattern, kind, block in _DECLARATIONS:
-        if m := pattern.match(line):
-            return m[1], kind, block
-    if m := _VARIABLE.match(line):
-        value = m[3].strip()
-        if _ARROW.match(value) or value.startswith("function"):
-            return m[2], "func", "body"
-        return m[2], "const" if m[1] == "const" else "var", None
-    return None
-
-
-def _member(line: str) -> tuple[str, str, str | None] | None:
-    m = _MEMBER.match(line)
-    return (m[1], "method", "body") if m and m[1] not in _NO_MEMBERS else None
-
-
-def signature(line: str) -> str:
-    """A declaration up to its block, on one line."""
-    cut = re.search(r"(?<!\$)\{", line.strip())
-    text = " ".join((line.strip()[: cut.start()] if cut else line).split())
-    data = text.encode()
-    return text if len(data) <= SIGNATURE_BYTES else data[:SIGNATURE_BYTES].decode(errors="ignore") + "..."
-
-
-def last_line(lines: list[str], first: int) -> int:
-    """Where a declaration ends: its block's end, or the end of a statement that operators carry on."""
-    braces = others = 0
-    had_block = False
-    stop = min(len(lines), first + MAX_DECLARATION_LINES)
-    for j in range(first, stop):
-        line = lines[j]
-        braces += line.count("{") - line.count("}")
-        others += line.count("(") + line.count("[") - line.count(")") - line.count("]")
-        text = line.strip()
-        had_block = had_block or braces > 0
-        if braces > 0 or others > 0:
-            continue
-        following = lines[j + 1].strip() if j + 1 < len(lines) else ""
-        if had_block or (text and not text.endswith(("=", "|", "&", ":", ",", ".", "?", "+", "-", "*", "/", "<", ">")) and not following.startswith(("|", "&", "."))):
-            return j
-    return stop - 1
+
+class _Reader:
+    """A cursor over tokens that gathers symbols."""
+
+    def __init__(self, tokens: list[Token], first_line: int):
+        self.tokens, self.i, self.first_line, self.found = tokens, 0, first_line, []
+
+    def text(self, k: int = 0) -> str:
+        return self.tokens[self.i + k].text if 0 <= self.i + k < len(self.tokens) else ""
+
+    def is_name(self, k: int = 0) -> bool:
+        return 0 <= self.i + k < len(self.tokens) and self.tokens[self.i + k].kind == "name"
+
+    def fresh(self, k: int = 0) -> bool:
+        return self.i + k >= len(self.tokens) or self.tokens[self.i + k].fresh
+
+    def group(self) -> None:
+        """Over a bracket and all up to its partner."""
+        stack = [_OPEN[self.text()]]
+        self.i += 1
+        while stack and self.i < len(self.tokens):
+            t = self.text()
+            if t in _OPEN:
+                stack.append(_OPEN[t])
+            elif t in _CLOSE and t in stack:
+                while stack.pop() != t:  # what a broken file has left open
+                    pass
+            self.i += 1
+
+    def angles(self) -> None:
+        """Over type parameters."""
+        depth = 0
+        while self.i < len(self.tokens):
+            t = self.text()
+            if t in _OPEN:
+                self.group()
+                continue
+            depth += (t == "<") - t.count(">") * (t in (">", ">=", ">>"))
+            self.i += 1
+            if depth <= 0:
+                return
+
+    def body(self) -> bool:
+        """To the block of a declaration, past its types; False where the statement ends without one."""
+        while self.i < len(self.tokens):
+            t, before = self.text(), self.text(-1)
+            if t == "{":
+                if before not in _OPERATORS and before not in ("extends", "keyof"):
+                    return True
+                self.group()  # an object type
+            elif t in _OPEN:
+                self.group()
+            elif t in (";", "}") or self.fresh() and before not in _OPERATORS and before != "(" and t not in _CARRY_ON and t != "implements":
+                return False
+            elif t == "<":
+                self.angles()
+            else:
+                self.i += 1
+        return False
+
+    def rest(self, separators: tuple[str, ...] = (";",)) -> None:
+        """To the end of a statement: a semicolon, or a line that neither its last sign nor the next one's first carries on."""
+        begun = False
+        while self.i < len(self.tokens):
+            t = self.text()
+            if t in separators:
+                self.i += 1
+                return
+            if t in _CLOSE or begun and self.fresh() and self.text(-1) not in _OPERATORS and t not in _CARRY_ON:
+                return
+            begun = True
+            if t in _OPEN:
+                self.group()
+            else:
+                self.i += 1
+
+    def put(self, start: int, name: str, kind: str) -> None:
+        first, last, words = self.tokens[start], self.tokens[min(self.i, len(self.tokens)) - 1], []
+        for t in self.tokens[start:]:
+            if t.line != first.line or t.text == "{" and t.kind == "op":
+                break
+            words.append((" " if t.gap and words else "") + t.shown)
+        sig = "".join(words).strip()
+        data = sig.encode()
+        sig = sig if len(data) <= SIGNATURE_BYTES else data[:SIGNATURE_BYTES].decode(errors="ignore") + "..."
+        self.found.append((start, Symbol(name, kind, self.first_line + first.line, self.first_line + last.line, sig)))
+
+    def whole(self, start: int, name: str, kind: str, inner=None) -> None:
+        """A declaration with a block, or without one; ``inner`` reads what the block holds."""
+        if self.body():
+            if inner is None:
+                self.group()
+            else:
+                self.i += 1
+                inner()
+                self.i += 1
+        elif self.text() == ";":
+            self.i += 1
+        self.put(start, name, kind)
+
+    def arrow(self) -> bool:
+        """Whether a function's value starts here."""
+        mark = self.i
+        if self.text() == "async" and not self.fresh(1):
+            self.i += 1
+        found = self.text() == "function"
+        if not found:
+            if self.text() == "<":
+                self.angles()
+            if self.text() == "(":
+                self.group()
+                if self.text() == ":":
+                    while self.i < len(self.tokens) and self.text() not in ("=>", ";", "=") and not (self.fresh() and self.text(-1) not in _OPERATORS):
+                        self.group() if self.text() in _OPEN else self.angles() if self.text() == "<" else setattr(self, "i", self.i + 1)
+            elif self.is_name():
+                self.i += 1
+            found = self.text() == "=>"
+        self.i = mark
+        return found
+
+    def declaration(self) -> bool:
+        """Read one if it starts here; else nothing moves."""
+        start = self.i
+        while self.text() in ("export", "default", "declare", "abstract", "async") and (self.text() != "async" or self.text(1) == "function"):
+            self.i += 1
+        word = self.text()
+        if word == "const" and self.text(1) == "enum":
+            self.i += 1
+            word = "enum"
+        if word == "function":
+            self.i += 2 if self.text(1) == "*" else 1
+            if self.is_name():
+                name = self.text()
+                self.i += 1
+                if self.text() == "<":
+                    self.angles()
+                self.whole(start, name, "func")
+                return True
+        elif self.is_name(1) and not self.fresh(1):
+            name = self.text(1)
+            if word in ("class", "interface") and name not in ("extends", "implements"):
+                self.i += 2
+                if self.text() == "<":
+                    self.angles()
+                self.whole(start, name, "type", self.members)
+                return True
+            if word in ("enum", "namespace", "module"):
+                self.i += 2
+                while self.text() == "." and self.is_name(1):
+                    self.i += 2
+                if self.text() == "{":
+                    self.whole(start, name, "type", None if word == "enum" else self.scope)
+                    return True
+            if word == "type" and self.text(2) in ("=", "<", ";"):
+                self.i += 2
+                if self.text() == "<":
+                    self.angles()
+                self.rest()
+                self.put(start, name, "type")
+                return True
+            if word in ("const", "let", "var"):
+                self.i += 2
+                if self.text() == ":":
+                    while self.i < len(self.tokens) and self.text() not in ("=", ";") and not (self.fresh() and self.text(-1) not in _OPERATORS):
+                        self.group() if self.text() in _OPEN else setattr(self, "i", self.i + 1)
+                if self.text() == "=":
+                    self.i += 1
+                    kind = "func" if self.arrow() else "const" if word == "const" else "var"
+                    self.rest()
+                    self.put(start, name, kind)
+                    return True
+        self.i = start
+        return False
+
+    def scope(self) -> None:
+        """Declarations up to the bracket that closes this scope; blocks that aren't a function's are looked into."""
+        depth = 0
+        while self.i < len(self.tokens):
+            t, before = self.text(), self.text(-1) if self.i else ";"
+            if self.is_name() and (self.fresh() or before in (";", "{", "}")) and self.declaration():
+                continue
+            if t in ("{", "${"):
+                depth += 1
+            elif t == "}":
+                if not depth:
+                    return
+                depth -= 1
+            self.i += 1
+
+    def members(self) -> None:
+        """Methods up to the bracket that closes a class or an interface."""
+        while self.i < len(self.tokens) and self.text() != "}":
+            start = self.i
+            while self.text().startswith("@") and self.is_name():
+                self.i += 1
+                while self.text() == "." and self.is_name(1):
+                    self.i += 2
+                if self.text() == "(":
+                    self.group()
+                start = self.i
+            while self.text() in _MODIFIERS and (self.is_name(1) or self.text(1) in ("*", "[")):
+                self.i += 1
+            if self.text() == "*":
+                self.i += 1
+            name, named = self.text(), self.is_name()
+            if named:
+                self.i += 1
+                if self.text() == "?":
+                    self.i += 1
+                if self.text() == "<":
+                    self.angles()
+                if self.text() == "(" and not name.startswith("#") and name not in _NOT_MEMBERS:
+                    self.whole(start, name, "method")
+                    continue
+            if self.text() == "{":
+                self.group()  # a static block
+            elif named or self.text() not in _CLOSE:
+                before = self.i
+                self.rest((";", ","))
+                if self.i == before and self.i == start:
+                    self.i += 1
+            elif self.i == start:
+                self.i += 1
 
 
 def symbols_in(text: str, first_line: int = 0) -> list[Symbol]:
-    """Symbols outside function bodies; first_line is added to line numbers, for scripts inside other files."""
-    lines = masked_lines(text)
-    found: list[Symbol] = []
-    blocks: list[tuple[str, int]] = []  # what is open, and the depth outside of it
-    depth = 0
-    for i, line in enumerate(lines):
-        inside = blocks[-1][0] if blocks else "scope"
-        hit = None
-        if line.strip() and inside != "body":
-            hit = (_member(line) if inside == "members" else None) or _declaration(line)
-        delta = line.count("{") - line.count("}")
-        if hit:
-            name, kind, block = hit
-            found.append(Symbol(name, kind, first_line + i + 1, first_line + last_line(lines, i) + 1, signature(line)))
-            if block and delta > 0:
-                blocks.append((block, depth))
-        depth += delta
-        while blocks and depth <= blocks[-1][1]:
-            blocks.pop()
-    return found
+    """Symbols outside function bodies and values; first_line is added to line numbers, for scripts inside other files."""
+    reader = _Reader(tokens_of(text), first_line)
+    while reader.i < len(reader.tokens):
+        reader.scope()
+        reader.i += 1  # a bracket too many
+    return [s for _, s in sorted(reader.found, key=lambda x: x[0])]
 
 
 def parse(path: str, text: str, aliases: dict) -> tuple[list[Symbol], list[str]]:

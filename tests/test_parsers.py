@@ -120,3 +120,70 @@ def test_aliases(tmp_path):
     assert json.loads(strip_jsonc(text))["compilerOptions"]["paths"]["u"] == ["http://h//x"]
     (tmp_path / "tsconfig.json").write_text(text)
     assert load_aliases(str(tmp_path))["@/*"] == "src/*"
+
+
+def test_typescript_by_grammar():
+    """Declarations are told by their grammar: where lines break doesn't matter, nor what literals hold."""
+    source = """
+const a = `x ${ { b: `${1}` }.b } y
+function inTemplate() {}
+`, other = 2;
+export const VERSION = "1.0";
+const re = /[/"'`]\\/{/g, half = 4 / 2 / 1;
+export default class extends Base {}
+export class Box<T extends { id: string }> extends mixin({ x: 1 }) implements Thing {
+  static #hidden() {}
+  @log({ level: 1 }) private async *load<K>(
+    key: K,
+  ): Promise<{ ok: boolean }> {
+    function inner() {}
+  }
+  value = () => { const nope = 1; };
+  get size(): number { return this.a ? 1 : 2 }
+  static { const nope = 2; }
+  ready?(): void;
+}
+declare function overload(x: number): string
+function overload(x: any): { y: number } { return { y: x } }
+export namespace Deep.Er { export const inside = 1; function f() { const g = 1 } }
+type Fn = (x: number) =>
+  | string
+  | number
+const enum Level { Low, High }
+let later: Map<string, number> = new Map()
+const pick = async <T,>(x: T): Promise<T> => x
+const { destructured } = obj;
+if (a) {
+  var hoisted = function () { const no = 1; };
+}
+"""
+    symbols = parse_guarded("x.ts", source, {})[1]
+    assert [(s.kind, s.name) for s in symbols] == [
+        ("const", "a"), ("const", "VERSION"), ("const", "re"), ("type", "Box"), ("method", "load"), ("method", "size"), ("method", "ready"), ("func", "overload"), ("func", "overload"),
+        ("type", "Deep"), ("const", "inside"), ("func", "f"), ("type", "Fn"), ("type", "Level"), ("var", "later"), ("func", "pick"), ("func", "hoisted"),
+    ]
+    found = {s.name: s for s in symbols}
+    assert found["VERSION"].signature == 'export const VERSION = "";' and found["a"].signature == "const a = `${"
+    assert (found["load"].line_start, found["load"].line_end) == (10, 14) and (found["Fn"].line_start, found["Fn"].line_end) == (23, 25)
+    assert found["Box"].line_end == 19 and found["a"].line_end == 4 and found["re"].signature == "const re = //g, half = 4 / 2 / 1;"
+
+
+def test_typescript_imports():
+    source = """import type { A } from "./a"; import B, {
+  C,
+} from './b/index.ts'
+import "./side"
+import d = require("./d");
+export * as ns from "pkg"; export { e } from "./e"
+export const from = "./no";
+export const lazy = async () => (await import("./lazy")).default; // import x from "./comment"
+const s = `${require("./inside")}`, t = 'import q from "./text"';
+import * as again from "./a"
+"""
+    assert parse_guarded("src/x.ts", source, {})[2] == ["src/a", "src/b", "src/d", "pkg", "src/e", "src/lazy", "src/inside"]
+
+
+def test_broken_typescript_ends():
+    for source in ("class A { b( {", "const x = `${", "function f(", "}}}} const y = 1", "type T = {", "a ? /x : 1", "class { @", "export", "<p>don't</p>\nconst z = 1", "interface I { [k: string]: ( }", "enum", "@", "class A { ] }"):
+        assert parse_guarded("x.ts", source, {}, 2)[0] == "ok", source
+    assert [s.name for s in parse_guarded("x.tsx", "}}}} const y = 1;\n", {})[1]] == ["y"]
