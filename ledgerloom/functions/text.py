@@ -40,14 +40,18 @@ def short_hash(c: Column | str, pending: str = "uncommitted") -> Column:
 
 
 def parse_timestamp(c: Column | str) -> Column:
-    """Unix seconds from seconds, RFC 3339, a date, or a date and time without zone (UTC); null for anything else."""
+    """Unix seconds from seconds, RFC 3339, a date, or a date and time without zone (UTC, whatever the session's zone);
+    null for anything else."""
     c = _col(c)
-    return F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast("bigint")).when(c.rlike(TIME_SHAPES), F.unix_seconds(F.try_to_timestamp(c)))
+    zoned = F.when(~c.contains("T"), F.concat(c, F.lit("T00:00:00Z"))).when(c.rlike(r"(?:Z|[+-]\d{2}:\d{2})$"), c).otherwise(F.concat(c, F.lit("Z")))
+    return F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast("bigint")).when(c.rlike(TIME_SHAPES), F.unix_seconds(F.try_to_timestamp(zoned)))
 
 
 def format_time(c: Column | str, zero: str = "unknown") -> Column:
-    """RFC 3339 in UTC; 0 has no time."""
-    return F.when(_col(c) == 0, zero).otherwise(F.date_format(F.timestamp_seconds(_col(c)), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    """RFC 3339 in UTC, whatever the session's zone; 0 has no time."""
+    day, rest = F.floor(_col(c) / 86400).cast("int"), F.pmod(_col(c), F.lit(86400))
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(day, F.lit(0), F.lit(0), rest.cast("decimal(18,6)"))
+    return F.when(_col(c) == 0, zero).otherwise(F.concat(F.replace(at.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")))
 
 
 def shown_time(recorded_at: Column | str, created_at: Column | str) -> Column:

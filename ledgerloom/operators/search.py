@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ("summary", "reason")
-# characters that lose a diacritic, from their decompositions
-_MARKED = {chr(c): d for c in range(0xC0, 0x250) if (d := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode().lower()) and len(d) == 1}
+# characters that lose a diacritic: a Latin letter with one mark, by their decompositions
+_MARKED = {chr(c): d[0].lower() for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) == 2 and d[0].isascii()}
 _FROM, _TO = "".join(_MARKED), "".join(_MARKED.values())
 
 
@@ -24,7 +24,8 @@ class SearchError(ValueError):
 
 
 def fold(text: str) -> str:
-    return unicodedata.normalize("NFKD", text.lower()).encode("ascii", "ignore").decode() if not text.isascii() else text.lower()
+    """A query's words as ``tokens`` has them: lower case, without marks; letters of every script stay."""
+    return "".join(_MARKED.get(c, c) for c in text.lower() if not unicodedata.category(c).startswith("M"))
 
 
 def tokens(c: Column | str) -> Column:
@@ -90,17 +91,23 @@ class _Compiler:
 
     def both(self, cols) -> Column:
         out = self.without(cols)
-        while self.kind() not in ("", ")", "OR", ",", "NOT"):
-            if self.kind() == "AND":
-                self.take()
+        while self.kind() == "AND":
+            self.take()
             out = out & self.without(cols)
         return out
 
     def without(self, cols) -> Column:
-        out = self.one(cols)
+        out = self.side_by_side(cols)
         while self.kind() == "NOT":
             self.take()
-            out = out & ~self.one(cols)
+            out = out & ~self.side_by_side(cols)
+        return out
+
+    def side_by_side(self, cols) -> Column:
+        """Terms without a word between them bind tightest, then NOT, AND, OR."""
+        out = self.one(cols)
+        while self.kind() not in ("", ")", "OR", ",", "NOT", "AND"):
+            out = out & self.one(cols)
         return out
 
     def one(self, cols) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,11 @@ def _events(s, d):
 
 
 def _claims(s: SparkSession, d: str) -> DataFrame:
-    """Each hundredth event claims its file's rows so far."""
-    return changes(s, d).where("id % 100 = 0").select(F.col("id").alias("claim_seq"), "file_path", F.concat(F.lit("claim"), F.col("id")).alias("commit_hash"), F.col("id").alias("as_of_id"))
+    """Each purchase claims its file's rows so far."""
+    return changes(s, d).where("summary = 'purchase'").select(F.col("id").alias("claim_seq"), "file_path", F.concat(F.lit("claim"), F.col("id")).alias("commit_hash"), F.col("id").alias("as_of_id"))
 
 
-CLAIMS_SQL = f"(SELECT id AS claim_seq, file_path, 'claim' || id AS commit_hash, id AS as_of_id FROM {CHANGES_SQL} WHERE id % 100 = 0)"
+CLAIMS_SQL = f"(SELECT id AS claim_seq, file_path, 'claim' || id AS commit_hash, id AS as_of_id FROM {CHANGES_SQL} WHERE summary = 'purchase')"
 
 
 def _staged(s, d):
@@ -250,18 +251,26 @@ def _scalars(s, d):
 SCALARS_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber NOT IN (5, 6) THEN l_quantity::INT END AS add, CASE WHEN l_linenumber NOT IN (5, 6) THEN l_linenumber END AS del FROM lineitem"""
 
 
+#: By page: what stands in for a commit, and for a path, and whether it is valid.
+COMMITS = (("md5(html)", "true"), ("'xyz1'", "false"), ("left(md5(html), 3)", "false"), ("''", "true"), ("concat(md5(html), md5(url))", "true"), ("concat(md5(html), md5(url), '0')", "false"))
+PATHS = (("url", "true"), ("concat('/', url)", "false"), ("concat('../', url)", "false"), ("concat(url, '/../../../../../../../../../../../../x')", "false"), ("concat('a/../', url)", "true"), ("''", "false"), ("concat('./', url)", "true"))
+
+
+def _by_page(cases, k: int) -> str:
+    return "CASE " + " ".join(f"WHEN page_id % {len(cases)} = {i} THEN {c[k]}" for i, c in enumerate(cases)) + " END"
+
+
 def _text_scalars(s, d):
     p = table(s, d, "pages")
-    head = F.substring("html", 1, 300)
     return p.select(
-        "page_id", text.md_escape(head).alias("escaped"), text.like_escape(head).alias("like_escaped"), text.short_hash(F.sha2("html", 256)).alias("short"),
-        text.file_key(F.concat("url", F.lit("/index.ts"))).alias("key"), text.extension("url").alias("ext"), text.commitish(F.md5("html")).alias("commitish"), text.valid_path("url").alias("valid"),
-        F.sha2("html", 256).alias("payload_sha256"), crypto.repository_id(F.col("url")).alias("repository_id"),
+        "page_id", F.sha2(text.md_escape("html"), 256).alias("escaped_sha256"), F.sha2(text.like_escape("html"), 256).alias("like_escaped_sha256"), text.short_hash(F.sha2("html", 256)).alias("short"),
+        text.file_key(F.concat("url", F.lit("/index.ts"))).alias("key"), text.extension("url").alias("ext"), text.commitish(F.expr(_by_page(COMMITS, 0))).alias("commitish"),
+        text.valid_path(F.expr(_by_page(PATHS, 0))).alias("valid"), F.sha2("html", 256).alias("payload_sha256"), crypto.repository_id(F.col("url")).alias("repository_id"),
     )
 
 
-TEXT_SQL = f"""SELECT page_id, {_escape_sql("substr(html, 1, 300)")} AS escaped, regexp_replace(substr(html, 1, 300), '([\\\\%_])', '\\\\\\1', 'g') AS like_escaped, left(sha256(html), 8) AS short,
- url AS key, lower(regexp_extract(url, '\\.([^./]*)$', 1)) AS ext, true AS commitish, url <> '' AND url NOT LIKE '/%' AS valid, sha256(html) AS payload_sha256, left(sha256(url), 32) AS repository_id FROM pages"""
+TEXT_SQL = f"""SELECT page_id, sha256({_escape_sql("html")}) AS escaped_sha256, sha256(replace(replace(replace(html, '\\', '\\\\'), '%', '\\%'), '_', '\\_')) AS like_escaped_sha256, left(sha256(html), 8) AS short,
+ url AS key, lower(regexp_extract(url, '\\.([^./]*)$', 1)) AS ext, {_by_page(COMMITS, 1)} AS commitish, {_by_page(PATHS, 1)} AS valid, sha256(html) AS payload_sha256, left(sha256(url), 32) AS repository_id FROM pages"""
 
 
 def _timestamps(s, d):
@@ -291,13 +300,41 @@ def _scripts(s, d):
     return parsed.select("file_path", "status", F.size("symbols").alias("n_symbols"), F.size("imports").alias("n_imports"))
 
 
-def _parse_fixture(s, d):
-    go = 'package x\n\nimport "fmt"\n\ntype P struct{ A int }\n\nfunc (p *P) Show(n int) string { return fmt.Sprint(n) }\n'
-    ts = 'import { a } from "./a";\nexport const N = 1;\nexport function f(x: number) {\n  return x;\n}\nexport class K {\n  m(): void {\n  }\n}\n'
-    rows = s.createDataFrame([("x.go", go), ("src/x.ts", ts)], "file_path string, content string")
+#: A source per part, and the symbols that it has: name, kind, first and last line, signature. {k} and {n}: key and size.
+TS_SOURCE = "import {{ a }} from './m{n}';\nexport const N{k} = {n};\nexport function f{k}(x: number) {{\n  const inner = x;\n  return inner;\n}}\nexport class K{k} {{\n  m{n}(): void {{\n  }}\n}}\n"
+GO_SOURCE = "package p\n\ntype T{k} struct {{\n\tA int\n}}\n\nfunc F{k}(n int) error {{ return nil }}\n"
+TS_SYMBOLS = (("N{k}", "const", 2, 2, "export const N{k} = {n};"), ("f{k}", "func", 3, 6, "export function f{k}(x: number)"), ("K{k}", "type", 7, 10, "export class K{k}"), ("m{n}", "method", 8, 9, "m{n}(): void"))
+GO_SYMBOLS = (("T{k}", "type", 3, 5, "type T{k} struct{{...}}"), ("F{k}", "func", 7, 7, "func F{k}(n int) (error)"))
+
+
+def _filled(pattern: str) -> str:
+    """A pattern as an SQL expression over p_partkey and p_size, for both engines."""
+    parts = re.split(r"\{(k|n)\}", pattern.replace("{{", "\1").replace("}}", "\2"))
+    text_of = lambda x: "'" + x.replace("\1", "{").replace("\2", "}").replace("'", "''") + "'"
+    names = {"k": "CAST(p_partkey AS VARCHAR(20))", "n": "CAST(p_size AS VARCHAR(20))"}
+    return "concat(" + ", ".join(names[x] if i % 2 else text_of(x) for i, x in enumerate(parts)) + ")"
+
+
+def _parse_parts(s, d):
+    """Symbols of a source per part, by the Go and TypeScript parsers."""
+    def source(pattern: str):
+        parts = re.split(r"\{(k|n)\}", pattern.replace("{{", "\1").replace("}}", "\2"))
+        cols = {"k": F.col("p_partkey").cast("string"), "n": F.col("p_size").cast("string")}
+        return F.concat(*(cols[x] if i % 2 else F.lit(x.replace("\1", "{").replace("\2", "}")) for i, x in enumerate(parts)))
+
+    even = F.col("p_partkey") % 2 == 0
+    rows = table(s, d, "part").select(
+        F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.when(even, ".ts").otherwise(".go")).alias("file_path"), F.when(even, source(TS_SOURCE)).otherwise(source(GO_SOURCE)).alias("content")
+    )
     return symbols_of(parse_files(rows))
 
 
+PARSE_SQL = " UNION ALL ".join(
+    f"SELECT {_filled(n)} AS name, '{kind}' AS kind, concat('src/', p_partkey, '{ext}') AS file_path, {a} AS line_start, {b} AS line_end, {_filled(sig)} AS signature FROM part WHERE p_partkey % 2 = {odd}"
+    for odd, ext, rows in ((0, ".ts", TS_SYMBOLS), (1, ".go", GO_SYMBOLS)) for n, kind, a, b, sig in rows
+)
+
+
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """Skew flags of a finite stream of events, through the same state as a live one."""
     import uuid
@@ -305,10 +342,12 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     schema = s.read.parquet(f"{d}/events.parquet").schema
     src = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     rows = src.select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("recorded_at"))
-    name = f"skew_{uuid.uuid4().hex}"
-    q = skew_stream(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    path = f"{base}/ledgerloom/skew-{uuid.uuid4().hex}"
+    flags = skew_stream(rows)
+    q = flags.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name).select("id", "recorded_at", "skewed")
+    return s.read.schema(flags.schema).parquet(f"{path}/rows").select("id", "recorded_at", "skewed")
 
 
 STREAM_SQL = """SELECT id, recorded_at, coalesce(recorded_at <> 0 AND m <> 0 AND recorded_at < m - 5, false) AS skewed FROM (SELECT id, recorded_at, max(recorded_at) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
@@ -338,7 +377,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "journal_status": (lambda s, d: journal.status(_events(s, d)), f"SELECT count(*) AS n_changes, count(*) FILTER (WHERE commit_hash = '') AS n_pending, count(DISTINCT file_path) AS n_files, max(recorded_at) AS last_recorded_at FROM {CHANGES_SQL}"),
     "last_hmac": (lambda s, d: journal.last_hmac(_orders_journal(s, d)), "SELECT CASE WHEN max(o_orderkey) % 101 = 0 THEN '' ELSE arg_max(h, o_orderkey) END AS hmac FROM (SELECT o_orderkey, " + _hmac_sql("o_orderkey || '|' || o_orderstatus || '|' || (epoch_us(o_orderdate) // 1000000)") + " AS h FROM orders)"),
     "latest_per_key": (lambda s, d: journal.latest_per_key(_events(s, d).select(F.col("file_path").alias("key"), F.col("summary").alias("value"), F.col("id").alias("seq"))), f"SELECT file_path AS key, arg_max(summary, id) AS value FROM {CHANGES_SQL} GROUP BY 1"),
-    "pre_commit_gate": (lambda s, d: reconcile.unexplained(_staged(s, d), _events(s, d).where("id % 3 = 0")), f"SELECT DISTINCT 'u/' || user_id AS file_path FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) AND 'u/' || user_id NOT IN (SELECT file_path FROM {CHANGES_SQL} WHERE id % 3 = 0 AND source = 'agent' AND commit_hash = '')"),
+    "pre_commit_gate": (lambda s, d: reconcile.unexplained(_staged(s, d), _events(s, d)), f"SELECT DISTINCT 'u/' || user_id AS file_path FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) AND 'u/' || user_id NOT IN (SELECT file_path FROM {CHANGES_SQL} WHERE source = 'agent' AND commit_hash = '')"),
     "claim_effective_commit": (_effective, EFFECTIVE_SQL),
     "commit_coverage": (_coverage, COVERAGE_SQL),
     "fallback_rows": (lambda s, d: reconcile.fallback_rows(_coverage(s, d), 1), f"SELECT file_path, commit_hash, '' AS branch, 'fallback' AS source, CASE WHEN verifiable THEN '{reconcile.SUMMARIES['uncovered']}' ELSE '{reconcile.SUMMARIES['unverifiable'].replace(chr(39), chr(39) * 2)}' END AS summary, 1::BIGINT AS recorded_at FROM ({COVERAGE_SQL}) WHERE NOT covered"),
@@ -374,7 +413,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "alias_longest_prefix": (_aliases, ALIAS_SQL),
     "session_context": (_sessions, SESSIONS_SQL),
     "script_blocks": (_scripts, None),
-    "parse_symbols": (_parse_fixture, None),
+    "parse_symbols": (_parse_parts, PARSE_SQL),
     "stream_skew_flags": (_stream, STREAM_SQL),
 }
 

@@ -52,7 +52,7 @@ class Toolbox:
         stat = lambda f: "+%d -%d" % s if (s := stats.get(f)) else ""
         rows = [(c["file"], c["summary"], c.get("reason", ""), "agent", stat(c["file"]), "", self.git.branch(), agent_id) for c in changes]
         given = self.spark.createDataFrame(rows, "file_path string, summary string, reason string, source string, diff_stat string, commit_hash string, branch string, agent_id string").coalesce(1)
-        bad = self.journal.record(given)
+        bad = self.journal.record(given, whole=True)
         self._called(tool)
         return bad
 

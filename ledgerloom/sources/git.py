@@ -26,16 +26,18 @@ class Git:
         return self.run("rev-parse", "--show-toplevel").strip()
 
     def head(self) -> str:
-        return self.run("rev-parse", "HEAD").strip()
+        """The current commit; '' in a repository without one."""
+        return self.run("rev-parse", "--verify", "--quiet", "HEAD", ok=(0, 1)).strip()
 
     def branch(self) -> str:
-        return self.run("rev-parse", "--abbrev-ref", "HEAD").strip()
+        """The branch's name, also before its first commit; HEAD if none is checked out."""
+        return self.run("symbolic-ref", "--short", "--quiet", "HEAD", ok=(0, 1)).strip() or "HEAD"
 
     def email(self) -> str:
         return self.run("config", "user.email", ok=(0, 1)).strip()
 
     def staged(self) -> list[str]:
-        return [p for p in self.run("diff", "--cached", "--name-only", "-z").split("\0") if p]
+        return [p for p in self.run("diff", "--cached", "--name-only", "--no-renames", "-z").split("\0") if p]
 
     def _commit(self, commit: str) -> str:
         if not _COMMITISH.match(commit):
@@ -47,22 +49,24 @@ class Git:
 
     def changed_files(self, commit: str) -> list[str]:
         """Against the first parent; all files of a root commit."""
-        args = ("show", "--name-only", "--format=", "-z", commit) if self.is_root(commit) else ("diff", "--name-only", "-z", f"{commit}^", commit)
+        args = ("show", "--name-only", "--format=", "-z", commit) if self.is_root(commit) else ("diff", "--name-only", "--no-renames", "-z", f"{commit}^", commit)
         return [p for p in self.run(*args).split("\0") if p.strip()]
 
     def diff(self, path: str, commit: str = "") -> str:
         """A file's unified diff in a commit, or of the working tree."""
         if not commit:
-            return self.run("diff", "HEAD", "--", path)
+            return self.run("diff", *(["HEAD"] if self.head() else ["--cached"]), "--", path)
         args = ("show", "--format=", commit) if self.is_root(commit) else ("diff", f"{commit}^", commit)
         return self.run(*args, "--", path)
 
     def stats(self, commit: str = "") -> dict[str, tuple[int, int] | None]:
         """file -> (added, deleted); None for binary files. A root commit has no numbers."""
+        if not commit and not self.head():
+            return {}
         if commit and self.is_root(commit):
             return {p: None for p in self.changed_files(commit)}
         out: dict[str, tuple[int, int] | None] = {}
-        for line in self.run("diff", "--numstat", "-z", *((f"{commit}^", commit) if self._commit(commit) else ()) if commit else ("HEAD",)).split("\0"):
+        for line in self.run("diff", "--numstat", "--no-renames", "-z", *((f"{commit}^", commit) if self._commit(commit) else ()) if commit else ("HEAD",)).split("\0"):
             parts = line.split("\t")
             if len(parts) == 3 and parts[2]:
                 out[parts[2]] = None if "-" in parts[:2] else (int(parts[0]), int(parts[1]))

@@ -41,7 +41,7 @@ def load_salt(path: str, create: bool = True) -> bytes:
 def judged(rows: DataFrame) -> DataFrame:
     """Input rows with ``problem``: why a row can't be recorded, or ''."""
     have = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType) for f in struct(INPUT).fields}
-    rows = rows.select(*(c.alias(n) for n, c in have.items()))
+    rows = rows.select(*(c.alias(n) for n, c in have.items()), *(["seq"] if "seq" in rows.columns else []))
     rows = rows.withColumn("source", F.when(F.coalesce("source", F.lit("")) == "", DEFAULT_SOURCE).otherwise(F.col("source")))
     texts = F.concat_ws("\n", "summary", "reason")
     problem = (
@@ -70,23 +70,31 @@ class Journal:
     def claims(self) -> DataFrame:
         return self._read("claims", CLAIMS)
 
-    def record(self, rows: DataFrame, now: int | None = None) -> DataFrame:
-        """Append a batch, all of it or nothing; rows that can't be recorded are returned. ``rows`` may have ``seq`` for
-        their order."""
+    def recorded(self, batch: str) -> bool:
+        """Whether a batch of that name is in the journal. Its name is in its rows, so both are written by one commit."""
+        rows = self._read("changes", CHANGES)
+        return "batch" in rows.columns and bool(rows.where(F.col("batch") == batch).limit(1).count())
+
+    def record(self, rows: DataFrame, now: int | None = None, whole: bool = False, batch: str = "") -> DataFrame:
+        """Append the rows that can be recorded, in one commit; the others are returned. ``whole``: if there are others, none
+        is appended. ``rows`` may have ``seq`` for their order. A batch with a name is appended once."""
         ordered = rows if "seq" in rows.columns else rows.withColumn("seq", F.monotonically_increasing_id())
         seq = ordered.select("seq", *(c for c in rows.columns if c != "seq"))
         marked = judged(seq)
-        bad = marked.where("problem <> ''")
+        bad = marked.where("problem <> ''").drop("seq")
+        if batch and self.recorded(batch) or whole and bad.limit(1).count():
+            return bad
         last = self.changes().agg(F.max("id").alias("id"), F.max_by("hmac", "id").alias("hmac"), F.max("recorded_at").alias("at")).first()
         now = int(time.time()) if now is None else now
         good = marked.where("problem = ''").drop("problem").withColumn("recorded_at", F.coalesce("recorded_at", F.lit(now).cast("long")))
-        order = W.orderBy(F.monotonically_increasing_id())  # a batch of one writer
+        order = W.orderBy("seq")  # a batch of one writer
         good = good.withColumn("id", F.row_number().over(order) + F.lit(last["id"] or 0).cast("long"))
         most = F.max("recorded_at").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, -1))
         most = F.greatest(F.coalesce(most, F.lit(0)), F.lit(last["at"] or 0))
         skewed = (F.col("recorded_at") != 0) & (most != 0) & (F.col("recorded_at") < most - integrity.SKEW_SECONDS)
         good = good.withColumn("clock_tamper_warning", skewed).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
         signed = integrity.sign(normalise_changes(good), self.key, last["hmac"] or "")
+        signed = signed.withColumn("batch", F.lit(batch)) if batch else signed
         signed.write.mode("append").parquet(f"{self.path}/changes")
         return bad
 

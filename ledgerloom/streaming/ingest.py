@@ -17,19 +17,13 @@ from ..sources.journal_store import Journal
 def ingest(stream: DataFrame, journal: Journal, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
     """Record a stream of input rows batch by batch, in order; one writer per journal. Refused rows go to a folder.
 
-    A batch that was recorded before its checkpoint was written is recognised by its number and not recorded again."""
+    A batch's rows carry its number, so one that was recorded before its checkpoint was written is recognised and not
+    recorded again; its refused rows lie in a folder of its own and are written over."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        done = f"{journal.path}/batches"
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            return
-        bad = journal.record(rows)
+        bad = journal.record(rows, batch=f"stream-{number}")
         if quarantine:
-            bad.write.mode("append").parquet(quarantine)
-        fs.mkdirs(path)
+            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

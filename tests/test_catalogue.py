@@ -42,5 +42,4 @@ def test_entry(spark):
 
 
 def test_parser_queries(spark, sf_dir):
-    assert catalogue.queries()["parse_symbols"](spark, sf_dir).count() == 6
     assert catalogue.queries()["script_blocks"](spark, sf_dir).where("status = 'ok'").count() == 50

@@ -118,6 +118,14 @@ def test_search_against_sqlite(spark):
         want = sorted(r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,)))
         assert sorted(r["id"] for r in search.search(df, q).collect()) == want, q
         assert sorted(r["id"] for r in search.search(search.tokenise(df), q).collect()) == want, q
+    more = [("привет мир", "日本 語"), ("straße a", "Ελλάδα"), ("a b", "x"), ("a b c", ""), ("a c", ""), ("b c", ""), ("a", ""), ("Việt Nam ǖ", "ñandú Ünïcode"), ("МИР a", "й")]
+    con.execute("DELETE FROM t")
+    con.executemany("INSERT INTO t (rowid, summary, reason) VALUES (?, ?, ?)", [(i + 1, a, b) for i, (a, b) in enumerate(more)])
+    df = spark.createDataFrame([(i + 1, a, b, 0) for i, (a, b) in enumerate(more)], "id long, summary string, reason string, recorded_at long")
+    queries = ["привет", "МИР", "мир NOT a", "日本", "straße", "strasse", "STRASSE", "ελλάδα", "a NOT b c", "a NOT (b c)", "a NOT b NOT c", "a b NOT c", "a AND b NOT c", "a NOT b AND c", "a OR b NOT c", "a NOT b OR c", "a c OR b c NOT a", "vi*", "Nam", "nandu", "unicode", "ünïcode", "й", "и", "прив*", '"b c"', "summary:a NOT b"]
+    for q in queries:
+        want = sorted(r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,)))
+        assert sorted(r["id"] for r in search.search(df, q).collect()) == want, q
     for bad in ("fix-password", '"open', "AND", "nocolumn:x"):
         with pytest.raises(search.SearchError):
             search.matches(bad)
@@ -196,6 +204,13 @@ def test_journal_store_and_stream(spark, tmp_path):
     for _ in range(2):
         ingest(stream, store, str(tmp_path / "cp")).awaitTermination()
     assert store.changes().count() == 3 and [r["kind"] for r in store.verify().collect()] == ["clock"]
+    again = spark.createDataFrame([("c.go", "three", "", "agent", 200), ("..", "x", "", "agent", 1)], "file_path string, summary string, reason string, source string, recorded_at long")
+    assert store.recorded("stream-0") and store.record(again, batch="stream-0").count() == 1 and store.changes().count() == 3  # killed before its checkpoint
+    assert store.record(again, whole=True).count() == 1 and store.changes().count() == 3
+    turned = spark.createDataFrame([(k, f"s{k}.go", f"{k}", 300) for k in (3, 1, 2)], "seq long, file_path string, summary string, recorded_at long").repartition(3)
+    other = Journal(spark, str(tmp_path / "ordered"), KEY)
+    other.record(turned)
+    assert [r["summary"] for r in other.changes().orderBy("id").collect()] == ["1", "2", "3"]
     store.claim("abc1", ["a.go"])
     assert reconcile.effective_commits(store.changes(), store.claims()).where("effective_commit = 'abc1'").count() == 1
     fresh = store.rotate(b"n" * 32, str(tmp_path / "j2"), force=True)
@@ -224,6 +239,25 @@ def test_config(tmp_path):
         config.load(str(tmp_path), {})
 
 
+def test_git_without_commit_and_with_renames(tmp_path):
+    root = tmp_path / "r"
+    subprocess.run(["git", "init", "-q", "-b", "main", str(root)], check=True)
+    git = Git(str(root))
+    assert (git.head(), git.branch(), git.stats()) == ("", "main", {})
+    sh = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.email=a@b.c", "-c", "user.name=x", *a], check=True, capture_output=True)
+    (root / "old.txt").write_text("".join(f"line {i}\n" for i in range(40)))
+    sh("add", "-A")
+    assert git.staged() == ["old.txt"] and "line 3" in git.diff("old.txt")
+    sh("commit", "-qm", "one")
+    sh("mv", "old.txt", "new.txt")
+    with open(root / "new.txt", "a") as f:
+        f.write("more\n")
+    sh("add", "-A")
+    assert git.staged() == ["new.txt", "old.txt"]
+    sh("commit", "-qm", "two")
+    assert git.changed_files(git.head()) == ["new.txt", "old.txt"] and git.stats(git.head()) == {"new.txt": (41, 0), "old.txt": (0, 40)}
+
+
 def test_repository(spark, tmp_path):
     from ledgerloom.plans.toolbox import Toolbox
 

@@ -54,3 +54,20 @@ def test_secrets(spark):
     assert one(spark, secrets.is_secret_file(F.col("x")), "a/b.pem", "x/id_rsa.pub", "my_secret.txt", "main.go") == [True, True, True, False]
     long = one(spark, secrets.sanitise_summary(F.col("x")), "word " * 100, "a\nb", "use `x`", "ok  then", "abc")
     assert len(long[0].encode()) <= 240 and long[1:] == [None, None, "ok then", None]
+
+
+def test_times_in_any_zone(spark):
+    from ledgerloom.functions import text
+
+    rows = spark.createDataFrame([("1970-01-02",), ("1970-01-02T00:00:01",), ("1970-01-02T00:00:01Z",), ("1970-01-02T09:00:01+09:00",), ("86400",), ("soon",)], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = rows.select(text.parse_timestamp("t").alias("s")).select("s", text.format_time("s").alias("f")).collect()
+            assert [r["s"] for r in got] == [86400, 86401, 86401, 86401, 86400, None], zone
+            assert [r["f"] for r in got[:2]] == ["1970-01-02T00:00:00Z", "1970-01-02T00:00:01Z"] and got[5]["f"] is None
+            big = spark.createDataFrame([(0,), (-1,), (4102444800,)], "s long").select(text.format_time("s").alias("f"))
+            assert [r["f"] for r in big.collect()] == ["unknown", "1969-12-31T23:59:59Z", "2100-01-01T00:00:00Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
