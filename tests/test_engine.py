@@ -121,11 +121,11 @@ def test_search_against_sqlite(spark):
     more = [("привет мир", "日本 語"), ("straße a", "Ελλάδα"), ("a b", "x"), ("a b c", ""), ("a c", ""), ("b c", ""), ("a", ""), ("Việt Nam ǖ", "ñandú Ünïcode"), ("МИР a", "й")]
     con.execute("DELETE FROM t")
     con.executemany("INSERT INTO t (rowid, summary, reason) VALUES (?, ?, ?)", [(i + 1, a, b) for i, (a, b) in enumerate(more)])
-    df = spark.createDataFrame([(i + 1, a, b, 0) for i, (a, b) in enumerate(more)], "id long, summary string, reason string, recorded_at long")
+    other = spark.createDataFrame([(i + 1, a, b, 0) for i, (a, b) in enumerate(more)], "id long, summary string, reason string, recorded_at long")
     queries = ["привет", "МИР", "мир NOT a", "日本", "straße", "strasse", "STRASSE", "ελλάδα", "a NOT b c", "a NOT (b c)", "a NOT b NOT c", "a b NOT c", "a AND b NOT c", "a NOT b AND c", "a OR b NOT c", "a NOT b OR c", "a c OR b c NOT a", "vi*", "Nam", "nandu", "unicode", "ünïcode", "й", "и", "прив*", '"b c"', "summary:a NOT b"]
     for q in queries:
         want = sorted(r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,)))
-        assert sorted(r["id"] for r in search.search(df, q).collect()) == want, q
+        assert sorted(r["id"] for r in search.search(other, q).collect()) == want, q
     for bad in ("fix-password", '"open', "AND", "nocolumn:x"):
         with pytest.raises(search.SearchError):
             search.matches(bad)
