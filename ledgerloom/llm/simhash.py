@@ -63,7 +63,7 @@ SALTS = 8
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 CROWD_KEYS = 32
-ROUNDS = 2
+ROUNDS = 1
 COMMON = 100_000
 COMMON_PART = 16
 GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
