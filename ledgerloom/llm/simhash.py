@@ -178,23 +178,26 @@ def _least(edges: DataFrame, salts: int) -> DataFrame:
     return edges.withColumn("_s", F.pmod(F.hash("v"), F.lit(salts))).join(least, ["u", "_s"]).drop("_s")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node above another has a second edge: then each component is a star around its smallest id."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(True).alias("above")).union(edges.select("v", F.lit(False)))
+    held = ends.groupBy("node").agg(F.bool_or("above").alias("above"), F.count(F.lit(1)).alias("n"))
+    return held.agg(F.count_if(F.col("above") & (F.col("n") > 1))).first()[0] == 0
+
+
 def star_components(edges: DataFrame, salts: int = SALTS) -> DataFrame:
     """(u, v): v is the smallest id that u reaches, for each u that isn't itself the smallest. Edges: (u, v), u > v."""
     now = materialise(edges.select("u", "v"), "edges")
-    seen = None
-    while True:
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, salts).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         large = materialise(large, "edges")
         small = _least(large, salts).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = materialise(small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "edges")
-        state = step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_files(now)
         drop_files(large)
         now = step
-        if state == seen:
-            return now
-        seen = state
+    return now
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
@@ -342,10 +345,10 @@ def _reach(rest: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int) ->
         if some.isEmpty():
             return reach
         if i == rounds:
-            return star_components(edges.union(_verified(_key_pairs(some), nodes)))
+            return star_components(reach.union(_verified(_key_pairs(some), nodes)))
         apart = (F.col("c") != F.col("head.c")) & _may_be_similar(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"))
         pairs = some.where(apart).select(F.greatest("node", "head.node").alias("u"), F.least("node", "head.node").alias("v")).distinct()
-        edges = materialise(edges.union(_verified(pairs, nodes)), "similar-edges")
+        edges = reach.union(_verified(pairs, nodes))  # its stars hold what the edges before linked
         rest = materialise(some.where("node <> head.node").select("key", "node", "n", "pos"), "crowd-rest")
 
 
