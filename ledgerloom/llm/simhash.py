@@ -388,7 +388,8 @@ def keep_similar_first(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One document of each group of similar ones stays, that of the smallest id; columns as they are. Documents without
     an id stay. A row goes only if its own text is a copy, whatever other rows of its id hold."""
     base = _with_text_id(docs, id_col, text_col)
-    gone = base.join(_similar_texts(base), "text_id").where("doc_id <> component_id").select("doc_id", "text_id").distinct()
+    # without distinct, so that Spark may split the join at a text that very many rows hold
+    gone = base.join(_similar_texts(base), "text_id").where("doc_id <> component_id").select("doc_id", "text_id")
     own, text = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_text")
     gone = materialise(gone, "similar-gone").toDF(own, text)
     same = (docs[id_col].cast("long") == gone[own]) & (_text_id(docs[text_col]) == gone[text])
