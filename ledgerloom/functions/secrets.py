@@ -65,19 +65,21 @@ def scrub_diff(diff: Column, patterns: tuple[str, ...] = SECRET_PATTERNS) -> Col
     return F.aggregate(F.split(diff, "\n", -1), start, step, lambda a: F.array_join(a["out"], "\n"))
 
 
+def safe_summary(text: str | None) -> str | None:
+    """One safe line of at most 240 bytes, cut at a blank; None for what must not be used."""
+    text = text.strip() if isinstance(text, str) else ""
+    if not text or any(f in text for f in FORBIDDEN):
+        return None
+    line = " ".join("".join(c for c in text if c.isprintable() or c == " ").split())
+    data = line.encode()
+    if len(data) > SUMMARY_BYTES:
+        cut = data[:SUMMARY_BYTES]
+        blank = cut.rfind(b" ")
+        line = (cut[:blank] if blank > 0 else cut).decode(errors="ignore")
+    return line if len(line.encode()) >= 4 else None
+
+
 @F.pandas_udf(StringType())
 def sanitise_summary(texts: pd.Series) -> pd.Series:
-    """One safe line of at most 240 bytes, cut at a blank; null for what must not be used."""
-
-    def clean(text):
-        if text is None or not text.strip() or any(f in text for f in FORBIDDEN):
-            return None
-        line = " ".join("".join(c for c in text if c.isprintable() or c == " ").split())
-        data = line.encode()
-        if len(data) > SUMMARY_BYTES:
-            cut = data[:SUMMARY_BYTES]
-            blank = cut.rfind(b" ")
-            line = (cut[:blank] if blank > 0 else cut).decode(errors="ignore")
-        return line if len(line.encode()) >= 4 else None
-
-    return texts.map(clean)
+    """``safe_summary`` of a column."""
+    return texts.map(safe_summary)

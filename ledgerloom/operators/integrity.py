@@ -15,6 +15,7 @@ from ..functions.crypto import SIGNED, hmac_sha256, signed_payload
 from .ordered import look_back
 
 SKEW_SECONDS = 5
+MERKLE_BLOCK = 1 << 12
 FINDING = "array<struct<kind:string,detail:string>>"
 
 
@@ -41,33 +42,38 @@ def skew_flags(changes: DataFrame, order: str = "id", at: str = "recorded_at", t
     return seen.withColumn("skewed", F.coalesce((F.col(at) != 0) & (F.col("_most") != 0) & (F.col(at) < F.col("_most") - tolerance), F.lit(False))).drop("_most")
 
 
-def merkle_root(leaves: DataFrame, order: str, leaf: str, groups: tuple[str, ...] = (), checkpoint_every: int = 8) -> DataFrame:
+def merkle_root(leaves: DataFrame, order: str, leaf: str, groups: tuple[str, ...] = ()) -> DataFrame:
     """(groups, root) by pairwise reduction in order; an odd node is carried up as it is. ``leaf``: hex digests.
 
-    Without groups, level by level over a dense position: each round halves the rows. With groups, each group's leaves
-    are folded where they are (groups are meant to be small: rows of a commit)."""
+    Without groups, blocks of ``MERKLE_BLOCK`` dense positions are folded where they are, so a round leaves a row per
+    block: three rounds for 10^10 rows. Blocks are aligned, so this is the tree that level by level would give. With groups,
+    each group's leaves are folded where they are (groups are meant to be small: rows of a commit)."""
     if groups:
-        pair = lambda xs: F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / 2).cast("int")),
-            lambda i: F.when(2 * i + 1 < F.size(xs), F.sha2(F.concat(F.unhex(F.get(xs, 2 * i)), F.unhex(F.get(xs, 2 * i + 1))), 256)).otherwise(F.get(xs, 2 * i)),
-        )
-        sorted_leaves = F.transform(F.array_sort(F.collect_list(F.struct(order, leaf))), lambda s: s[leaf])
-        out = leaves.groupBy(*groups).agg(sorted_leaves.alias("_xs"))
-        levels = out.agg(F.max(F.size("_xs"))).first()[0] or 1
-        for _ in range(max(0, (levels - 1).bit_length())):
-            out = out.withColumn("_xs", F.when(F.size("_xs") > 1, pair(F.col("_xs"))).otherwise(F.col("_xs")))
-        return out.select(*groups, F.get("_xs", F.lit(0)).alias("root"))
+        return _folded(leaves, groups, order, leaf)
     level = dense_positions(leaves, order).select(F.col("_pos").alias("i"), F.col(leaf).alias("h"))
-    n, rounds = level.count(), 0
+    n = leaves.count()
     while n > 1:
-        both = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"), F.count(F.lit(1)).alias("n"))
-        level = both.select("i", F.when(F.col("n") == 2, F.sha2(F.concat(F.unhex("a"), F.unhex("b")), 256)).otherwise(F.col("a")).alias("h"))
-        n, rounds = (n + 1) // 2, rounds + 1
-        if rounds % checkpoint_every == 0 and leaves.sparkSession.sparkContext.getCheckpointDir():
+        level = _folded(level.withColumn("block", F.floor(F.col("i") / MERKLE_BLOCK)), ("block",), "i", "h", MERKLE_BLOCK).select(F.col("block").alias("i"), F.col("root").alias("h"))
+        n = -(-n // MERKLE_BLOCK)
+        if n > 1 and leaves.sparkSession.sparkContext.getCheckpointDir():
             level = level.checkpoint()
     return level.select(F.col("h").alias("root"))
 
 
+def _folded(leaves: DataFrame, groups: tuple[str, ...], order: str, leaf: str, most: int | None = None) -> DataFrame:
+    """(groups, root) of each group's leaves in order; ``most``: how many a group can have, if that is known."""
+    pair = lambda xs: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / 2).cast("int")),
+        lambda i: F.when(2 * i + 1 < F.size(xs), F.sha2(F.concat(F.unhex(F.get(xs, 2 * i)), F.unhex(F.get(xs, 2 * i + 1))), 256)).otherwise(F.get(xs, 2 * i)),
+    )
+    sorted_leaves = F.transform(F.array_sort(F.collect_list(F.struct(order, leaf))), lambda s: s[leaf])
+    out = leaves.groupBy(*groups).agg(sorted_leaves.alias("_xs"))
+    levels = most or out.agg(F.max(F.size("_xs"))).first()[0] or 1
+    for _ in range(max(0, (levels - 1).bit_length())):
+        out = out.withColumn("_xs", F.when(F.size("_xs") > 1, pair(F.col("_xs"))).otherwise(F.col("_xs")))
+    return out.select(*groups, F.get("_xs", F.lit(0)).alias("root"))
+
+
 def dense_positions(df: DataFrame, order: str, ranges: int = 64) -> DataFrame:
     """The input with ``_pos``: 0, 1, 2, ... by ``order`` (unique), counted range by range."""
     from pyspark.sql import Window as W

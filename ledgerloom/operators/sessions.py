@@ -29,10 +29,17 @@ def suggestions(spark: SparkSession, used: DataFrame, session: str = "session",
     return used.select(session, F.posexplode(open_).alias("rank", "s")).select(session, (F.col("rank") + 1).alias("rank"), F.col("s")["tool"].alias("tool"), F.col("s")["why"].alias("why"))
 
 
-def context(used: DataFrame, n_changes: int, index: dict | None = None, session: str = "session", catalogue=SUGGESTIONS) -> DataFrame:
+def elapsed(seconds: float) -> str:
+    """A span of time in whole seconds: 5s, 2m5s, 1h0m5s."""
+    h, rest = divmod(int(seconds + 0.5), 3600)
+    m, s = divmod(rest, 60)
+    return f"{h}h{m}m{s}s" if h else f"{m}m{s}s" if m else f"{s}s"
+
+
+def context(used: DataFrame, n_changes: int, index: dict | None = None, session: str = "session", catalogue=SUGGESTIONS, seconds: float | None = None) -> DataFrame:
     """(session, report): the text that a session starts with."""
     names = F.when(F.size("tools") == 0, "none yet").otherwise(F.array_join("tools", ", "))
-    head = F.concat(F.lit(f"session context\n\n- recorded changes in store: {n_changes}\n- tools used this session: "), names, F.lit("\n"))
+    head = F.concat(F.lit(f"session context\n\n- recorded changes in store: {n_changes}\n- tools used this session: "), names, F.lit("\n" if seconds is None else f"\n- time since the session began: {elapsed(seconds)}\n"))
     if not n_changes:
         return used.select(session, F.concat(head, F.lit("\nNothing is recorded yet. Record a change after each file that you edit.\n")).alias("report"))
     listed = F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(w).alias("why")) for t, w in catalogue))

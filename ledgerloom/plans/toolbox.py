@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import time
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,22 +15,29 @@ from ..functions.secrets import scrub_diff
 from ..functions.text import STATE_DIR, local_import_path
 from ..operators import codegraph, integrity, journal, reconcile, render, search, sessions
 from ..parsers.base import imports_of, parse_files, symbols_of
-from ..schemas import IMPORTS, SYMBOLS, struct
+from ..schemas import IMPORTS, INDEX_META, SYMBOLS, struct
 from ..sources import config, files
 from ..sources.aliases import load_aliases
 from ..sources.git import Git, commit_files, staged_files
 from ..sources.journal_store import Journal
+from .summariser import over_http
 
 BLOCK = "LEDGERLOOM_GATE_BLOCK"
+#: Where a commit's Merkle root is noted in git, beside the journal.
+ANCHOR_REF, ANCHOR = "refs/notes/ledgerloom", "ledgerloom-root: "
 
 
 class Toolbox:
-    """Twelve tools over a journal and a code index of one repository."""
+    """Twelve tools over a journal and a code index of one repository. ``summarise(path, diff)`` gives a text or None, see
+    ``summariser``; without one, the settings decide. Settings are the repository's own unless given."""
 
-    def __init__(self, spark: SparkSession, root: str, store: Journal, index_path: str, summarise=None):
-        self.spark, self.root, self.journal, self.index_path, self.summarise = spark, root, store, index_path, summarise
+    def __init__(self, spark: SparkSession, root: str, store: Journal, index_path: str, summarise=None, settings: config.Config | None = None):
+        self.spark, self.root, self.journal, self.index_path = spark, root, store, index_path
+        self.settings = config.load(root) if settings is None else settings
+        self.summarise = over_http(self.settings.summariser) if summarise is None and self.settings.summariser.enabled else summarise
         self.git = Git(root)
         self.calls: list[tuple[str, str]] = []
+        self.began = time.monotonic()
 
     # tools
 
@@ -37,7 +46,7 @@ class Toolbox:
 
     def get_session_context(self) -> DataFrame:
         used = self.spark.createDataFrame([("", sorted({t for _, t in self.calls}))], "session string, tools array<string>")
-        out = sessions.context(used, self.journal.changes().count(), self.index_state())
+        out = sessions.context(used, self.journal.changes().count(), self.index_state(), seconds=time.monotonic() - self.began)
         self._called("get_session_context")
         return out
 
@@ -50,12 +59,16 @@ class Toolbox:
     def _record(self, changes: list[dict], agent_id: str, tool: str) -> DataFrame:
         stats = self.git.stats()
         stat = lambda f: "+%d -%d" % s if (s := stats.get(f)) else ""
-        rows = [(c["file"], c["summary"], c.get("reason", ""), "agent", stat(c["file"]), "", self.git.branch(), agent_id) for c in changes]
-        given = self.spark.createDataFrame(rows, "file_path string, summary string, reason string, source string, diff_stat string, commit_hash string, branch string, agent_id string").coalesce(1)
+        rows = [(c["file"], c["summary"], c.get("reason", ""), "agent", stat(c["file"]), self._diff_hash(c["file"]), "", self.git.branch(), agent_id) for c in changes]
+        given = self.spark.createDataFrame(rows, "file_path string, summary string, reason string, source string, diff_stat string, diff_hash string, commit_hash string, branch string, agent_id string").coalesce(1)
         bad = self.journal.record(given, whole=True)
+        self.render_changes([c["file"] for c in changes])
         self._called(tool)
         return bad
 
+    def _diff_hash(self, file: str, commit: str = "") -> str:
+        return self.git.diff_hash(file, commit) if commit or self.git.head() else ""
+
     def get_file_history(self, file: str, limit: int | None = None) -> DataFrame:
         self._called("get_file_history")
         return journal.file_history(self.effective(), file, journal.clamp(limit, 10))
@@ -78,7 +91,8 @@ class Toolbox:
 
     def list_symbols(self, file: str, limit: int | None = None) -> DataFrame:
         self._called("list_symbols")
-        return codegraph.symbols_of_file(self.symbols(), file).limit(journal.clamp(limit, 50))
+        found = codegraph.symbols_of_file(self.symbols(), file).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("file_path")))  # of one file
+        return found.orderBy("line_start", "name").limit(journal.clamp(limit, 50))
 
     def find_symbol(self, name: str, limit: int | None = None) -> DataFrame:
         self._called("find_symbol")
@@ -104,26 +118,49 @@ class Toolbox:
         """Claim, cover, fall back, render, index, anchor; returns the Merkle root of the commit's rows."""
         commit = commit or self.git.head()
         changed = commit_files(self.spark, self.git, [commit])
-        self.journal.claim(commit, [r["file_path"] for r in changed.collect()])
+        names = [r["file_path"] for r in changed.collect()]  # of one commit
+        self.journal.claim(commit, names)
         rows = self.effective()
         agent = rows.where((F.col("source") == "agent") & (F.col("commit_hash") == commit)).select("file_path", "commit_hash", "diff_stat")
-        missing = reconcile.fallback_rows(reconcile.coverage(changed, agent), int(time.time()), self.git.branch(), self.summarise)
-        self.journal.record(missing.coalesce(1))
-        self.render_changes()
-        self.index_incremental([r["file_path"] for r in changed.collect()])
+        covered = reconcile.coverage(changed, agent)
+        told = self._told([r["file_path"] for r in reconcile.fallback_rows(covered, 0).collect()], commit)
+        text = lambda path, _: F.col("_text")
+        missing = reconcile.fallback_rows(covered.join(told.select("file_path", "_text"), "file_path", "left"), int(time.time()), self.git.branch(), text)
+        self.journal.record(missing.join(told.drop("_text"), "file_path", "left").orderBy("file_path").coalesce(1))
+        self.render_changes(names)
+        if self.settings.index.enabled:
+            self.index_incremental(names)
         own = self.effective().where(F.col("commit_hash") == commit)
         root = integrity.merkle_root(own.select("id", "hmac"), "id", "hmac").first()
+        if root:
+            try:
+                self.git.add_note(ANCHOR_REF, ANCHOR + root["root"], commit)
+            except RuntimeError as e:  # the journal holds without its anchor
+                warnings.warn(f"no anchor for {commit[:12]}: {e}", stacklevel=2)
         return root["root"] if root else ""
 
+    def _told(self, names: list[str], commit: str) -> DataFrame:
+        """(file_path, diff_stat, diff_hash, _text) of uncovered files of a commit; the text is a summariser's, or null. It is
+        shown diffs without secrets."""
+        stats = self.git.stats(commit)
+        rows = [(f, "+%d -%d" % stats[f] if stats.get(f) else "", self._diff_hash(f, commit)) for f in names]
+        texts: dict[str, str | None] = {}
+        if self.summarise and names:
+            shown = self.spark.createDataFrame([(f, self.git.diff(f, commit)) for f in names], "f string, d string").select("f", scrub_diff(F.col("d")).alias("d"))
+            texts = {r["f"]: self.summarise(r["f"], r["d"]) for r in shown.toLocalIterator()}
+        return self.spark.createDataFrame([(*r, texts.get(r[0])) for r in rows], "file_path string, diff_stat string, diff_hash string, _text string")
+
     def gate(self, env: dict | None = None) -> tuple[DataFrame, bool]:
         """Staged files without a recorded reason, and whether the commit is to be stopped."""
         found = reconcile.unexplained(staged_files(self.spark, self.git), self.effective())
         block = config.truthy((os.environ if env is None else env).get(BLOCK, ""))
         return found, block and found.limit(1).count() > 0
 
-    def render_changes(self) -> int:
+    def render_changes(self, only: list[str] | None = None) -> int:
+        """Write the hints of all files, or of those of a batch, and the change log."""
         rows = self.effective()
-        hints = render.file_hints(rows).select("path", "content")
+        some = rows if only is None else rows.where(F.col("file_path").isin(sorted(set(only))))
+        hints = render.file_hints(some).select("path", "content")
         return files.write_rendered(hints.union(render.changelog(rows)), self.root)
 
     def verify(self) -> dict[str, DataFrame]:
@@ -164,14 +201,15 @@ class Toolbox:
 
     def index(self, force: bool = False, only: list[str] | None = None) -> dict:
         """Parse, guard, append as a new scan. A full scan also marks what is gone as deleted."""
-        found, counts = files.scan(self.spark, self.root, self.git, only=only)
-        parsed = parse_files(found, load_aliases(self.root)).cache()
+        limits = self.settings.index
+        found, counts = files.scan(self.spark, self.root, self.git, max_size=limits.max_file_size, only=only, languages=limits.languages)
+        parsed = parse_files(found, load_aliases(self.root), limits.parse_timeout_ms / 1000).cache()
         scan_id = int(time.time() * 1000)
         good = parsed.where("status = 'ok'")
         new_symbols, new_imports = symbols_of(good), imports_of(good)
         before = self.symbols().count()
         if only is None:
-            codegraph.guard(new_symbols, new_imports, before, force=force)
+            codegraph.guard(new_symbols, new_imports, before, max(0, self.index_size()), limits.max_bytes, force)
         stamp = lambda df: df.withColumn("scan_id", F.lit(scan_id).cast("long"))
         scans = good.select("file_path", F.lit(scan_id).cast("long").alias("scan_id"), F.lit(False).alias("deleted"))
         known = codegraph.indexed_files(self.symbols(), self.imports())
@@ -186,17 +224,45 @@ class Toolbox:
         stamp(new_imports).write.mode("append").parquet(f"{self.index_path}/imports")
         scans.write.mode("append").parquet(f"{self.index_path}/scans")
         parsed.unpersist()
-        self.render_index(counts)
+        if only is None:  # a partial scan doesn't see what it skips elsewhere
+            self._meta(counts, scan_id).write.mode("overwrite").parquet(f"{self.index_path}/meta")
+        self.render_index(counts if only is None else None)
         return counts | {"symbols": self.symbols().count(), "files": scans.where("not deleted").count()}
 
+    def index_size(self) -> int:
+        """Bytes of the index's files; -1 if there is none."""
+        if not os.path.isdir(self.index_path):
+            return -1
+        return sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(self.index_path) for n in names)
+
+    def _meta(self, counts: dict, scan_id: int) -> DataFrame:
+        s = codegraph.summary(self.symbols(), self.imports()).first()
+        row = (scan_id // 1000, s["file_count"], s["symbol_count"], s["language_counts"], counts["skipped"], counts["unsupported"])
+        return self.spark.createDataFrame([row], INDEX_META)
+
+    def _counts(self) -> dict:
+        """What the last full scan skipped and had no parser for."""
+        row = self._table("meta", INDEX_META).first()
+        return {"skipped": row["skipped_count"] if row else 0, "unsupported": row["unsupported_count"] if row else 0}
+
+    def index_status(self) -> DataFrame:
+        """One row: files, symbols and imports now, files per language, when it was last scanned, what a full scan left out, bytes."""
+        state, counts = self.index_state() or {}, self._counts()
+        return codegraph.summary(self.symbols(), self.imports()).select(
+            "*", F.lit(state.get("last_indexed_at", 0)).cast("long").alias("last_indexed_at"), F.lit(counts["skipped"]).alias("skipped_count"),
+            F.lit(counts["unsupported"]).alias("unsupported_count"), F.lit(self.index_size()).cast("long").alias("size_bytes"),
+        )
+
     def index_incremental(self, paths: list[str]) -> dict:
         return self.index(force=True, only=paths)
 
     def render_index(self, counts: dict | None = None) -> None:
         module = files.module_path(self.root)
-        notes = render.file_notes(self.symbols(), self.imports(), module).select("path", "content")
+        wiki = self.settings.index.wikilinks
+        notes = render.file_notes(self.symbols(), self.imports(), module, wiki).select("path", "content")
         state = self.index_state() or {}
-        rollup = render.index_rollup(self.symbols(), self.imports(), state.get("last_indexed_at", 0), (counts or {}).get("skipped", 0), (counts or {}).get("unsupported", 0), module)
+        counts = counts or self._counts()
+        rollup = render.index_rollup(self.symbols(), self.imports(), state.get("last_indexed_at", 0), counts["skipped"], counts["unsupported"], module, wiki)
         files.write_rendered(notes.union(rollup), self.root)
         files.prune_notes(self.root, {r["path"] for r in notes.select("path").collect()})
 
@@ -204,4 +270,4 @@ class Toolbox:
         known = codegraph.indexed_files(self.symbols(), self.imports())
         disk = files.listed(self.spark, self.root, self.git).select("file_path", "length", "ignored")
         noted = files.notes(self.spark, os.path.join(self.root, STATE_DIR, "index"))
-        return codegraph.drift(known, disk, noted)
+        return codegraph.drift(known, disk, noted, self.settings.index.max_file_size)

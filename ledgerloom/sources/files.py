@@ -48,9 +48,9 @@ def contents(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     return read.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("file_path"), "length", "content")
 
 
-def scan(spark: SparkSession, root: str, git: Git | None = None, extra_ignore: str | None = None, max_size: int = MAX_FILE_BYTES, only: list[str] | None = None) -> tuple[DataFrame, dict]:
+def scan(spark: SparkSession, root: str, git: Git | None = None, extra_ignore: str | None = None, max_size: int = MAX_FILE_BYTES, only: list[str] | None = None, languages: list[str] | None = None) -> tuple[DataFrame, dict]:
     """Files to be parsed, and how many were skipped or have no parser. Size and kind are judged before a byte is read.
-    ``only``: an incremental scan of these paths (links are followed there)."""
+    ``only``: an incremental scan of these paths (links are followed there); ``languages``: those to parse, or all."""
     rows = listing(root, git, extra_ignore)
     if only is not None:
         wanted = set(only)
@@ -58,6 +58,8 @@ def scan(spark: SparkSession, root: str, git: Git | None = None, extra_ignore: s
             (p, os.stat(os.path.join(root, p)).st_size, parser_for(p) is not None, False)
             for p in sorted(wanted) if os.path.islink(os.path.join(root, p)) and os.path.isfile(os.path.join(root, p))
         ]
+    if languages is not None:
+        rows = [(p, n, supported and parser_for(p)[0] in languages, ignored) for p, n, supported, ignored in rows]
     good = [p for p, n, supported, ignored in rows if supported and not ignored and n <= max_size]
     counts = {"unsupported": sum(not r[2] and not r[3] for r in rows), "skipped": sum(r[2] and not r[3] and r[1] > max_size for r in rows)}
     return contents(spark, root, good), counts

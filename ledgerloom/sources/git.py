@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import subprocess
 
@@ -59,6 +60,14 @@ class Git:
         args = ("show", "--format=", commit) if self.is_root(commit) else ("diff", f"{commit}^", commit)
         return self.run(*args, "--", path)
 
+    def diff_hash(self, path: str, commit: str = "") -> str:
+        """SHA-256 of a file's diff without blanks around it; '' where git can't tell."""
+        try:
+            diff = self.diff(path, commit)
+        except RuntimeError:
+            return ""
+        return hashlib.sha256(diff.strip().encode()).hexdigest()
+
     def stats(self, commit: str = "") -> dict[str, tuple[int, int] | None]:
         """file -> (added, deleted); None for binary files. A root commit has no numbers."""
         if not commit and not self.head():
@@ -82,8 +91,8 @@ class Git:
             found |= set(self.run("-c", f"core.excludesFile={extra_file}", "check-ignore", "--no-index", "--stdin", "-z", stdin=stdin, ok=(0, 1)).split("\0"))
         return found - {""}
 
-    def add_note(self, ref: str, text: str) -> None:
-        self.run("notes", "--ref", ref, "add", "--force", "-m", text, "HEAD")
+    def add_note(self, ref: str, text: str, commit: str = "HEAD") -> None:
+        self.run("notes", "--ref", ref, "add", "--force", "-m", text, commit if commit == "HEAD" else self._commit(commit))
 
 
 def commit_files(spark: SparkSession, git: Git, commits: list[str]) -> DataFrame:

@@ -91,6 +91,18 @@ def test_merkle(spark, n):
     assert [r["root"] for r in integrity.merkle_root(df, "id", "h", ("g",)).collect()] == level
 
 
+@pytest.mark.parametrize("n", [4, 5, 16, 17, 70])
+def test_merkle_over_many_blocks(spark, monkeypatch, n):
+    import hashlib
+
+    monkeypatch.setattr(integrity, "MERKLE_BLOCK", 4)
+    level = leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    while len(level) > 1:
+        level = [hashlib.sha256(bytes.fromhex("".join(level[i : i + 2]))).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    df = spark.createDataFrame([(i * 3, h) for i, h in enumerate(leaves)], "id long, h string").repartition(5)
+    assert [r["root"] for r in integrity.merkle_root(df, "id", "h").collect()] == level
+
+
 def test_claims_and_coverage(spark):
     rows = made(
         spark, {"file_path": "x", "source": "agent"}, {"file_path": "x", "source": "agent", "commit_hash": "old"}, {"file_path": "x", "source": "agent"},
@@ -190,6 +202,95 @@ def test_sessions(spark):
     assert "Suggested" not in sessions.context(used, 0).first()["report"]
 
 
+def test_elapsed():
+    assert [sessions.elapsed(x) for x in (0, 4.6, 65, 3605)] == ["0s", "5s", "1m5s", "1h0m5s"]
+
+
+def test_summariser_has_limits():
+    import threading
+
+    from ledgerloom.plans.summariser import BREAKER, GuardedSummariser, over_http
+    from ledgerloom.sources.config import Summariser
+
+    asked = []
+    good = GuardedSummariser(lambda prompt: asked.append(prompt) or " Adds a  parser ", Summariser(max_diff_bytes=5))
+    assert good("a.go", "0123456789") == "Adds a parser" and "01234" in asked[0] and "56789" not in asked[0]
+    assert GuardedSummariser(lambda prompt: "run `rm`")("a", "") is None and GuardedSummariser(lambda prompt: None)("a", "") is None
+    answers = iter([ValueError, "Fine now", ValueError, ValueError, ValueError])
+    calls = []
+
+    def shaky(prompt):
+        calls.append(prompt)
+        if (a := next(answers)) is ValueError:
+            raise ValueError
+        return a
+
+    guarded = GuardedSummariser(shaky)
+    assert [guarded("a", "") for _ in range(7)] == [None, "Fine now", None, None, None, None, None]
+    assert len(calls) == 2 + BREAKER and guarded.open
+    slow = GuardedSummariser(lambda prompt: threading.Event().wait(30) or "late", Summariser(timeout_ms=50))
+    assert slow("a", "") is None and slow.failures == 1
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Model(BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"response": "Drops a call."}')
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert over_http(Summariser(endpoint=f"http://127.0.0.1:{server.server_port}"))("a", "") == "Drops a call."
+    server.shutdown()
+    server.server_close()
+
+
+def test_commit_job(spark, tmp_path):
+    """Diff hashes and numbers, a summariser's text, the anchor, settings and the state of the index."""
+    from ledgerloom.plans.toolbox import ANCHOR, ANCHOR_REF, Toolbox
+
+    root = tmp_path / "repo"
+    root.mkdir()
+    sh = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.email=a@b.c", "-c", "user.name=x", *a], check=True, capture_output=True)
+    sh("init", "-q", "-b", "main")
+    sh("config", "user.email", "a@b.c")
+    sh("config", "user.name", "x")
+    for name in ("a.go", "b.go", "c.go", "id_rsa.go"):
+        (root / name).write_text("package m\n\nfunc One() {}\n")
+    (root / "big.go").write_text("package m\n" + "// x\n" * 100)
+    (root / "t.ts").write_text("export function two() {}\n")
+    sh("add", "-A")
+    sh("commit", "-qm", "one")
+    settings = config.Config(index=config.Index(languages=["go"], max_file_size=100))
+    shown = {}
+    box = Toolbox(spark, str(root), Journal(spark, str(tmp_path / "j"), KEY), str(tmp_path / "ix"), lambda path, diff: shown.setdefault(path, diff) and {"b.go": "Adds Two to b"}.get(path), settings)
+    box.index()
+    state = box.index_status().first()
+    assert (state["file_count"], state["symbol_count"], state["skipped_count"], state["unsupported_count"], state["language_counts"]) == (4, 4, 1, 1, {"go": 4})
+    assert state["last_indexed_at"] > 0 and state["size_bytes"] > 0
+    assert [(r["name"], r["total"]) for r in box.list_symbols("a.go").collect()] == [("One", 1)]
+    for name in ("a.go", "b.go", "c.go", "id_rsa.go"):
+        (root / name).write_text("package m\n\nfunc One() {}\n\nfunc Two() {}\n")
+    work = box.git.diff_hash("a.go")
+    box.record_change("a.go", "add Two")
+    assert (root / STATE_DIR / "CHANGES.md").exists() and box.verify()["rendered"].count() == 0
+    sh("add", "-A", "a.go", "b.go", "c.go", "id_rsa.go")
+    sh("commit", "-qm", "two")
+    top = box.after_commit()
+    rows = {r["file_path"]: r for r in box.get_recent_changes().collect()}
+    assert {k: (r["source"], r["diff_stat"]) for k, r in rows.items()} == {"a.go": ("agent", "+2 -0"), "b.go": ("llm", "+2 -0"), "c.go": ("fallback", "+2 -0"), "id_rsa.go": ("fallback", "+2 -0")}
+    assert rows["a.go"]["diff_hash"] == work and rows["b.go"]["diff_hash"] == box.git.diff_hash("b.go", box.git.head()) and len(work) == 64
+    assert rows["b.go"]["summary"] == "Adds Two to b" and "func Two" in shown["b.go"] and "func Two" not in shown["id_rsa.go"] and "a.go" not in shown
+    assert box.git.run("notes", "--ref", ANCHOR_REF, "show", "HEAD").strip() == ANCHOR + top
+    assert box.verify()["rendered"].count() == 0 and box.verify()["chain"].count() == 0
+    assert [r["total"] for r in box.list_symbols("b.go", 1).collect()] == [2] and box.index_status().first()["skipped_count"] == 1
+    assert "time since the session began" in box.get_session_context().first()["report"]
+
+
 def test_journal_store_and_stream(spark, tmp_path):
     salt = load_salt(str(tmp_path / "salt"))
     assert load_salt(str(tmp_path / "salt")) == salt and len(salt) == 32
