@@ -19,14 +19,16 @@ def effective_commits(changes: DataFrame, claims: DataFrame) -> DataFrame:
     The journal stays append-only; a claim (claim_seq, file_path, commit_hash, as_of_id) takes all rows of a file up to
     an id. A row belongs to its first claim: an as-of join. Claims and rows of a file are merged into one sequence by id
     and the next claim is carried back, so the cost is one sort, not a product."""
-    rows = changes.select("file_path", "id", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_commit"), F.lit(True).alias("_row"))
-    marks = claims.select("file_path", F.col("as_of_id").alias("id"), F.lit(1).alias("_k"), F.col("claim_seq").alias("_seq"), F.col("commit_hash").alias("_commit"), F.lit(False).alias("_row"))
-    # of the claims at or after a row the one with the least number
+    kinds = {f.name: f.dataType for f in changes.schema.fields}
+    given = {"file_path": F.col("file_path"), "id": F.col("as_of_id").cast(kinds["id"])}
+    rows = changes.select("*", F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_claim"))
+    marks = claims.select(*(given.get(n, F.lit(None).cast(t)).alias(n) for n, t in kinds.items()), F.lit(1).alias("_k"), F.col("claim_seq").alias("_seq"), F.col("commit_hash").alias("_claim"))
+    # of the claims at or after a row the one with the least number; the rows keep their columns, so nothing is joined back
     later = W.partitionBy("file_path").orderBy(F.col("id").desc(), F.col("_k").desc()).rowsBetween(W.unboundedPreceding, 0)
-    least = F.min(F.when(F.col("_seq").isNotNull(), F.struct("_seq", "_commit"))).over(later)
-    found = rows.union(marks).withColumn("_claim", least["_commit"]).where("_row").select("id", "_claim")
+    least = F.min(F.when(F.col("_k") == 1, F.struct("_seq", "_claim"))).over(later)
+    found = rows.union(marks).withColumn("_claim", least["_claim"]).where("_k = 0")
     own = F.when(~is_pending(), F.col("commit_hash")).when(F.col("source") == "agent", F.coalesce("_claim", F.lit(""))).otherwise("")
-    return changes.join(found, "id", "left").withColumn("effective_commit", own).drop("_claim")
+    return found.withColumn("effective_commit", own).drop("_k", "_seq", "_claim")
 
 
 def coverage(commit_files: DataFrame, agent: DataFrame) -> DataFrame:
