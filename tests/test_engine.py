@@ -119,6 +119,24 @@ def test_claims_and_coverage(spark):
     assert [r[0] for r in reconcile.unexplained(staged, rows).collect()] == ["z"]
 
 
+@pytest.mark.parametrize("hot_share", [1 / 256, 0.3, 0.9])
+def test_claims_of_a_hot_file(spark, hot_share):
+    """One file holds most rows; claims fall between ids, on ids, after all of them, twice on one id, and on no id."""
+    rng = random.Random(int(hot_share * 1000))
+    paths = [rng.choice(["hot"] * 6 + ["b", "c", "it's"]) for _ in range(400)]
+    rows = made(spark, *({"id": 2 * i, "file_path": p, "source": rng.choice(["agent", "agent", "hook"]), "commit_hash": rng.choice(["", "", "own"])} for i, p in enumerate(paths)))
+    marks = [(k, rng.choice(["hot", "hot", "b", "it's", "none"]), f"c{k}", rng.choice([None, rng.randrange(900), 2 * rng.randrange(400)])) for k in rng.sample(range(1000), 60)]
+    marks += [(1000, "hot", "a", 100), (1001, "hot", "b", 100), (1002, "c", "last", 10_000)]
+    claims = spark.createDataFrame(marks, "claim_seq long, file_path string, commit_hash string, as_of_id long")
+    want = {}
+    for r in rows.collect():
+        first = min(((k, c) for k, p, c, at in marks if p == r["file_path"] and at is not None and at >= r["id"]), default=(0, ""))[1]
+        want[r["id"]] = r["commit_hash"] or (first if r["source"] == "agent" else "")
+    got = reconcile.effective_commits(rows.repartition(7), claims, hot_share, 16)
+    assert got.columns == [*rows.columns, "effective_commit"]
+    assert {r["id"]: r["effective_commit"] for r in got.collect()} == want and got.count() == len(paths)
+
+
 def test_search_against_sqlite(spark):
     texts = [("fix password hashing", "use bcrypt instead of md5"), ("add connection pool", "reduce latency"), ("Fix the café menu", "password café"), ("hash of the fix", ""), ("pool pools pooling", "connection, then pool")]
     con = sqlite3.connect(":memory:")
