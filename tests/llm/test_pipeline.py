@@ -61,7 +61,8 @@ def test_stages_on_odd_tables(spark, sf_dir):
                     assert r["text"] == before[r["Score"]]["text"]
             if name == "near_dedup" and empty is docs:
                 ids = [r["doc_id"] for r in found]
-                assert 6 not in ids and 8 not in ids and 3 not in ids or 1 not in ids
+                came = [r["doc_id"] for r in before.values()]
+                assert not [(i, j) for i, j in ((1, 6), (4, 8), (2, 3), (2, 7)) if i in came and j in ids]
             have = out
     only = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string")
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.STAGES[1][1](spark, only, sf_dir).collect()) == [(False, 1), (False, 2), (False, 4), (False, 4), (False, 5), (True, 0)]
