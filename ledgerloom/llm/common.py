@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +63,22 @@ def drop_files(df: DataFrame) -> None:
             delete_path(df.sparkSession, name)
 
 
+def stored_at(df: DataFrame) -> str:
+    """The folder of a table made by ``materialise``."""
+    return df.inputFiles()[0].rpartition("/")[0]
+
+
+@lru_cache(1)
+def sorted_table(path: str, columns: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """A stored table of integers, sorted by its first column, kept by the worker: for tables whose size the caller has checked."""
+    store, top = pa.fs.FileSystem.from_uri(path)
+    files = [f.path for f in store.get_file_info(pa.fs.FileSelector(top)) if f.base_name.startswith("part-")]
+    parts = [pa.parquet.read_table(f, columns=list(columns), filesystem=store) for f in files]
+    found = [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in columns]
+    order = np.argsort(found[0])
+    return tuple(x[order] for x in found)
+
+
 class Scratch:
     """Tables of one operator's run: ``save`` writes one, ``drop`` deletes them all once their answers are written."""
 
