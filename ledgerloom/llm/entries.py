@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, dedup_index, delta_lloyd, fertility, lattice, media, mixing, quality, secret_scan, simhash, token_store
+from . import alignment, bpe, dedup_index, delta_lloyd, fertility, hyperminhash, lattice, media, mixing, quality, secret_scan, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": lambda s, d: media.documents(_documents(s, d)),
         "op9_secret_scan": lambda s, d: secret_scan.scan(_documents(s, d)),
         "op10_fertility_rules": lambda s, d: fertility.rules(_documents(s, d, "doc_id", "text", "lang")),
+        "op11_hyperminhash": lambda s, d: hyperminhash.components(_documents(s, d)),
         "op12_suffix_transducer": lambda s, d: alignment.documents(_documents(s, d)),
         "op13_delta_lloyd": lambda s, d: delta_lloyd.clusters(_table(s, d, "embeddings", "vec_id", "embedding")),
     }

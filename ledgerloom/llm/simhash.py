@@ -12,32 +12,13 @@ pair. Keys held by more than ``CROWD`` fingerprints aren't: each of their finger
 neighbours one bit away; those that name the same word differ in 2 bits at most by construction, there are 65 of them
 at most, and linking each to the smallest links all. So no crowd makes pairs, and none is cut off.
 
-*Similar documents.* Two bits of 64 hold only copies with a word or two changed. ``similar_components`` finds all
-documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Of two such sets in one common
-order, the first n - ceil(0.8 n) + 1 shingles of each have one in common, so these are the keys (prefix filter):
-whatever the order, no pair that similar is without a shared key. All nodes under a key are paired, if their lengths and
-the places of the key in them allow it, and verified on whole shingle sets. Nodes are distinct texts, so exact copies
-cost one.
-
-*Places.* Say the key is the first that two sets have in common in the order, at places i and j (from 1) of n and m. What
-lies before isn't in common, so 1 + min(n - i, m - j) is the most that can be; similar sets need 0.8 / 1.8 of n + m. A
-pair that is similar passes this at its first common key, which lies in both prefixes, so whatever doesn't pass at a key
-needn't be looked at there. The shorter set of a pair then has the key in its first ninth. That takes apart crowds of
-near copies with so many words of their own that no two are similar.
-
-The order is by value, but shingles that a part of the texts has often come last, so that lines which many have in
-common are seldom keys. Where more than ``CROWD_KEYS`` hold a key all the same (many near copies), a head is verified
-against all under its key that aren't in its component yet, then leaves it; after ``ROUNDS`` rounds all pairs across
-components that are left are verified. So no pair is skipped unless its two are linked already.
-
 Components: rounds of large-star and small-star steps over the links, each written to the shared folder; every node
 ends up with the smallest id that it can reach. Joins on a node's id spread heavy nodes over ``SALTS`` parts.
 
-Defined cases: a null or empty text has fingerprint zero, linked like any other; a text of any length is one fingerprint
-or shingle set; ids are integers (others are refused with a ValueError); rows with equal ids are one node, which
+Defined cases: a null or empty text has fingerprint zero, linked like any other; a text of any length is one fingerprint; ids are integers (others are refused with a ValueError); rows with equal ids are one node, which
 links whatever any of them links; a null id takes no part in links and has component null unless others share its
 fingerprint's component; repeated rows keep a row each; an empty table gives an empty table; other columns are ignored
-by ``components`` and kept, whatever their names, by ``keep_first`` and ``keep_similar_first``.
+by ``components`` and kept, whatever their names, by ``keep_first``. Similar documents are in ``similar_sets``.
 """
 
 from __future__ import annotations
@@ -52,7 +33,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import drop_files, free_name, integer_id, materialise, slices, text_bytes
-from .dedup_index import P1, rolled
 
 SHINGLE = 3
 SEED = 42
@@ -60,12 +40,6 @@ DISTANCE = 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CROWD = 64
 SALTS = 8
-SIMILAR_SHINGLE = 5
-SIMILARITY = 0.8
-CROWD_KEYS = 32
-ROUNDS = 1
-COMMON = 100_000
-COMMON_PART = 16
 GENERATOR = 0b101011100011  # fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -220,177 +194,3 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = components(docs, id_col, text_col, shingle).where("doc_id != component_id").select(F.col("doc_id").alias(own)).distinct()
     gone = materialise(gone, "simhash-gone")
     return docs.join(gone, docs[id_col] == gone[own], "left_anti")
-
-
-# similar documents
-
-
-def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """A hash per shingle, in order; a shorter text is one shingle, an empty one none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(b" ".join(words), SEED)], np.uint64)
-    known = {w: digest(w, SEED) for w in set(words)}
-    return rolled(np.fromiter((known[w] for w in words), np.uint64, len(words)), shingle, P1)
-
-
-def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts hold, sorted, and a weight of each, from a part of the texts. They only set an order."""
-    some = nodes.where(F.pmod(F.xxhash64("text_id"), F.lit(COMMON_PART)) == 0)
-    counts = _shingle_keys(some).groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").orderBy(F.desc("held"), "key").limit(COMMON)
-    found = counts.toPandas()
-    key, weight = found["key"].to_numpy(np.int64).view(np.uint64), found["held"].to_numpy(np.int64)
-    order = np.argsort(key)
-    return key[order], weight[order]
-
-
-def prefix(hashes: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n different hashes, by weight (none: 0), then by value."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    taken = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1
-    if not len(common):
-        return np.sort(hashes)[:taken]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, weight[at], 0)))[:taken]]
-
-
-def _shingle_keys(nodes: DataFrame, order: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Of (node, text): (key, node, n, pos), the shingles of the prefix in an order, or all of them; n counts all, pos is the
-    key's place in the order, from 1."""
-
-    def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            found = [np.unique(shingle_hashes(t)) for t in text_bytes(batch.column("text"))]
-            n = np.array([len(x) for x in found], np.int64)
-            found = found if order is None else [prefix(x, *order) for x in found]
-            taken = np.array([len(x) for x in found], np.int64)
-            node = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), taken)))
-            pos = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), node, pa.array(np.repeat(n, taken)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
-
-    return nodes.select("node", "text").mapInArrow(run, "key long, node long, n long, pos int")
-
-
-def _shared(keyed: DataFrame, label: str) -> DataFrame:
-    """The rows whose key others hold too, with the number of holders; both sides are dealt anew, so Spark splits a hot key."""
-    held = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), f"{label}-held")
-    shared = materialise(keyed.join(held, "key"), label)
-    drop_files(held)
-    return shared
-
-
-def _may_be_similar(n: F.Column, i: F.Column, m: F.Column, j: F.Column) -> F.Column:
-    """Whether sets of n and m elements can be similar whose first common one lies at the places i and j."""
-    most = F.least(n - i, m - j) + 1
-    return (n >= F.lit(SIMILARITY) * m - F.lit(1e-9)) & (m >= F.lit(SIMILARITY) * n - F.lit(1e-9)) & (most >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (n + m) - F.lit(1e-9))
-
-
-def _key_pairs(held: DataFrame) -> DataFrame:
-    """All pairs (u, v) of the nodes under each key of (key, node, n, pos, c) that may be similar and whose c differ."""
-    names = ["key", "node", "n", "pos", "c"]
-    # of two sets the shorter has the key in its first ninth, so only such rows are one side of the join
-    short = held.where(F.col("n") - F.col("pos") + 1 >= F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * F.col("n") - F.lit(1e-9))
-    a, b = held.select(*names), short.select(*names).toDF("key", "node2", "m", "pos2", "c2")
-    longer = (a["n"] > b["m"]) | (a["n"] == b["m"]) & (a["node"] != b["node2"])
-    both = a.join(b, (a["key"] == b["key"]) & longer & (a["c"] != b["c2"]) & _may_be_similar(F.col("n"), F.col("pos"), F.col("m"), F.col("pos2")))
-    return both.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of (u, v) those whose shingle sets are similar enough."""
-    pairs = materialise(pairs, "similar-pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    some = materialise(nodes.select("node", "text").join(wanted, "node", "left_semi"), "similar-texts")
-    left = pairs.join(some.toDF("u", "a"), "u")
-    full = left.join(some.toDF("v", "b"), "v")
-
-    def run(batches):
-        last, y = None, None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                good = []
-                for a, b in zip(text_bytes(part.column("a")), text_bytes(part.column("b"))):
-                    if b != last:
-                        last, y = b, np.unique(shingle_hashes(b))
-                    x = np.unique(shingle_hashes(a))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
-                chosen = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("u").filter(chosen), part.column("v").filter(chosen)], ["u", "v"])
-
-    edges = materialise(full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-edges")
-    drop_files(pairs)
-    drop_files(some)
-    return edges
-
-
-def _reach(rest: DataFrame, edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """(u, v) of ``star_components``, of the edges and of more for the crowded keys of (key, node, n, pos), until none has an
-    unverified pair across components."""
-    for i in range(rounds + 1):
-        reach = star_components(edges)
-        group = rest.join(reach.toDF("node", "c"), "node", "left").select("key", "node", "n", "pos", F.coalesce("c", "node").alias("c"))
-        group = materialise(group, "crowd-components")
-        by = F.struct("pos", F.xxhash64("node"))  # the one with the fewest shingles of its own is like most others
-        head = F.min_by(F.struct("node", "n", "pos", "c"), by).alias("head")
-        some = group.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), head).where("lo <> hi")
-        some = materialise(group.join(materialise(some.select("key", "head"), "crowd-open"), "key"), "crowd-group")
-        drop_files(group)
-        if some.isEmpty():
-            return reach
-        if i == rounds:
-            return star_components(reach.union(_verified(_key_pairs(some), nodes)))
-        apart = (F.col("c") != F.col("head.c")) & _may_be_similar(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos"))
-        pairs = some.where(apart).select(F.greatest("node", "head.node").alias("u"), F.least("node", "head.node").alias("v")).distinct()
-        edges = reach.union(_verified(pairs, nodes))  # its stars hold what the edges before linked
-        rest = materialise(some.where("node <> head.node").select("key", "node", "n", "pos"), "crowd-rest")
-
-
-def _text_id(text: F.Column) -> F.Column:
-    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-
-
-def _with_text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    base = docs.where(F.col(id_col).isNotNull()).select(integer_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return base.withColumn("text_id", _text_id(F.col("text")))
-
-
-def _similar_texts(base: DataFrame, crowd: int = CROWD_KEYS, rounds: int = ROUNDS) -> DataFrame:
-    """(text_id, component_id) of (doc_id, text, text_id): the smallest doc_id of the texts that each text reaches."""
-    texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
-    nodes = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
-    keyed = materialise(_shingle_keys(nodes, _common(nodes)), "shingle-keys")
-    shared = _shared(keyed, "shingle-shared")
-    drop_files(keyed)
-    edges = _verified(_key_pairs(shared.where(F.col("held") <= crowd).withColumn("c", F.col("node"))), nodes)
-    reach = _reach(shared.where(F.col("held") > crowd).select("key", "node", "n", "pos"), edges, nodes, rounds)
-    named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named = materialise(named, "similar-named")
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    return materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
-
-
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD_KEYS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, component_id) of the documents that are similar to one with a smaller id, directly or by others."""
-    base = _with_text_id(docs, id_col, text_col)
-    named = _similar_texts(base, crowd, rounds)
-    found = base.select("doc_id", "text_id").join(named, "text_id").where("doc_id <> component_id")
-    return found.select("doc_id", "component_id").distinct()
-
-
-def keep_similar_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of similar ones stays, that of the smallest id; columns as they are. Documents without
-    an id stay. A row goes only if its own text is a copy, whatever other rows of its id hold."""
-    base = _with_text_id(docs, id_col, text_col)
-    # without distinct, so that Spark may split the join at a text that very many rows hold
-    gone = base.join(_similar_texts(base), "text_id").where("doc_id <> component_id").select("doc_id", "text_id")
-    own, text = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_text")
-    gone = materialise(gone, "similar-gone").toDF(own, text)
-    same = (docs[id_col].cast("long") == gone[own]) & (_text_id(docs[text_col]) == gone[text])
-    return docs.join(gone, same, "left_anti")
