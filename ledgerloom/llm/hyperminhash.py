@@ -97,14 +97,14 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 def chance_rate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """How often registers of disjoint sets of n and m hashes agree.
 
-    A bucket's smallest hash, as a share of its range, falls off like exp(-rate x) with rate = size / BUCKETS, or 1 hash where
-    most buckets are empty. Cells at z leading zeros are 2^-(z + 1 + MANTISSA) wide, so both fall into one cell there with the
+    The smallest of a hashes of a bucket, as shares of its range, has the density a (1 - x)^(a - 1); a is how
+    many a bucket has that isn't empty. Cells at z leading zeros are 2^-(z + 1 + MANTISSA) wide, so both fall into one cell there with the
     width times the integral of the product of both densities."""
-    a, b = np.maximum(1.0, n / BUCKETS), np.maximum(1.0, m / BUCKETS)
-    s = a + b
+    a, b = (k / BUCKETS / -np.expm1(-k / BUCKETS) for k in (n, m))
+    power = (a + b - 1)[:, None]
     z = np.arange(REST_BITS)
     upper, width = 2.0**-z, 2.0 ** -(z + 1.0 + MANTISSA)
-    return (width * (a * b / s)[:, None] * (np.exp(-s[:, None] * upper / 2) - np.exp(-s[:, None] * upper))).sum(1)
+    return (width * (a * b)[:, None] / power * ((1 - upper / 2) ** power - (1 - upper) ** power)).sum(1)
 
 
 def estimates(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:

@@ -51,6 +51,7 @@ MASK = "[SECRET]"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 UNIT = 1_000_000
 BLOCK = 256
+PIECE = 1024
 BITS, PER_LONG = 5, 12  # of a count, and counts in a long
 SPAN = "struct<start:int,ord:int,end:int>"
 
@@ -65,16 +66,25 @@ def limits(thresholds: dict[str, float] = THRESHOLDS, window: int = WINDOW) -> d
     return {k: math.floor(UNIT * window * (math.log2(window) - t)) for k, t in {**thresholds, "wordlike": WORDLIKE}.items()}
 
 
-def _sums_before(lengths: Column) -> Column:
-    """For each element the sum of those before it; blocks of 256 keep the array appends from being quadratic."""
+def _before(xs: Column, op) -> Column:
+    """For each element what ``op`` makes of those before it, from 0 on; blocks of 256 keep the array appends from being quadratic."""
 
     def fold(xs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
-        return F.aggregate(xs, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")))
+        start = F.struct(F.lit(0).alias("all"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(op(a["all"], x).alias("all"), F.concat(a["before"], F.array(a["all"])).alias("before")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    joined = F.transform(F.array(F.struct(blocks.alias("b"))), lambda s: F.struct(s["b"].alias("b"), fold(F.transform(s["b"], lambda x: x["sum"]))["before"].alias("base")))
-    return F.flatten(F.flatten(F.transform(joined, lambda s: F.transform(s["b"], lambda x, i: F.transform(x["before"], lambda v: v + F.element_at(s["base"], i + 1))))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: fold(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK))))
+    joined = F.transform(F.array(F.struct(blocks.alias("b"))), lambda s: F.struct(s["b"].alias("b"), fold(F.transform(s["b"], lambda x: x["all"]))["before"].alias("base")))
+    return F.flatten(F.flatten(F.transform(joined, lambda s: F.transform(s["b"], lambda x, i: F.transform(x["before"], lambda v: op(F.element_at(s["base"], i + 1), v))))))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _blocks(text: Column, size: int) -> Column:
+    """The text in pieces of so many characters; a character of a long string is reached only by walking, one of a piece at once."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -83,7 +93,7 @@ def _found(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     shape = F.struct(hits.alias("hits"), F.transform(gaps, F.length).alias("gaps"))
     parts = F.transform(F.array(shape), lambda s: F.struct(s["hits"].alias("hits"), s["gaps"].alias("gaps"), F.zip_with(s["hits"], F.slice(s["gaps"], F.lit(1), F.size(s["hits"])), lambda h, g: g + F.length(h)).alias("steps")))
-    placed = F.transform(parts, lambda s: F.zip_with(_sums_before(s["steps"]), F.zip_with(s["hits"], F.slice(s["gaps"], F.lit(1), F.size(s["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda b, x: F.struct((b + x["gap"]).alias("start"), x["hit"].alias("hit"))))
+    placed = F.transform(parts, lambda s: F.zip_with(_before(s["steps"], _sum), F.zip_with(s["hits"], F.slice(s["gaps"], F.lit(1), F.size(s["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap"))), lambda b, x: F.struct((b + x["gap"]).alias("start"), x["hit"].alias("hit"))))
     return F.when(text.rlike(pattern), F.flatten(placed)).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
 
 
@@ -114,7 +124,7 @@ def _windows(hit: Column, limit: Column, wordlike: int, window: int) -> Column:
     one = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place % PER_LONG * BITS)
     counted = lambda counts, place: F.call_function("shiftright", F.element_at(counts, F.floor(place / PER_LONG).cast("int") + 1), place % PER_LONG * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
     more = lambda counts, place, sign: F.transform(counts, lambda x, i: F.when(i == F.floor(place / PER_LONG), x + sign * one(place)).otherwise(x))
-    place_of = lambda i: (F.position(F.substring(hit, i, F.lit(1)), F.lit(ALPHABET)) - 1).cast("int")
+    places = F.transform(F.split(hit, ""), lambda c: (F.position(c, F.lit(ALPHABET)) - 1).cast("int"))
     is_letter, is_mark = lambda k: (k < 52).cast("int"), lambda k: ((k >= 52) & (k <= 62)).cast("int")  # noqa: E731  digits and plus
     longs = -(-len(ALPHABET) // PER_LONG)
     start = F.struct(
@@ -137,11 +147,33 @@ def _windows(hit: Column, limit: Column, wordlike: int, window: int) -> Column:
     # one-element transforms name a value, so it's computed once a step
     name = lambda value, fn: F.element_at(F.transform(F.array(value), fn), 1)
 
-    def step(a: Column, i: Column) -> Column:
-        gone = F.when(i > window, name(place_of(i - window), lambda k: moved(a, k, -1))).otherwise(a)
-        return name(name(gone, lambda left: name(place_of(i), lambda k: moved(left, k, 1))), lambda now: judged(now, i))
+    def fold(at: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            gone = F.when(i > window, name(F.element_at(at, i - window), lambda k: moved(a, k, -1))).otherwise(a)
+            return name(name(gone, lambda left: name(F.element_at(at, i), lambda k: moved(left, k, 1))), lambda now: judged(now, i))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(at)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+    return name(places, fold)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(hit)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+
+def _swept(hit: Column, limit: Column, wordlike: int, window: int) -> Column:
+    """``_windows`` of a string of any length: blocks that overlap by a window less one character, each swept by itself."""
+    seen = F.transform(
+        F.array(_blocks(hit, BLOCK)),
+        lambda b: F.filter(
+            F.transform(b, lambda x, i: _moved(_windows(F.when(i > 0, F.concat(F.right(F.element_at(b, F.greatest(i, F.lit(1))), F.lit(window - 1)), x)).otherwise(x), limit, wordlike, window), F.when(i > 0, i * BLOCK - (window - 1)).otherwise(F.lit(0)))),
+            lambda w: w["first"] >= 0,
+        ),
+    )
+    ends = lambda w: F.struct(F.element_at(w, 1)["first"].alias("first"), F.element_at(w, -1)["last"].alias("last"))
+    none = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    return F.element_at(F.transform(seen, lambda w: F.when(F.size(w) > 0, ends(w)).otherwise(none)), 1)
+
+
+def _moved(w: Column, by: Column) -> Column:
+    """A pair of ends, moved along unless there is none."""
+    return F.element_at(F.transform(F.array(w), lambda v: F.struct(*(F.when(v[n] >= 0, v[n] + by).otherwise(v[n]).alias(n) for n in ("first", "last")))), 1)
 
 
 def _entropy(text: Column, thresholds: dict[str, float], window: int) -> Column:
@@ -149,7 +181,7 @@ def _entropy(text: Column, thresholds: dict[str, float], window: int) -> Column:
     order = lambda h: F.when(h.rlike("^[0-9A-Fa-f]+$"), 3).when(h.rlike("^[A-Za-z0-9]+$"), 4).otherwise(5)
     most = lambda o: F.when(o == 3, limit["hex"]).when(o == 4, limit["alnum"]).otherwise(limit["base64"])
     classed = F.transform(_found(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), _blanked(m["hit"]).alias("hit"), order(m["hit"]).alias("ord")))
-    swept = F.transform(classed, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), _windows(m["hit"], most(m["ord"]), limit["wordlike"], window).alias("w")))
+    swept = F.transform(classed, lambda m: F.struct(m["start"].alias("start"), m["ord"].alias("ord"), _swept(m["hit"], most(m["ord"]), limit["wordlike"], window).alias("w")))
     return F.transform(F.filter(swept, lambda m: m["w"]["first"] >= 0), lambda m: F.struct((m["start"] + m["w"]["first"]).alias("start"), m["ord"].alias("ord"), (m["start"] + m["w"]["last"]).alias("end")))
 
 
@@ -188,15 +220,21 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame
     base, more = _spans(F.col(text_col))
     own, out = free_name(df.columns, "spans"), free_name(df.columns, "clean")
     found = df.withColumn(own, F.array_sort(F.concat(base, more)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mask)).alias("out"))
-        longer = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(longer)
-
-    folded = F.aggregate(own, start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    most = lambda a, b: F.greatest(a, b)
+    # a span that starts before an earlier one's end makes that one longer; the others come after a piece that stays
+    shape = F.struct(_blocks(text, PIECE).alias("b"), F.zip_with(own, _before(F.transform(own, lambda x: x["end"]), most), lambda x, at: F.struct(at.alias("low"), x["start"].alias("high"))).alias("gaps"))
+
+    def piece(b: Column, low: Column, high: Column) -> Column:
+        """Characters [low, high)."""
+        i, j = F.floor(low / PIECE).cast("int") + 1, F.floor((high - 1) / PIECE).cast("int") + 1
+        inside = F.substring(F.element_at(b, i), low % PIECE + 1, high - low)
+        across = F.concat(F.substring(F.element_at(b, i), low % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(b, i + 1, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.element_at(b, j), F.lit(1), (high - 1) % PIECE + 1))
+        return F.when(low >= high, F.lit("")).when(i == j, inside).otherwise(across)
+
+    end, length = F.array_max(F.transform(own, lambda x: x["end"])), F.length(text)
+    kept = F.transform(F.array(shape), lambda s: F.concat(F.transform(F.filter(s["gaps"], lambda g: g["high"] >= g["low"]), lambda g: piece(s["b"], g["low"], g["high"])), F.array(piece(s["b"], end, length))))
+    folded = F.array_join(F.element_at(kept, 1), mask)
     clean = F.when(F.size(own) > 0, folded).otherwise(text)
     return found.withColumn(out, clean).select(*(F.col(out).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, dedup_index, entries, fertility, lattice, media, mixing, quality, secret_scan, simhash, token_store
+from ledgerloom.llm import bpe, dedup_index, entries, fertility, lattice, media, mixing, quality, secret_scan, similar_sets, simhash, token_store
 from ledgerloom.llm.common import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,12 +390,12 @@ def test_similar(spark):
             rows.append((base * 10 + copy, " ".join(w)))
     rows += [(900, None), (901, ""), (902, " "), (903, "a b"), (904, "A  b"), (905, rows[0][1])]
     want = brute_similar(dict(rows))
-    reach = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs(spark, rows)).collect()}
+    reach = {r["doc_id"]: r["component_id"] for r in similar_sets.similar_components(docs(spark, rows)).collect()}
     assert {i: reach.get(i, i) for i, _ in rows} == want
-    kept = simhash.keep_similar_first(docs(spark, [*rows, (None, "a b"), (903, "a b")]))
+    kept = similar_sets.keep_similar_first(docs(spark, [*rows, (None, "a b"), (903, "a b")]))
     assert kept.columns == docs(spark).columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted([(False, i) for i in set(want.values())] + [(True, 0), (False, 903)])
-    assert simhash.similar_components(docs(spark).limit(0)).collect() == []
+    assert similar_sets.similar_components(docs(spark).limit(0)).collect() == []
 
 
 def shared_passages(rng):
@@ -418,35 +419,48 @@ def shared_passages(rng):
     return rows
 
 
-@pytest.mark.parametrize("how", [{}, {"crowd": 3}, {"crowd": 3, "rounds": 0}])
+@pytest.mark.parametrize("how", [{}, {"crowd": 3}, {"crowd": 3, "rounds": 0}, {"crowd": 3, "most": 1}])
 def test_similar_under_shared_keys(spark, how):
     rows = shared_passages(random.Random(3))
     want = brute_similar(dict(rows))
     assert 30 < len(set(want.values())) < len(rows)
-    reach = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs(spark, rows), **how).collect()}
+    reach = {r["doc_id"]: r["component_id"] for r in similar_sets.similar_components(docs(spark, rows), **how).collect()}
     assert {i: reach.get(i, i) for i, _ in rows} == want
 
 
+def test_similar_ignores_a_line_of_all(spark, monkeypatch):
+    """Many unlike texts with one line in common make no pairs, however many shingles are that common."""
+    rng = random.Random(8)
+    line = "the same six words in all"
+    rows = [(i, " ".join(f"{rng.randrange(10**6)}" for _ in range(30)) + " " + line) for i in range(1500)]
+    seen = []
+    real = similar_sets.verified
+    monkeypatch.setattr(similar_sets, "verified", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    for most in (similar_sets.HELD_KEYS, 1):
+        assert similar_sets.similar_components(docs(spark, rows), most=most).count() == 0
+    assert sum(seen) < 100
+
+
 def test_similar_repeated_ids(spark):
     clean = " ".join(f"clean{i}" for i in range(40))
     copied = " ".join(f"copy{i}" for i in range(40))
     rows = [(7, clean), (7, copied + " end"), (3, copied), (9, clean)]
-    kept = simhash.keep_similar_first(docs(spark, rows))
+    kept = similar_sets.keep_similar_first(docs(spark, rows))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, copied), (7, clean)]
 
 
 def test_similar_prefix_is_complete():
     rng = np.random.default_rng(4)
-    common = np.unique(rng.integers(0, 1 << 63, 40, np.uint64))
+    common = np.unique(rng.integers(0, 1 << 62, 40, np.int64))
     weight = rng.integers(2, 9, len(common))
     for _ in range(2000):
         n = int(rng.integers(1, 120))
-        both = np.concatenate([rng.choice(common, min(n // 2, 40), replace=False), rng.integers(0, 1 << 63, n - min(n // 2, 40), np.uint64)])
-        extra = rng.integers(0, 1 << 63, n // 4, np.uint64)
+        both = np.concatenate([rng.choice(common, min(n // 2, 40), replace=False), rng.integers(0, 1 << 62, n - min(n // 2, 40), np.int64)])
+        extra = rng.integers(0, 1 << 62, n // 4, np.int64)
         cut = int(rng.integers(0, len(extra) + 1))
         x, y = np.unique(np.concatenate([both, extra[:cut]])), np.unique(np.concatenate([both, extra[cut:]]))
         for order in ((common, weight), (common[:0], weight[:0])):
-            assert len(np.intersect1d(simhash.prefix(x, *order), simhash.prefix(y, *order)))
+            assert len(np.intersect1d(similar_sets.prefix(x, *order), similar_sets.prefix(y, *order)))
 
 
 # 7
@@ -608,6 +622,22 @@ def test_op9_sql(spark, sf_dir):
     assert got == want
 
 
+def test_secrets_long_candidates(spark):
+    """One candidate of a million characters, and very many spans: time grows with the length."""
+    rng = random.Random(7)
+    words = [("".join(rng.choice(secret_scan.ALPHABET) for _ in range(n)), "a" * n, "see " + "k9/" * n) for n in (19, 20, 255, 256, 257, 275, 276, 600)]
+    texts = [t for w in words for t in w] + ["x" * 300 + "".join(rng.choice(secret_scan.ALPHABET) for _ in range(40)) + "y" * 300]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_spans(t)[2], t
+    million = "".join(rng.choice(secret_scan.ALPHABET) for _ in range(1_000_000))
+    many = " ".join(f"token=abcdefgh1234{i} é" for i in range(20_000))
+    began = time.monotonic()
+    clean = [r["text"] for r in secret_scan.redact(docs(spark, [(1, "see " + million + " end"), (2, many)])).orderBy("doc_id").collect()]
+    assert clean[0].endswith("[SECRET] end") and len(clean[0]) < 100 and clean[1] == " ".join(["[SECRET] é"] * 20_000)
+    assert time.monotonic() - began < 60
+
+
 # 10
 
 
@@ -695,13 +725,13 @@ def test_similar_places_lose_no_pair():
     rng = np.random.default_rng(9)
     for _ in range(3000):
         n = int(rng.integers(1, 90))
-        both, extra = np.unique(rng.integers(0, 1 << 40, n, np.uint64)), np.unique(rng.integers(1 << 41, 1 << 42, n // 3 + 1, np.uint64))
+        both, extra = np.unique(rng.integers(0, 1 << 40, n, np.int64)), np.unique(rng.integers(1 << 41, 1 << 42, n // 3 + 1, np.int64))
         cut = int(rng.integers(0, len(extra) + 1))
         x, y = np.concatenate([both, extra[:cut]]), np.concatenate([both, extra[cut:]])
         if len(both) < 0.8 * (len(x) + len(y) - len(both)):
             continue
         weight = (np.unique(np.concatenate([x, y])), rng.integers(0, 4, len(x) + len(y) - len(both)))
-        a, b = simhash.prefix(x, *weight).tolist(), simhash.prefix(y, *weight).tolist()
+        a, b = similar_sets.prefix(x, *weight).tolist(), similar_sets.prefix(y, *weight).tolist()
         i, j = next((i, b.index(k)) for i, k in enumerate(a) if k in b)
         assert 1 + min(len(x) - i - 1, len(y) - j - 1) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-9
         short, at = min((len(x), i + 1), (len(y), j + 1))
