@@ -7,9 +7,10 @@ remembered; residuals are ends of tokens, so there are no more of them than the
 closes a group. A token that is read against a residual overlaps with the token that left it, and with no other that came
 before, so each step but the first of a group is one link.
 
-Where a word starts after a blank, both vocabularies start a token (checked when they are loaded), so groups never reach over such a place. Texts
-are cut there, each different part runs through the transducer once and is remembered as a whole (a bounded number),
-and a document is the sequence of its parts.
+Where a word starts after a blank, and on both sides of a line feed between words, both vocabularies start a token (checked
+when they are loaded), so groups never reach over such a place. Texts are cut there, each different part runs through the
+transducer once (many in a row, as lines) and is remembered as a whole (a bounded number), and a document is the sequence
+of its parts.
 
 A link's count is how many documents hold its pair of ids linked. Each document gives its distinct pairs once; tasks count
 what they have before anything is shuffled, so a pair that every document has is a row per task. Counts go back to the
@@ -29,6 +30,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,18 @@ from .common import drop_files, integer_id, list_array, materialise, slices, sor
 
 SIDE_A = "byte_bpe_50k.json"
 SIDE_B = "piece_bpe_32k.model"
-REMEMBERED = 150_000
+REMEMBERED = 400_000
+LINE_PARTS = 64
 LONG_PART = 256
 TRANSITIONS = 2_000_000
 HELD_PAIRS = 2_000_000
 #: The character that stands for a blank in pieces, and how pieces name single bytes.
 BLANK, BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
-CUT = re.compile(r"(?<=[^ ▁])(?= \S)")
+CUT = re.compile(r"(?<=[^ ▁])(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: White space that ``cut`` can't take by plain replacing: other characters, runs, and what would mark the cuts.
+ODD = re.compile(r"[^\S\n ]|[ \n][ \n]|[▁\x00]")
+#: What a line of parts starts with: a word, so that all that follows stands where it would in a text.
+GUARD = " a"
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
@@ -70,6 +77,7 @@ class ByteLevel:
         self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = bytes(map(letters.__getitem__, token)) if all(c in letters for c in token) else token.encode()
+        self.size_of = np.array(list(map(len, self.bytes_of)))
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,9 +91,10 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(BLANK in p.lstrip(BLANK) for p in pieces):
-            raise ValueError("the vocabulary has pieces that reach over a blank")
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces):
+            raise ValueError("the vocabulary has pieces that reach over a blank or a line feed")
         self.bytes_of = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(BLANK, " ").encode() for p in pieces]
+        self.size_of = np.array(list(map(len, self.bytes_of)))
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         """Of texts that start with a blank, which the library is to add."""
@@ -125,8 +134,8 @@ class Transducer:
             self.leads.append(after[0])
         return self.number[after]
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """(groups, links): where each group ends in a and in b, and the linked ids in order; None if the bytes differ."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
+        """(groups, links): where each group ends in a and in b, and the linked ids (a << 32 | b) in order; None if the bytes differ."""
         if len(self.steps) > self.most:
             self._forget()
         steps, leads, width = self.steps, self.leads, self.width
@@ -140,13 +149,13 @@ class Transducer:
                 token = a[i]
                 i += 1
                 if state:
-                    links.append((token, b[j - 1]))
+                    links.append(token << 32 | b[j - 1])
             else:
                 if j == m:
                     return None
                 token = b[j]
                 j += 1
-                links.append((a[i - 1], token))
+                links.append(a[i - 1] << 32 | token)
             key = state * width + token
             after = steps.get(key)
             if after is None:
@@ -159,6 +168,25 @@ class Transducer:
         return groups, links
 
 
+def cut(text: str) -> list[str]:
+    """A text, with its blank in front, as parts."""
+    if ODD.search(text) or text[-1:].isspace():
+        return CUT.split(text)
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")[1:]
+
+
+def written(a: list[int], b: list[int], groups: list[tuple[int, int]]) -> list[str]:
+    """Each group as a1,a2|b1."""
+    out, p, q = [], 0, 0
+    for i, j in groups:
+        if i - p == 1 == j - q:
+            out.append(f"{a[p]}|{b[q]}")
+        else:
+            out.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
+        p, q = i, j
+    return out
+
+
 class Aligner:
     """Whole texts, part by part."""
 
@@ -169,34 +197,74 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int]] = []  # tokens of a and of b, groups (-1: the bytes differ)
+        self.counts = array("q")  # of each part: tokens of a and of b, groups (-1: the bytes differ)
         self.groups: list[bytes] = []
         self.starts, self.pairs = array("q", [0]), array("q")
 
+    def _add(self, part: str, n_a: int, n_b: int, groups: list[str] | None, links: list[int]) -> None:
+        self.known[part] = len(self.groups)
+        self.counts.extend((n_a, n_b, -1 if groups is None else len(groups)))
+        self.groups.append(";".join(groups or ()).encode())
+        self.pairs.extend(links)
+        self.starts.append(len(self.pairs))
+
+    def _alone(self, part: str) -> None:
+        """A part by itself, whatever it is."""
+        blank = part.startswith(" ")
+        a, b = self.a.ids([part])[0], self.b.ids([part if blank else " " + part])[0][0 if blank else 1 :]
+        whole = b"".join(map(self.a.bytes_of.__getitem__, a)) == part.encode()
+        found = self.transducer.align(a, b) if whole else None
+        if found is None:
+            self._add(part, 0, 0, None, [])
+        else:
+            self._add(part, len(a), len(b), written(a, b, found[0]), found[1])
+
+    def _learn_line(self, parts: list[str], data: bytes, a: list[int], b: list[int]) -> bool:
+        """Remember parts by the tokens of their line; False if these don't end where a part does."""
+        found = self.transducer.align(a, b)
+        if found is None or b"".join(map(self.a.bytes_of.__getitem__, a)) != data:
+            return False
+        groups, links = found
+        low, high, at = [], [], len(GUARD)
+        for p in parts:
+            at += p[0] != " "
+            low.append(at)
+            at += len(p.encode())
+            high.append(at)
+        edges = []
+        for ids, size in ((a, self.a.size_of), (b, self.b.size_of)):
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            edges += [np.searchsorted(ends, low), np.searchsorted(ends, high)]
+            if (ends[edges[-2]] != low).any() or (ends[edges[-1]] != high).any():
+                return False
+        first = [i for i, _ in groups]
+        names = written(a, b, groups)
+        a0, a1, b0, b1 = edges
+        for p, i0, i1, j0, j1, g0, g1 in zip(parts, *(x.tolist() for x in (a0, a1, b0, b1, np.searchsorted(first, a0, "right"), np.searchsorted(first, a1, "right")))):
+            # every step but the first of a group is a link
+            self._add(p, i1 - i0, j1 - j0, names[g0:g1], links[i0 + j0 - g0 : i1 + j1 - g1])
+        return True
+
     def _learn(self, parts: list[str]) -> None:
-        for part, a, b in zip(parts, self.a.ids(parts), self.b.ids(parts)):
-            whole = b"".join(map(self.a.bytes_of.__getitem__, a)) == part.encode()
-            found = self.transducer.align(a, b) if whole else None
-            self.known[part] = len(self.counts)
-            if found is None:
-                self.counts.append((0, 0, -1))
-                self.groups.append(b"")
-            else:
-                ends, links = found
-                self.counts.append((len(a), len(b), len(ends)))
-                begins = [(0, 0), *ends[:-1]]
-                self.groups.append(";".join(",".join(map(str, a[p:i])) + "|" + ",".join(map(str, b[q:j])) for (p, q), (i, j) in zip(begins, ends)).encode())
-                self.pairs.extend([x << 32 | y for x, y in links])
-            self.starts.append(len(self.pairs))
+        odd = [p for p in parts if BLANK in p or p[0] != " " and p[0].isspace() or len(p) > LONG_PART]
+        left = set(odd)
+        plain = [p for p in parts if p not in left]
+        lines = [plain[at : at + LINE_PARTS] for at in range(0, len(plain), LINE_PARTS)]
+        texts = [GUARD + "".join(p if p[0] == " " else "\n" + p for p in line) for line in lines]
+        for line, text, a, b in zip(lines, texts, self.a.ids(texts), self.b.ids(texts)):
+            if not self._learn_line(line, text.encode(), a, b):
+                odd += line
+        for p in odd:
+            self._alone(p)
 
     def texts(self, texts: list[bytes]):
         """Of each text: n_a, n_b, n_groups, n_links, digest of the groups, its different pairs (a << 32 | b) and how often it has each."""
-        if len(self.known) > REMEMBERED or len(self.pairs) > 32 * REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.pairs) > 16 * REMEMBERED:
             self._forget()
-        split = [CUT.split(" " + t.decode()) if t else [] for t in texts]
-        new = [p for p in dict.fromkeys(p for parts in split for p in parts) if p not in self.known]
-        for at in range(0, len(new), 4096):
-            self._learn(new[at : at + 4096])
+        split = [cut(" " + t.decode()) if t else [] for t in texts]
+        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known]
+        for at in range(0, len(new), 1 << 14):
+            self._learn(new[at : at + (1 << 14)])
         counts = np.array(self.counts, np.int64).reshape(-1, 3)
         starts, pairs = np.array(self.starts, np.int64), np.array(self.pairs, np.int64)
         nothing = (0, 0, 0, 0, "", pairs[:0], pairs[:0])

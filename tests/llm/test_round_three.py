@@ -171,6 +171,14 @@ def test_alignment_edges(spark):
         alignment.documents(docs(spark).selectExpr("text AS doc_id", "text"))
 
 
+def test_cut():
+    """Both ways of cutting give the same parts."""
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = " " + "".join(rng.choice("ab,. \n") for _ in range(rng.randint(1, 12)))
+        assert alignment.cut(text) == alignment.CUT.split(text)
+
+
 def test_transducer():
     """Any two cuts of the same bytes: groups are where both cuts meet; other bytes are refused."""
     rng = random.Random(4)
