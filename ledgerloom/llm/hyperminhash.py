@@ -6,13 +6,16 @@ the register of the first bucket that isn't empty in a fixed order of its own, s
 of the same place agree with a probability close to the similarity of the sets, whatever their sizes.
 
 *Bands.* ``ROWS`` registers in a row are a key; two sets of similarity 0.8 share none of ``BANDS`` keys with probability
-(1 - 0.8^5)^51 < 2e-9. Nodes are distinct shingle sets, so exact copies, and texts that differ only in order or repeats of shingles,
+(1 - 0.8^4)^32 < 5e-8. Nodes are distinct shingle sets, so exact copies, and texts that differ only in order or repeats of shingles,
 cost one.
 
 *Estimate.* Of a candidate pair the registers that agree are counted, less those that are expected to agree by chance (two
 different smallest hashes can have the same zeros and mantissa; how often follows from the sizes of the sets, which are
 known), and put in relation to all. A pair is verified on its whole sets if the estimate is no further than
-``MARGIN`` = 0.175 below 0.8: seven standard deviations of a count over 255 registers at that similarity.
+``MARGIN`` = 0.175 below 0.8: seven standard deviations of a count over 256 registers at that similarity.
+
+*Tables.* Texts are dealt once, by row; sketches are made there, so texts and registers of the rows that take part in pairs are
+found without being shuffled again.
 
 *Crowds.* Each node is verified against one head among its keys first, the head of a key being the one whose number's hash is smallest; what links is one component. Then, under keys of at
 most ``CROWD`` nodes, all pairs across components are candidates. Nodes of larger keys that still hold several components go
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_files, integer_id, materialise, slices, text_bytes
+from .common import Bucketed, drop_files, integer_id, materialise, slices, text_bytes, total_bytes
 from .similar_sets import linked_nodes, shared_keys, shingle_set, verified
 from .simhash import star_components
 
@@ -43,9 +46,11 @@ SHINGLE = 2
 SIMILARITY = 0.8
 BUCKETS = 256
 MANTISSA = 10
-ROWS = 5
-BANDS = 51
+ROWS = 4
+BANDS = 32
 MARGIN = 0.175
+#: Text bytes of a file of the table of sketches, about.
+FILE_BYTES = 16 << 20
 CROWD = 32
 REST_BITS = 48  # of a hash, after the bits of its bucket, that count
 
@@ -113,19 +118,17 @@ def estimates(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
     return (agree - rate) / (1 - rate)
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, set_id, n, regs); n = 0 and an empty set_id without words."""
-    names = ["doc_id", "text", "set_id", "n", "regs"]
+SKETCH = "row long, doc_id long, text string, set_id binary, n int, regs binary"
 
-    def run(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            sets = [shingle_set(t, SHINGLE) for t in text_bytes(batch.column("text"))]
-            ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
-            regs = [registers(s).tobytes() if len(s) else b"" for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary())], names)
 
-    rows = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, set_id binary, n long, regs binary")
+def _sketch(batches):
+    """(row, doc_id, text, set_id, n, regs); n = 0 and an empty set_id without words."""
+    for batch in slices(batches, "text", 1 << 20):
+        sets = [shingle_set(t, SHINGLE) for t in text_bytes(batch.column("text"))]
+        ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets]
+        regs = [registers(s).tobytes() if len(s) else b"" for s in sets]
+        own = [pa.array(ids, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(regs, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "text")), *own], ["row", "doc_id", "text", "set_id", "n", "regs"])
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -142,12 +145,14 @@ def _band_keys(nodes: DataFrame) -> DataFrame:
                 taken = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(band_keys(_regs(part.column("regs"))).ravel()), part.column("node").take(taken), part.column("n").take(taken)], ["key", "node", "n"])
 
-    return nodes.select("node", "n", "regs").mapInArrow(run, "key long, node long, n long")
+    return nodes.select("node", "n", "regs").mapInArrow(run, "key long, node long, n int")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of (u, v) those whose estimate isn't too far below the similarity."""
-    sketch = nodes.select("node", "n", "regs")
+    pairs = materialise(pairs, "band-pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sketch = materialise(nodes.select("node", "n", "regs").join(wanted, "node", "left_semi"), "band-sketches")
     both = pairs.join(sketch.toDF("u", "n", "x"), "u").join(sketch.toDF("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
 
     def run(batches):
@@ -169,7 +174,7 @@ def _sizes_fit(n: str, m: str) -> F.Column:
 
 
 def linked_sets(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(u, v) of ``star_components`` over all similar pairs of (node, text, n, regs)."""
+    """(u, v) of ``star_components`` over all similar pairs of (node, text, n, regs), a table dealt by node."""
     shared = shared_keys(_band_keys(nodes), "bands")
     by = F.xxhash64("node")
     heads = materialise(shared.groupBy("key").agg(F.min_by(F.struct("node", "n"), by).alias("head")), "band-heads")
@@ -199,11 +204,14 @@ def linked_sets(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Per document: size of its set, the smallest doc_id that its links reach, whether it is that document."""
-    found = materialise(_sketched(docs, id_col, text_col), "sketches")
-    sets = found.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    nodes = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    table = Bucketed(rows, "row", max(1, -(-total_bytes(docs, text_col) // FILE_BYTES)), "sketches", _sketch, SKETCH)
+    found = table.rows
+    # a set's node is one of its rows
+    sets = materialise(found.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("node")), "set-nodes")
+    nodes = found.withColumnRenamed("row", "node").join(sets.select("node"), "node", "left_semi")
     reach = linked_sets(nodes, crowd)
-    named = nodes.select("node", "set_id", "first_id")
+    named = sets
     # rows of one id are linked by it: an edge from each of their sets to the smallest
     own = found.where("n > 0 and doc_id is not null").select("doc_id", "set_id")
     many = own.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a <> b").select("doc_id")
@@ -220,6 +228,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
     out = materialise(out, "near-duplicates")
-    for t in (found, nodes, held, named, named_sets, reach):
+    for t in (sets, held, named, named_sets, reach):
         drop_files(t)
+    table.drop()
     return out
