@@ -7,7 +7,7 @@ remembered; residuals are ends of tokens, so there are no more of them than the
 closes a group. A token that is read against a residual overlaps with the token that left it, and with no other that came
 before, so each step but the first of a group is one link.
 
-Where a word starts after a blank, and on both sides of a line feed between words, both vocabularies start a token (checked
+Where a word starts after a blank, between a Latin letter and a punctuation mark, and on both sides of a line feed between words, both vocabularies start a token (checked
 when they are loaded), so groups never reach over such a place. Texts are cut there, each different part runs through the
 transducer once (many in a row, as lines) and is remembered as a whole (a bounded number), and a document is the sequence
 of its parts.
@@ -42,14 +42,18 @@ from .common import drop_files, integer_id, list_array, materialise, slices, sor
 
 SIDE_A = "byte_bpe_50k.json"
 SIDE_B = "piece_bpe_32k.model"
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LINE_PARTS = 64
 LONG_PART = 256
 TRANSITIONS = 2_000_000
 HELD_PAIRS = 2_000_000
 #: The character that stands for a blank in pieces, and how pieces name single bytes.
 BLANK, BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
-CUT = re.compile(r"(?<=[^ ▁])(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: Punctuation that no piece has after a Latin letter.
+MARKS, LETTER = ".,;:!?()-", "[A-Za-zÀ-ÖØ-öø-ɏ]"
+CUT = re.compile(rf"(?<=[^ ▁])(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<={LETTER})(?=[{re.escape(MARKS)}])")
+AFTER_LETTER = re.compile(rf"{LETTER}[{re.escape(MARKS)}]")
+SPLIT = re.compile(rf"(?<={LETTER})(?=[{re.escape(MARKS)}])")
 #: White space that ``cut`` can't take by plain replacing: other characters, runs, and what would mark the cuts.
 ODD = re.compile(r"[^\S\n ]|[ \n][ \n]|[▁\x00]")
 #: What a line of parts starts with: a word, so that all that follows stands where it would in a text.
@@ -91,8 +95,8 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces):
-            raise ValueError("the vocabulary has pieces that reach over a blank or a line feed")
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p or AFTER_LETTER.search(p) for p in pieces):
+            raise ValueError("the vocabulary has pieces that reach over a blank, a line feed or from a letter to a mark")
         self.bytes_of = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(BLANK, " ").encode() for p in pieces]
         self.size_of = np.array(list(map(len, self.bytes_of)))
 
@@ -172,7 +176,7 @@ def cut(text: str) -> list[str]:
     """A text, with its blank in front, as parts."""
     if ODD.search(text) or text[-1:].isspace():
         return CUT.split(text)
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")[1:]
+    return SPLIT.sub("\0", text.replace("\n", "\0\n\0").replace(" ", "\0 ")).split("\0")[1:]
 
 
 def written(a: list[int], b: list[int], groups: list[tuple[int, int]]) -> list[str]:
@@ -200,9 +204,28 @@ class Aligner:
         self.counts = array("q")  # of each part: tokens of a and of b, groups (-1: the bytes differ)
         self.groups: list[bytes] = []
         self.starts, self.pairs = array("q", [0]), array("q")
+        self.names: list[str] = []
+        self.used = array("q")  # texts that had the part
+
+    def _shrink(self) -> None:
+        """Keep the half that texts had most."""
+        counts, starts, pairs, used = (np.array(x, np.int64) for x in (self.counts, self.starts, self.pairs, self.used))
+        used[[len(n) > LONG_PART for n in self.names]] = 0
+        stay = np.sort(np.argpartition(-used, min(len(used), REMEMBERED // 2) - 1)[: REMEMBERED // 2])
+        stay = stay[used[stay] > 0]
+        names, groups, used = [self.names[i] for i in stay], [self.groups[i] for i in stay], used[stay] // 2
+        size = starts[stay + 1] - starts[stay]
+        place = np.repeat(starts[stay] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        self._forget()
+        self.known = {n: i for i, n in enumerate(names)}
+        self.names, self.groups = names, groups
+        self.counts, self.used = array("q", counts.reshape(-1, 3)[stay].tobytes()), array("q", used.tobytes())
+        self.starts, self.pairs = array("q", np.concatenate([[0], np.cumsum(size)]).tobytes()), array("q", pairs[place].tobytes())
 
     def _add(self, part: str, n_a: int, n_b: int, groups: list[str] | None, links: list[int]) -> None:
         self.known[part] = len(self.groups)
+        self.names.append(part)
+        self.used.append(0)
         self.counts.extend((n_a, n_b, -1 if groups is None else len(groups)))
         self.groups.append(";".join(groups or ()).encode())
         self.pairs.extend(links)
@@ -260,13 +283,13 @@ class Aligner:
     def texts(self, texts: list[bytes]):
         """Of each text: n_a, n_b, n_groups, n_links, digest of the groups, its different pairs (a << 32 | b) and how often it has each."""
         if len(self.known) > REMEMBERED or len(self.pairs) > 16 * REMEMBERED:
-            self._forget()
+            self._shrink()
         split = [cut(" " + t.decode()) if t else [] for t in texts]
         new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.known]
         for at in range(0, len(new), 1 << 14):
             self._learn(new[at : at + (1 << 14)])
-        counts = np.array(self.counts, np.int64).reshape(-1, 3)
-        starts, pairs = np.array(self.starts, np.int64), np.array(self.pairs, np.int64)
+        counts, starts, pairs = (np.frombuffer(x, np.int64) for x in (self.counts, self.starts, self.pairs))  # views; they end before the arrays grow
+        counts, used = counts.reshape(-1, 3), np.frombuffer(self.used, np.int64)
         nothing = (0, 0, 0, 0, "", pairs[:0], pairs[:0])
         for parts in split:
             at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
@@ -277,6 +300,7 @@ class Aligner:
             n_a, n_b, n_groups = map(int, of.sum(0))
             digest = hashlib.sha256(b";".join(map(self.groups.__getitem__, at.tolist()))).hexdigest()
             part, often = np.unique(at, return_counts=True)
+            used[part] += 1
             size = starts[part + 1] - starts[part]
             place = np.repeat(starts[part] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             own, where = np.unique(pairs[place], return_inverse=True)

@@ -118,7 +118,7 @@ def test_hyperminhash_bands_miss_nothing():
 
 ODD = [
     None, "", " ", "  a  b \n  c <s></s> <|endoftext|> x", "▁x y", "héllo wörld ﬁ 漢字 かな\x1c\x1d x   y", "a\x00b c\r\n\td  \t e", "中文" * 500, "😀😀 👩‍👩‍👧 x" * 20, " lead trail ",
-    "'s 't  's", "x" * 3000 + " " + "yz" * 2000, "don't  can't\n\n\n  indent   x", "same text", "same text", LONG,
+    "'s 't  's", "x" * 3000 + " " + "yz" * 2000, "don't  can't\n\n\n  indent   x", "same text", "same text", LONG, "x.y,z (a) b-c.\nd-e f:g;h ²,² 3.4,5 www.a.b...) it's-'s s.'s", "日本.語,ab.",
 ]
 
 
@@ -175,7 +175,7 @@ def test_cut():
     """Both ways of cutting give the same parts."""
     rng = random.Random(9)
     for _ in range(3000):
-        text = " " + "".join(rng.choice("ab,. \n") for _ in range(rng.randint(1, 12)))
+        text = " " + "".join(rng.choice("ab,.-3 \n") for _ in range(rng.randint(1, 12)))
         assert alignment.cut(text) == alignment.CUT.split(text)
 
 
@@ -265,3 +265,15 @@ def test_clusters_equal_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf_dir}/embeddings.parquet'")
     want = con.execute(entries.oracle_sql()["op13_delta_lloyd"]).fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in entries.queries()["op13_delta_lloyd"](spark, sf_dir).collect())
+
+
+def test_aligner_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    tool = alignment.Aligner(tokenizer_file(alignment.SIDE_A), tokenizer_file(alignment.SIDE_B))
+    fresh = alignment.Aligner(tokenizer_file(alignment.SIDE_A), tokenizer_file(alignment.SIDE_B))
+    rng = random.Random(2)
+    plain = lambda rows: [(*r[:5], r[5].tolist(), r[6].tolist()) for r in rows]
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(900)}", "y" * 300]) for _ in range(12)).encode() for _ in range(3)]
+        fresh._forget()
+        assert plain(tool.texts(texts)) == plain(fresh.texts(texts)) and len(tool.known) < 80
