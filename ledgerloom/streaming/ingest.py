@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,19 +12,23 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.integrity import SKEW_SECONDS
+from ..sources.commit_log import Folder
 from ..sources.journal_store import Journal
 
 
 def ingest(stream: DataFrame, journal: Journal, checkpoint: str, quarantine: str | None = None, **trigger) -> StreamingQuery:
-    """Record a stream of input rows batch by batch, in order; one writer per journal. Refused rows go to a folder.
+    """Record a stream of input rows batch by batch, in order; any number of streams per journal. Refused rows go to a folder.
 
-    A batch's rows carry its number, so one that was recorded before its checkpoint was written is recognised and not
-    recorded again; its refused rows lie in a folder of its own and are written over."""
+    A batch is known to the journal by the query's id, which its checkpoint holds, and by its number. So one that was recorded before its
+    checkpoint was written is recognised and not recorded again, and another stream's batches are its own; refused rows
+    lie in a folder of their batch and are written over."""
+    folder = Folder(journal.spark, checkpoint)
 
     def batch(rows: DataFrame, number: int) -> None:
-        bad = journal.record(rows, batch=f"stream-{number}")
+        query = json.loads(folder.read("metadata"))["id"]
+        bad = journal.record(rows, batch=(query, number))
         if quarantine:
-            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+            bad.write.mode("overwrite").parquet(f"{quarantine}/query={query}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -324,7 +324,8 @@ def test_journal_store_and_stream(spark, tmp_path):
         ingest(stream, store, str(tmp_path / "cp")).awaitTermination()
     assert store.changes().count() == 3 and [r["kind"] for r in store.verify().collect()] == ["clock"]
     again = spark.createDataFrame([("c.go", "three", "", "agent", 200), ("..", "x", "", "agent", 1)], "file_path string, summary string, reason string, source string, recorded_at long")
-    assert store.recorded("stream-0") and store.record(again, batch="stream-0").count() == 1 and store.changes().count() == 3  # killed before its checkpoint
+    (query,) = store.snapshot().seen
+    assert store.recorded((query, 0)) and store.record(again, batch=(query, 0)).count() == 1 and store.changes().count() == 3  # killed before its checkpoint
     assert store.record(again, whole=True).count() == 1 and store.changes().count() == 3
     turned = spark.createDataFrame([(k, f"s{k}.go", f"{k}", 300) for k in (3, 1, 2)], "seq long, file_path string, summary string, recorded_at long").repartition(3)
     other = Journal(spark, str(tmp_path / "ordered"), KEY)
@@ -335,7 +336,8 @@ def test_journal_store_and_stream(spark, tmp_path):
     fresh = store.rotate(b"n" * 32, str(tmp_path / "j2"), force=True)
     assert fresh.changes().count() == 3 and [r["kind"] for r in fresh.verify().collect()] == ["clock"]
     assert fresh.compact(str(tmp_path / "j3")).changes().count() == 3
-    q = skew_stream(spark.readStream.schema("id long, recorded_at long").parquet(str(tmp_path / "j" / "changes"))).writeStream.format("memory").queryName("skew_t").trigger(availableNow=True).start()
+    store.changes().write.parquet(str(tmp_path / "rows"))
+    q = skew_stream(spark.readStream.schema("id long, recorded_at long").parquet(str(tmp_path / "rows"))).writeStream.format("memory").queryName("skew_t").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["id"]: r["skewed"] for r in spark.table("skew_t").collect()} == {1: False, 2: True, 3: False}
     calls = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src).select(F.col("source").alias("session"), F.col("summary").alias("tool"))
