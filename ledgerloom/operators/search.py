@@ -2,7 +2,8 @@
 
 Grammar: terms (all must occur, in any column and order), "phrases", prefix*, AND, OR, NOT, column:term, parentheses and
 NEAR(a b, n). Tokens are runs of letters and digits, in lower case and without diacritics. Whatever the query, it is one
-filter over one scan; a materialised token table (``tokenise``) saves the splitting.
+filter over one scan; a materialised token table (``tokenise``) saves the splitting. ``sources.search_index`` answers the same
+queries from an inverted index.
 """
 
 from __future__ import annotations
@@ -63,9 +64,12 @@ def _lexed(query: str) -> list[tuple[str, str]]:
     return out
 
 
-class _Compiler:
-    def __init__(self, query: str, columns: dict[str, Column]):
-        self.lexed, self.i, self.columns = _lexed(query), 0, columns
+class _Parser:
+    """The tree of a query: ("term", words, last is a prefix, columns), ("near", [(words, prefix)], distance, columns), or ("and" | "or" |
+    "not", left, right)."""
+
+    def __init__(self, query: str, columns: tuple[str, ...]):
+        self.lexed, self.i, self.columns = _lexed(query), 0, tuple(columns)
 
     def kind(self, k: int = 0) -> str:
         return self.lexed[self.i + k][0] if self.i + k < len(self.lexed) else ""
@@ -76,41 +80,41 @@ class _Compiler:
         self.i += 1
         return self.lexed[self.i - 1][1]
 
-    def whole(self) -> Column:
+    def whole(self) -> tuple:
         found = self.either(self.columns)
         if self.kind():
             raise SearchError(f"unexpected {self.kind()}")
         return found
 
-    def either(self, cols) -> Column:
+    def either(self, cols) -> tuple:
         out = self.both(cols)
         while self.kind() == "OR":
             self.take()
-            out = out | self.both(cols)
+            out = ("or", out, self.both(cols))
         return out
 
-    def both(self, cols) -> Column:
+    def both(self, cols) -> tuple:
         out = self.without(cols)
         while self.kind() == "AND":
             self.take()
-            out = out & self.without(cols)
+            out = ("and", out, self.without(cols))
         return out
 
-    def without(self, cols) -> Column:
+    def without(self, cols) -> tuple:
         out = self.side_by_side(cols)
         while self.kind() == "NOT":
             self.take()
-            out = out & ~self.side_by_side(cols)
+            out = ("not", out, self.side_by_side(cols))
         return out
 
-    def side_by_side(self, cols) -> Column:
+    def side_by_side(self, cols) -> tuple:
         """Terms without a word between them bind tightest, then NOT, AND, OR."""
         out = self.one(cols)
         while self.kind() not in ("", ")", "OR", ",", "NOT", "AND"):
-            out = out & self.one(cols)
+            out = ("and", out, self.one(cols))
         return out
 
-    def one(self, cols) -> Column:
+    def one(self, cols) -> tuple:
         if self.kind() == "(":
             self.take()
             out = self.either(cols)
@@ -124,35 +128,37 @@ class _Compiler:
             self.take(":")
             if name not in cols:
                 raise SearchError(f"no such column: {name}")
-            return self.one({name: cols[name]})
+            return self.one((name,))
         kind = self.kind()
         if kind not in ("term", "prefix", "phrase", "phrase*"):
             raise SearchError(f"unexpected {kind or 'end'}")
-        words = re.findall(r"[^\W_]+", fold(self.take()))
-        if not words:
-            return F.lit(False)
-        last_is_prefix = kind in ("prefix", "phrase*")
-        return self.any(cols, lambda t: follows(t, words, last_is_prefix))
+        return ("term", re.findall(r"[^\W_]+", fold(self.take())), kind in ("prefix", "phrase*"), cols)
 
-    def near(self, cols) -> Column:
+    def near(self, cols) -> tuple:
         groups, distance = [], 10
         while self.kind() not in (")", ","):
             kind = self.kind()
-            words = re.findall(r"[^\W_]+", fold(self.take()))
-            groups.append((words, kind in ("prefix", "phrase*")))
+            groups.append((re.findall(r"[^\W_]+", fold(self.take())), kind in ("prefix", "phrase*")))
         if self.kind() == ",":
             self.take()
             distance = int(self.take("term"))
         self.take(")")
-        return self.any(cols, lambda t: within(t, groups, distance))
+        return ("near", groups, distance, cols)
 
-    @staticmethod
-    def any(cols, test) -> Column:
-        out = F.lit(False)
-        for t in cols.values():
-            # a one-element transform names the tokens, so they are split once a row
-            out = out | F.element_at(F.transform(F.array(t), test), 1)
-        return out
+
+def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> tuple:
+    return _Parser(query, columns).whole()
+
+
+def evaluated(tree: tuple, term, near) -> Column:
+    """A tree as a column; ``term`` and ``near`` make one of a leaf."""
+    kind = tree[0]
+    if kind == "term":
+        return term(*tree[1:]) if tree[1] else F.lit(False)
+    if kind == "near":
+        return near(*tree[1:])
+    left, right = (evaluated(t, term, near) for t in tree[1:])
+    return left | right if kind == "or" else left & right if kind == "and" else left & ~right
 
 
 def starts_of(t: Column, words: list[str], prefix: bool) -> Column:
@@ -175,22 +181,35 @@ def follows(t: Column, words: list[str], prefix: bool) -> Column:
     return F.size(starts_of(t, words, prefix)) > 0
 
 
-def within(t: Column, groups: list[tuple[list[str], bool]], distance: int) -> Column:
-    """All groups, with at most ``distance`` tokens between the end of the first and the start of the last."""
-    sets = [starts_of(t, w, p) for w, p in groups]
+def within(sets: list[tuple[Column, int]], distance: int) -> Column:
+    """All groups (their starts and lengths), with at most ``distance`` tokens between the end of the first and the start of the last."""
 
     def reach(k: int, low: Column, high: Column) -> Column:
         if k == len(sets):
             return high - low <= distance
-        n = len(groups[k][0])
-        return F.exists(sets[k], lambda s: reach(k + 1, F.least(low, s + n), F.greatest(high, s)))
+        starts, n = sets[k]
+        return F.exists(starts, lambda s: reach(k + 1, F.least(low, s + n), F.greatest(high, s)))
 
-    n = len(groups[0][0])
-    return F.exists(sets[0], lambda s: reach(1, s + n, s))
+    starts, n = sets[0]
+    return F.exists(starts, lambda s: reach(1, s + n, s))
 
 
 def matches(query: str, columns: tuple[str, ...] = COLUMNS, tokenised: bool = False) -> Column:
-    return _Compiler(query, {c: F.col(f"{c}_tokens") if tokenised else tokens(c) for c in columns}).whole()
+    """A query as one condition over the texts, or over their tokens."""
+    of = {c: F.col(f"{c}_tokens") if tokenised else tokens(c) for c in columns}
+
+    def any_of(cols, test) -> Column:
+        out = F.lit(False)
+        for c in cols:
+            # a one-element transform names the tokens, so they are split once a row
+            out = out | F.element_at(F.transform(F.array(of[c]), test), 1)
+        return out
+
+    return evaluated(
+        parse(query, columns),
+        lambda words, prefix, cols: any_of(cols, lambda t: follows(t, words, prefix)),
+        lambda groups, distance, cols: any_of(cols, lambda t: within([(starts_of(t, w, p), len(w)) for w, p in groups], distance)),
+    )
 
 
 def search(changes: DataFrame, query: str, limit: int = 20, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
@@ -199,12 +218,3 @@ def search(changes: DataFrame, query: str, limit: int = 20, columns: tuple[str,
     found = changes.where(matches(query, columns, tokenised))
     order = [F.col("recorded_at").desc(), F.col("id").desc()]
     return found.orderBy(*order).limit(limit)
-
-
-def postings(df: DataFrame, key: str, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """An inverted index: (token, key, column, positions)."""
-    parts = [df.select(F.col(key), F.lit(c).alias("column"), F.posexplode(tokens(c)).alias("pos", "token")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("token", key, "column").agg(F.sort_array(F.collect_list("pos")).alias("positions"))

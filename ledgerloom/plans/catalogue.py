@@ -13,6 +13,8 @@ from ..functions import crypto, secrets, text
 from ..operators import codegraph, integrity, journal, reconcile, render, search, sessions
 from ..parsers.base import parse_files, symbols_of
 from ..sources.adapters import CHANGES_SQL, IMPORTS_SQL, SYMBOLS_SQL, changes, page_imports, part_symbols, table
+from ..sources.search_index import SearchIndex
+from ..sources.shared import shared_path
 from ..streaming.ingest import skew_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +186,37 @@ def _has(w: str) -> str:
     return f"list_contains(t, '{w}')"
 
 
+#: Queries of the inverted index, and what each asks of the folded tokens t.
+INDEXED = (
+    ("für", "list_contains(t, 'fur')"),
+    ("ción* NOT of", "len(list_filter(t, lambda x: starts_with(x, 'cion'))) > 0 AND NOT list_contains(t, 'of')"),
+    ('"of the"', _PHRASE.format("of the")),
+    ("NEAR(that wher, 3)", "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'that' AND list_contains(t[greatest(i - 4, 1):i + 4], 'wher'))) > 0"),
+    ("(reed OR éque) that", "(list_contains(t, 'reed') OR list_contains(t, 'eque')) AND list_contains(t, 'that')"),
+    ("e*", "len(list_filter(t, lambda x: starts_with(x, 'e'))) > 0"),
+)
+
+
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """An index of all documents, built in three batches of which two are merged, asked several queries."""
+    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("summary"))
+    index = SearchIndex(s, shared_path(s, "search"), columns=("summary",), buckets=16)
+    for k in range(3):
+        index.add(docs.where(F.pmod("doc_id", F.lit(3)) == k), "doc_id")
+        if k == 1:
+            index.merge(2)
+    found = [index.keys(q).select(F.lit(q).alias("query"), F.col("key").alias("doc_id")) for q, _ in INDEXED]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+INDEXED_SQL = "WITH tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM documents) " + " UNION ALL ".join(
+    f"SELECT '{q}' AS query, doc_id FROM tok WHERE {cond}" for q, cond in INDEXED
+)
+
+
 def _secret_scan(s, d):
     docs = table(s, d, "documents").select("doc_id", secrets.first_secret(F.col("text"), PATTERNS).alias("pattern"))
     return docs.where("pattern <> ''")
@@ -337,13 +370,10 @@ PARSE_SQL = " UNION ALL ".join(
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """Skew flags of a finite stream of events, through the same state as a live one."""
-    import uuid
-
     schema = s.read.parquet(f"{d}/events.parquet").schema
     src = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     rows = src.select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("recorded_at"))
-    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{base}/ledgerloom/skew-{uuid.uuid4().hex}"
+    path = shared_path(s, "skew")
     flags = skew_stream(rows)
     q = flags.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -405,6 +435,7 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "search_or_not": (_search("(reed OR wher) NOT that"), _search_sql(f"({_has('reed')} OR {_has('wher')}) AND NOT {_has('that')}")),
     "search_prefix": (_search("oftht*"), _search_sql("len(list_filter(t, lambda x: starts_with(x, 'oftht'))) > 0")),
     "search_phrase": (_search('"of the"'), _search_sql(_PHRASE.format("of the"))),
+    "search_index": (_indexed, INDEXED_SQL),
     "secret_scan": (_secret_scan, SECRET_SQL),
     "redact_lines": (_redact, REDACT_SQL),
     "diffstat_parse": (_scalars, SCALARS_SQL),

@@ -13,13 +13,14 @@ from pyspark.sql.types import StructType
 
 from ..functions.secrets import scrub_diff
 from ..functions.text import STATE_DIR, local_import_path
-from ..operators import codegraph, integrity, journal, reconcile, render, search, sessions
+from ..operators import codegraph, integrity, journal, reconcile, render, sessions
 from ..parsers.base import imports_of, parse_files, symbols_of
 from ..schemas import IMPORTS, INDEX_META, SYMBOLS, struct
 from ..sources import config, files
 from ..sources.aliases import load_aliases
 from ..sources.git import Git, commit_files, staged_files
 from ..sources.journal_store import Journal
+from ..sources.search_index import SearchIndex, journal_search
 from .summariser import over_http
 
 BLOCK = "LEDGERLOOM_GATE_BLOCK"
@@ -36,6 +37,7 @@ class Toolbox:
         self.settings = config.load(root) if settings is None else settings
         self.summarise = over_http(self.settings.summariser) if summarise is None and self.settings.summariser.enabled else summarise
         self.git = Git(root)
+        self.words = SearchIndex(spark, f"{store.path}/_words")
         self.calls: list[tuple[str, str]] = []
         self.began = time.monotonic()
 
@@ -79,7 +81,7 @@ class Toolbox:
 
     def search_changes(self, query: str, limit: int | None = None) -> DataFrame:
         self._called("search_changes")
-        return search.search(self.effective(), query, journal.clamp(limit, 20))
+        return journal_search(self.words, self.effective(), query, journal.clamp(limit, 20))
 
     def get_diff(self, file: str, commit: str = "") -> DataFrame:
         self._called("get_diff")
@@ -109,6 +111,14 @@ class Toolbox:
 
     # journal jobs
 
+    def index_words(self) -> None:
+        """Take rows that came since into the word index, and merge its runs where they are due."""
+        rows = self.journal.changes()
+        upto, last = self.words.log.snapshot().state.get("upto", 0), rows.agg(F.max("id")).first()[0] or 0
+        if last > upto:
+            self.words.add(self.journal.changes(after=upto).where((F.col("id") > upto) & (F.col("id") <= last)), "id", last)
+            self.words.merge()
+
     def effective(self) -> DataFrame:
         """The journal with claimed rows under their commits."""
         rows = self.journal.changes()
@@ -127,6 +137,7 @@ class Toolbox:
         text = lambda path, _: F.col("_text")
         missing = reconcile.fallback_rows(covered.join(told.select("file_path", "_text"), "file_path", "left"), int(time.time()), self.git.branch(), text)
         self.journal.record(missing.join(told.drop("_text"), "file_path", "left").orderBy("file_path").coalesce(1))
+        self.index_words()
         self.render_changes(names)
         if self.settings.index.enabled:
             self.index_incremental(names)

@@ -14,6 +14,7 @@ from ledgerloom.schemas import CHANGES, IMPORTS, SYMBOLS, normalise_changes
 from ledgerloom.sources import config, files
 from ledgerloom.sources.git import Git
 from ledgerloom.sources.journal_store import Journal, load_salt
+from ledgerloom.sources.search_index import SearchIndex, journal_search
 from ledgerloom.streaming.ingest import ingest, session_stream, skew_stream
 
 KEY = b"k" * 32
@@ -137,7 +138,7 @@ def test_claims_of_a_hot_file(spark, hot_share):
     assert {r["id"]: r["effective_commit"] for r in got.collect()} == want and got.count() == len(paths)
 
 
-def test_search_against_sqlite(spark):
+def test_search_against_sqlite(spark, tmp_path):
     texts = [("fix password hashing", "use bcrypt instead of md5"), ("add connection pool", "reduce latency"), ("Fix the café menu", "password café"), ("hash of the fix", ""), ("pool pools pooling", "connection, then pool")]
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(summary, reason)")
@@ -159,7 +160,27 @@ def test_search_against_sqlite(spark):
     for bad in ("fix-password", '"open', "AND", "nocolumn:x"):
         with pytest.raises(search.SearchError):
             search.matches(bad)
-    assert search.postings(df, "id").where("token = 'pool'").count() == 3
+    index = SearchIndex(spark, str(tmp_path / "ix"))
+    for part in (other.where("id <= 4"), other.where("id between 5 and 6"), other.where("id > 6")):
+        index.add(part, "id", part.agg(F.max("id")).first()[0])
+    for q in queries:
+        want = sorted(r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,)))
+        assert sorted(r["key"] for r in index.keys(q).collect()) == want, q
+    assert index.merge(3) == 3 and len(index.log.snapshot().of("stats")) == 1
+    con.execute("DELETE FROM t")
+    con.executemany("INSERT INTO t (rowid, summary, reason) VALUES (?, ?, ?)", [(i + 100, a, b) for i, (a, b) in enumerate(texts)])
+    first = SearchIndex(spark, str(tmp_path / "first"))
+    first.add(df.where("id < 4").withColumn("id", F.col("id") + 99), "id", 102)
+    for few in (1000, 0):
+        for q in ["pool*", '"connection pool"', "NEAR(fix hash, 1)", "(pool OR fix) NOT latency", "summary:(fix OR pool)", "p*"]:
+            want = sorted(r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ? AND rowid < 103", (q,)))
+            assert sorted(r["key"] for r in first.keys(q, few).collect()) == want, q
+    shifted = df.withColumn("id", F.col("id") + 99)  # rows from 103 on aren't indexed yet
+    for q in ("pool", "fix NOT password", "nothing"):
+        want = sorted(r[0] for r in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,)))
+        assert sorted(r["id"] for r in journal_search(first, shifted, q).collect()) == want, q
+    assert "PartitionFilters: [isnotnull(bucket" in first.keys("bcrypt")._jdf.queryExecution().executedPlan().toString()
+    assert SearchIndex(spark, str(tmp_path / "none")).keys("x").collect() == []
 
 
 def graph(spark):
