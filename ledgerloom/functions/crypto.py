@@ -1,24 +1,27 @@
-"""Digests as column expressions: HMAC-SHA256 out of two hashes, signed payloads, keys."""
+"""Digests: HMAC-SHA256 of payloads, and as column expressions signed payloads, diff hashes, names of repositories."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac as _hmac
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 64
 #: The signed fields of a row, in the order of the payload.
 SIGNED = ("prev_hmac", "file_path", "branch", "source", "summary", "reason", "diff_stat", "diff_hash", "agent_id", "recorded_at")
 
 
 def hmac_sha256(payload: Column, key: bytes) -> Column:
-    """Hex HMAC-SHA256; the key's pads are literals, so the whole is one expression."""
-    key = (hashlib.sha256(key).digest() if len(key) > BLOCK else key).ljust(BLOCK, b"\0")
-    pad = lambda b: F.lit(bytes(k ^ b for k in key))
-    inner = F.unhex(F.sha2(F.concat(pad(0x36), payload.cast("binary")), 256))
-    return F.sha2(F.concat(pad(0x5C), inner), 256)
+    """Hex HMAC-SHA256 of a text's UTF-8. A pandas function over payloads holds the key, so no plan, UI or event log shows it,
+    as the pads of a column expression would."""
+
+    @F.pandas_udf("string")
+    def signed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
+
+    return signed(payload.cast("string"))
 
 
 def json_string(c: Column) -> Column:

@@ -102,6 +102,21 @@ def valid_path(path: Column | str) -> Column:
     return (blank(path) != "") & ~F.startswith(blank(path), F.lit("/")) & (F.aggregate(parts, start, step, lambda a: a["least"]) >= 0)
 
 
+def normal_path(path: Column | str) -> Column:
+    """A path without empty and "." parts, and with each ".." taken back by the part before it; "." for nothing."""
+    path = _col(path)
+    lead = F.when(path.rlike("^//([^/]|$)"), "//").when(F.startswith(path, F.lit("/")), "/").otherwise("")
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(".."))
+        back = F.when(last != "..", F.slice(done, F.lit(1), F.size(done) - 1)).when(lead == "", F.concat(done, F.array(p))).otherwise(done)
+        return F.when(p == "..", back).otherwise(F.concat(done, F.array(p)))
+
+    out = F.concat(lead, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(out == "", ".").otherwise(out)
+
+
 def in_state_dir(path: Column | str) -> Column:
     return (blank(path) == "") | F.startswith(blank(path), F.lit(STATE_DIR + "/"))
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import language, local_import_path
-from ..sources.aliases import resolve_alias
+from ..functions.text import language, local_import_path, normal_path
 
 MAX_INDEX_BYTES = 200 << 20
 
@@ -15,10 +14,17 @@ def symbols_of_file(symbols: DataFrame, path: str) -> DataFrame:
     return symbols.where(F.col("file_path") == path).orderBy("line_start", "name")
 
 
+def folded(name) -> F.Column:
+    """A name with its ASCII letters in lower case."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def find_symbol(symbols: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
-    """Symbols whose name starts with a text, ASCII letters in either case; shortest first. An empty text meets all."""
-    fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    found = symbols.where(F.startswith(fold(F.col("name")), fold(F.lit(prefix)))).orderBy(F.length("name"), "file_path", "line_start", "name", "line_end")
+    """Symbols whose name starts with a text, ASCII letters in either case; shortest first. An empty text meets all. A table
+    sorted by ``folded`` is read only where the prefix can be."""
+    low = prefix.translate({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
+    name = F.col("folded") if "folded" in symbols.columns else folded("name")
+    found = symbols.where(F.startswith(name, F.lit(low))).orderBy(F.length("name"), "file_path", "line_start", "name", "line_end")
     return found if limit is None else found.limit(limit)
 
 
@@ -105,17 +111,32 @@ def current_rows(rows: DataFrame, scans: DataFrame) -> DataFrame:
     return rows.join(latest, ["file_path", "scan_id"], "left_semi")
 
 
+def resolve_aliases(specs: DataFrame, aliases: DataFrame, column: str = "specifier", project: str = "project") -> DataFrame:
+    """Specifiers with ``resolved`` by their project's path aliases (project, pattern, target), any number of them: an exact
+    pattern first, else the wildcard with the longest prefix, then the smallest pattern; its target is cleaned as a path. Null without one.
+
+    A pattern is met by an equi-join on the part before its star: each different specifier gives its beginnings of the
+    lengths that patterns have. The lengths are the only thing that comes to the driver, no more than the longest pattern has characters."""
+    named = [F.coalesce(project, F.lit("")).alias("_p"), F.col("pattern").alias("_pattern"), F.col("target").alias("_target")]
+    star, end = F.instr("pattern", "*"), F.length("pattern")
+    wild = aliases.where(star > 0).select(*named, F.substring("pattern", F.lit(1), star - 1).alias("_head"), F.substring("pattern", star + 1, end).alias("_tail"), F.lit(False).alias("_exact"))
+    table = aliases.select(*named, F.col("pattern").alias("_head"), F.lit("").alias("_tail"), F.lit(True).alias("_exact")).union(wild).distinct()
+    lengths = sorted(r[0] for r in table.select(F.length("_head")).distinct().collect())
+    each = specs.select(F.coalesce(project, F.lit("")).alias("_p"), F.col(column).alias("_s")).where("_s is not null").distinct()
+    size = F.length("_s")
+    heads = each.withColumn("_n", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= size))).withColumn("_head", F.substring("_s", F.lit(1), F.col("_n")))
+    fits = F.when(F.col("_exact"), F.col("_s") == F.col("_pattern")).otherwise((size >= F.length("_head") + F.length("_tail")) & F.endswith("_s", F.col("_tail")))
+    best = F.min_by(F.struct("_exact", "_target", "_head", "_tail"), F.struct((~F.col("_exact")).alias("e"), (-F.length("_head")).alias("n"), "_pattern")).alias("_b")
+    found = heads.join(table, ["_p", "_head"]).where(fits).groupBy("_p", "_s").agg(best).select("_p", "_s", "_b.*")
+    middle = F.substring("_s", F.length("_head") + 1, F.length("_s") - F.length("_head") - F.length("_tail"))
+    at = F.instr("_target", "*")
+    filled = F.when(at == 0, F.col("_target")).otherwise(F.concat(F.substring("_target", F.lit(1), at - 1), middle, F.substring("_target", at + 1, F.length("_target"))))
+    found = found.select("_p", "_s", F.when(F.col("_exact"), F.col("_target")).otherwise(normal_path(filled)).alias("resolved"))
+    own = specs.drop("resolved")
+    return own.join(found, (F.coalesce(own[project], F.lit("")) == found["_p"]) & (own[column] == found["_s"]), "left").select(*own.columns, "resolved")
+
+
 def resolve_specifiers(specs: DataFrame, aliases: dict[str, str], column: str = "specifier") -> DataFrame:
-    """Specifiers with ``resolved`` by path aliases (a handful of literals): exact ones first, then by longest prefix."""
-    wild = sorted(((p, t) for p, t in aliases.items() if "*" in p), key=lambda x: (-len(x[0].partition("*")[0]), x[0]))
-    out = F.lit(None).cast("string")
-    for pattern, target in reversed(wild):
-        prefix, _, suffix = pattern.partition("*")
-        middle = F.substring(F.col(column), F.lit(len(prefix) + 1), F.length(column) - len(prefix) - len(suffix))
-        before, _, after = target.partition("*")
-        hit = F.startswith(F.col(column), F.lit(prefix)) & F.endswith(F.col(column), F.lit(suffix)) & (F.length(column) >= len(prefix) + len(suffix))
-        out = F.when(hit, F.concat(F.lit(before), middle, F.lit(after))).otherwise(out)
-    for pattern, target in aliases.items():
-        if "*" not in pattern:
-            out = F.when(F.col(column) == pattern, F.lit(resolve_alias(pattern, aliases))).otherwise(out)
-    return specs.withColumn("resolved", out)
+    """``resolve_aliases`` for the aliases of one project."""
+    table = specs.sparkSession.createDataFrame([("", p, t) for p, t in aliases.items()], "project string, pattern string, target string")
+    return resolve_aliases(specs.withColumn("_project", F.lit("")), table.withColumnRenamed("project", "_project"), column, "_project").drop("_project")

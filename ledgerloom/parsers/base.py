@@ -8,8 +8,11 @@ from collections.abc import Callable
 from dataclasses import astuple, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+from ..schemas import struct
 
 PARSE_SECONDS = 5.0
 MAX_FILE_BYTES = 1 << 20
@@ -39,7 +42,7 @@ def register(name: str, extensions: tuple[str, ...], parser: Parser) -> None:
 
 
 def parser_for(path: str) -> tuple[str, Parser] | None:
-    base = path.rpartition("/")[2]
+    base = (path or "").rpartition("/")[2]
     return _REGISTRY.get(base.rpartition(".")[2].lower()) if "." in base else None
 
 
@@ -103,3 +106,41 @@ def symbols_of(parsed: DataFrame) -> DataFrame:
 
 def imports_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_path", F.explode("imports").alias("imported_path"))
+
+
+class ParseSymbols:
+    """The parsers as a table function over a table of (file_path, content), with or without partitions:
+    ``SELECT * FROM parse_symbols(TABLE(files) PARTITION BY file_path)``. A row per symbol; a file without any has one row with its
+    status alone."""
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+        if not table.isTable:
+            raise ValueError("parse_symbols takes a table")
+        missing = {"file_path", "content"} - {f.name for f in table.dataType.fields}
+        if missing:
+            raise ValueError(f"parse_symbols needs the columns {sorted(missing)}")
+        return AnalyzeResult(struct("file_path string, status string, name string, kind string, line_start int, line_end int, signature string"))
+
+    def eval(self, row: Row):
+        content = row["content"]
+        text = content.decode(errors="replace") if isinstance(content, (bytes, bytearray)) else content or ""
+        status, symbols, _ = parse_guarded(row["file_path"] or "", text, {})
+        for s in symbols:
+            yield (row["file_path"], status, *astuple(s))
+        if not symbols:
+            yield (row["file_path"], status, None, None, None, None, None)
+
+
+class ParseText:
+    """The same for one file, as a lateral function: ``FROM files f, LATERAL parse_text(f.file_path, f.content)``. A row per symbol."""
+
+    def eval(self, file_path: str, content: str):
+        for s in parse_guarded(file_path or "", content or "", {})[1]:
+            yield astuple(s)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``parse_symbols`` and ``parse_text`` known to the session's SQL."""
+    spark.udtf.register("parse_symbols", F.udtf(ParseSymbols))
+    spark.udtf.register("parse_text", F.udtf(ParseText, returnType="name string, kind string, line_start int, line_end int, signature string"))

@@ -87,7 +87,7 @@ def _orders_journal(s, d):
 def _hmac_sql(payload: str) -> str:
     key = KEY.ljust(64, b"\0")
     blob = lambda b: "'" + "".join(f"\\x{k ^ b:02X}" for k in key) + "'::BLOB"
-    return f"sha256({blob(0x5C)} || unhex(sha256({blob(0x36)} || ({payload})::BLOB)))"
+    return f"sha256({blob(0x5C)} || unhex(sha256({blob(0x36)} || encode({payload}))))"
 
 
 CHAIN_SQL = f"""
@@ -212,7 +212,7 @@ def _indexed(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
-INDEXED_SQL = "WITH tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS t FROM documents) " + " UNION ALL ".join(
+INDEXED_SQL = "WITH tok AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents) " + " UNION ALL ".join(
     f"SELECT '{q}' AS query, doc_id FROM tok WHERE {cond}" for q, cond in INDEXED
 )
 
@@ -326,6 +326,50 @@ ALIAS_SQL = "SELECT page_id, url AS specifier, CASE " + " ".join(
 ) + " END AS resolved FROM pages"
 
 
+def _alias_table(s, d):
+    """Specifiers of orders by a table of a pattern or two per customer, in two projects."""
+    c, o = table(s, d, "customer"), table(s, d, "orders")
+    project = lambda k: F.concat(F.lit("p"), (F.col(k) % 2).cast("string")).alias("project")
+    key = F.col("c_custkey").cast("string")
+    plain = c.select(project("c_custkey"), F.concat(F.lit("@"), key, F.lit("/*")).alias("pattern"), F.concat(F.lit("src/"), F.col("c_nationkey").cast("string"), F.lit("/./*")).alias("target"))
+    longer = c.where("c_custkey % 7 = 0").select(project("c_custkey"), F.concat(F.lit("@"), key, F.lit("/sub/*")).alias("pattern"), F.lit("lib//*").alias("target"))
+    whole = c.where("c_custkey % 11 = 0").select(project("c_custkey"), F.concat(F.lit("@"), key, F.lit("/sub/b")).alias("pattern"), F.lit("one/./file").alias("target"))
+    end = F.when(F.col("o_orderkey") % 3 == 0, "/a").when(F.col("o_orderkey") % 3 == 1, "/sub/b").otherwise("/../c")
+    specs = o.select("o_orderkey", F.concat(F.lit("p"), (F.col("o_custkey") % 2).cast("string")).alias("project"), F.concat(F.lit("@"), F.col("o_custkey").cast("string"), end).alias("specifier"))
+    return codegraph.resolve_aliases(specs, plain.union(longer).union(whole)).select("o_orderkey", "specifier", "resolved")
+
+
+ALIAS_TABLE_SQL = """SELECT o_orderkey, '@' || o_custkey || e AS specifier, CASE WHEN c_custkey IS NULL THEN NULL
+  WHEN o_orderkey % 3 = 1 AND o_custkey % 11 = 0 THEN 'one/./file' WHEN o_orderkey % 3 = 1 AND o_custkey % 7 = 0 THEN 'lib/b' WHEN o_orderkey % 3 = 2 THEN 'src/c' ELSE 'src/' || c_nationkey || e END AS resolved
+FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN '/a' WHEN 1 THEN '/sub/b' ELSE '/../c' END AS e FROM orders) LEFT JOIN customer ON c_custkey = o_custkey"""
+
+
+def _payloads(s, d):
+    """Turns of conversations as signed rows: texts with quotes, control signs and HTML, signed by the real payload."""
+    c = table(s, d, "conversations")
+    odd = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("a\"b\\c<d>&e\tf\n"), F.col("text"))).otherwise(F.col("text"))
+    rows = c.select(
+        "conv_id", "turn", F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("file_path"), F.col("role").alias("source"), odd.alias("summary"), F.col("turn").cast("long").alias("recorded_at"),
+        *(F.lit("").alias(n) for n in ("prev_hmac", "branch", "reason", "diff_stat", "diff_hash", "agent_id")),
+    )
+    return rows.select("conv_id", "turn", crypto.hmac_sha256(crypto.signed_payload(), KEY).alias("hmac"))
+
+
+def _json_sql(c: str) -> str:
+    out = f"replace(replace({c}, '\\', '\\\\'), '\"', '\\\"')"
+    short = {10: "n", 13: "r", 9: "t", 8: "b", 12: "f"}
+    for n in [*range(1, 32), *map(ord, "<>&\u2028\u2029")]:
+        out = f"replace({out}, chr({n}), '\\{short.get(n, f'u{n:04x}')}')"
+    return f"'\"' || {out} || '\"'"
+
+
+PAYLOAD_SQL = "SELECT conv_id, turn, " + _hmac_sql(
+    """'{"prev_hmac":"","file_path":"c/' || conv_id || '","branch":"","source":"' || role || '","summary":' || """
+    + _json_sql("CASE WHEN turn % 3 = 0 THEN 'a\"b\\c<d>&e' || chr(9) || 'f' || chr(10) || text ELSE text END")
+    + """ || ',"reason":"","diff_stat":"","diff_hash":"","agent_id":"","recorded_at":' || turn || '}'"""
+) + " AS hmac FROM conversations"
+
+
 def _scripts(s, d):
     """Symbols in the script blocks of pages, by the component parser."""
     pages = table(s, d, "pages").select(F.format_string("p/%d.svelte", "page_id").alias("file_path"), F.col("html").alias("content"))
@@ -442,6 +486,8 @@ _ALL: dict[str, tuple[Query, str | None]] = {
     "text_scalars": (_text_scalars, TEXT_SQL),
     "timestamps": (_timestamps, TIMES_SQL),
     "alias_longest_prefix": (_aliases, ALIAS_SQL),
+    "alias_table": (_alias_table, ALIAS_TABLE_SQL),
+    "signed_payloads": (_payloads, PAYLOAD_SQL),
     "session_context": (_sessions, SESSIONS_SQL),
     "script_blocks": (_scripts, None),
     "parse_symbols": (_parse_parts, PARSE_SQL),

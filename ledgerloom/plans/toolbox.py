@@ -9,17 +9,17 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from ..functions.crypto import derive_key
 from ..functions.secrets import scrub_diff
 from ..functions.text import STATE_DIR, local_import_path
 from ..operators import codegraph, integrity, journal, reconcile, render, sessions
 from ..parsers.base import imports_of, parse_files, symbols_of
-from ..schemas import IMPORTS, INDEX_META, SYMBOLS, struct
 from ..sources import config, files
 from ..sources.aliases import load_aliases
+from ..sources.code_index import CodeIndex
 from ..sources.git import Git, commit_files, staged_files
-from ..sources.journal_store import Journal
+from ..sources.journal_store import Journal, load_salt
 from ..sources.search_index import SearchIndex, journal_search
 from .summariser import over_http
 
@@ -33,7 +33,8 @@ class Toolbox:
     ``summariser``; without one, the settings decide. Settings are the repository's own unless given."""
 
     def __init__(self, spark: SparkSession, root: str, store: Journal, index_path: str, summarise=None, settings: config.Config | None = None):
-        self.spark, self.root, self.journal, self.index_path = spark, root, store, index_path
+        self.spark, self.root, self.journal = spark, root, store
+        self.code = CodeIndex(spark, index_path)
         self.settings = config.load(root) if settings is None else settings
         self.summarise = over_http(self.settings.summariser) if summarise is None and self.settings.summariser.enabled else summarise
         self.git = Git(root)
@@ -41,6 +42,12 @@ class Toolbox:
         self.calls: list[tuple[str, str]] = []
         self.began = time.monotonic()
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, journal_path: str, index_path: str, salt_path: str, **options) -> Toolbox:
+        """With the journal's key made from the salt in a file (made anew where there is none) and the repository's address of its user."""
+        key = derive_key(load_salt(salt_path), Git(root).email())
+        return cls(spark, root, Journal(spark, journal_path, key), index_path, **options)
+
     # tools
 
     def _called(self, tool: str) -> None:
@@ -75,39 +82,77 @@ class Toolbox:
         self._called("get_file_history")
         return journal.file_history(self.effective(), file, journal.clamp(limit, 10))
 
-    def get_recent_changes(self, limit: int | None = None) -> DataFrame:
+    def get_recent_changes(self, limit: int | None = None, summarize: bool = False) -> DataFrame:
+        """The newest changes; ``summarize``: with what the summariser says of each one's diff, '' where it says nothing."""
         self._called("get_recent_changes")
-        return journal.recent(self.effective(), journal.clamp(limit, 20))
+        found = journal.recent(self.effective(), journal.clamp(limit, 20))
+        if not summarize:
+            return found
+        shown = [(r["id"], r["file_path"], r["commit_hash"]) for r in found.select("id", "file_path", "commit_hash").collect()]  # the limit's number
+        told = self._summaries([(f, c) for _, f, c in shown])
+        said = self.spark.createDataFrame([(i, told.get((f, c)) or "") for i, f, c in shown], "id long, told string")
+        return found.join(F.broadcast(said), "id").orderBy(F.col("recorded_at").desc(), F.col("id").desc())
+
+    def _summaries(self, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], str | None]:
+        """What the summariser says of (file, commit), shown without secrets; '' as the commit is the working tree."""
+        if not self.summarise or not wanted:
+            return {}
+        rows = []
+        for f, c in dict.fromkeys(wanted):
+            try:
+                rows.append((f, c, self.git.diff(f, c)))
+            except (RuntimeError, ValueError):  # a commit that isn't here
+                continue
+        if not rows:
+            return {}
+        shown = self.spark.createDataFrame(rows, "f string, c string, d string").select("f", "c", scrub_diff(F.col("d")).alias("d"))
+        return {(r["f"], r["c"]): self.summarise(r["f"], r["d"]) for r in shown.toLocalIterator()}
 
     def search_changes(self, query: str, limit: int | None = None) -> DataFrame:
         self._called("search_changes")
         return journal_search(self.words, self.effective(), query, journal.clamp(limit, 20))
 
-    def get_diff(self, file: str, commit: str = "") -> DataFrame:
+    def get_diff(self, file: str, commit: str = "", summarize: bool = False) -> DataFrame:
+        """A file's diff; ``summarize``: with what the summariser says of it, '' where it says nothing."""
         self._called("get_diff")
-        return self.spark.createDataFrame([(file, commit, self.git.diff(file, commit))], "file_path string, commit_hash string, diff string").withColumn("scrubbed", scrub_diff(F.col("diff")))
+        out = self.spark.createDataFrame([(file, commit, self.git.diff(file, commit))], "file_path string, commit_hash string, diff string").withColumn("scrubbed", scrub_diff(F.col("diff")))
+        return out.withColumn("told", F.lit(self._summaries([(file, commit)]).get((file, commit)) or "")) if summarize else out
 
     def get_changes_in_range(self, since: int, until: int, file: str | None = None, limit: int | None = None) -> DataFrame:
         self._called("get_changes_in_range")
         return journal.in_range(self.effective(), since, until, file, journal.clamp(limit, 50))
 
+    def _indexed_at(self) -> F.Column:
+        """When the index was last brought up to date, as a column of answers from it."""
+        return F.lit(self.code.last_scan() // 1000 if self.code.known else 0).cast("long").alias("last_indexed_at")
+
     def list_symbols(self, file: str, limit: int | None = None) -> DataFrame:
+        """A file's symbols, with how many it has (``total``) and when the index was made."""
         self._called("list_symbols")
-        found = codegraph.symbols_of_file(self.symbols(), file).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("file_path")))  # of one file
-        return found.orderBy("line_start", "name").limit(journal.clamp(limit, 50))
+        found = codegraph.symbols_of_file(self.symbols(), file).drop("folded").withColumn("total", F.count(F.lit(1)).over(W.partitionBy("file_path")))  # of one file
+        return found.select("*", self._indexed_at()).orderBy("line_start", "name").limit(journal.clamp(limit, 50))
 
     def find_symbol(self, name: str, limit: int | None = None) -> DataFrame:
+        """Symbols by the beginning of their names, with how many there are (``total``) and when the index was made."""
         self._called("find_symbol")
-        return codegraph.find_symbol(self.symbols(), name, journal.clamp(limit, 20))
+        met = codegraph.find_symbol(self.symbols(), name).drop("folded")
+        total = met.groupBy().agg(F.count(F.lit(1)).alias("total"))  # one row
+        found = codegraph.find_symbol(self.symbols(), name, journal.clamp(limit, 20)).drop("folded")
+        return found.join(F.broadcast(total)).select("*", self._indexed_at()).orderBy(F.length("name"), "file_path", "line_start", "name", "line_end")
 
     def get_dependents(self, file: str) -> DataFrame:
         self._called("get_dependents")
         key = self.spark.createDataFrame([(file,)], "f string").select(local_import_path("f", files.module_path(self.root))).first()[0]
-        return codegraph.importers(self.imports(), key if key is not None else "\0")
+        return codegraph.importers(self.imports(), key if key is not None else "\0").select("*", self._indexed_at())
 
     def get_index_summary(self, limit: int | None = None) -> DataFrame:
+        """The hubs, most imported first, each beside the index's totals: files, symbols, imports, files per language, when it was
+        last scanned, what was left out, its size. One row without a hub if nothing is imported; none without an index."""
         self._called("get_index_summary")
-        return codegraph.hubs(self.imports(), journal.clamp(limit, 10, 100))
+        if not self.code.known:
+            return self.spark.createDataFrame([], "imported_path string, dependents long")
+        hubs = codegraph.hubs(self.imports(), journal.clamp(limit, 10, 100))
+        return self.index_status().join(F.broadcast(hubs), how="left").orderBy(F.col("dependents").desc(), "imported_path")  # a row beside the limit's number
 
     # journal jobs
 
@@ -180,6 +225,7 @@ class Toolbox:
         return {
             "chain": self.journal.verify(),
             "clock": rows.where("clock_tamper_warning").select("id", "file_path", "recorded_at"),
+            "clock_count": rows.agg(F.count_if("clock_tamper_warning").alias("n_warnings")),
             "rendered": render.diverged(expected, files.read_rendered(self.spark, self.root)),
             "root": integrity.merkle_root(rows.select("id", "hmac"), "id", "hmac"),
         }
@@ -189,26 +235,17 @@ class Toolbox:
 
     # index jobs
 
-    def _table(self, name: str, schema: StructType) -> DataFrame:
-        path = f"{self.index_path}/{name}"
-        return self.spark.read.schema(schema).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], schema)
-
-    def _current(self, name: str, schema) -> DataFrame:
-        rows = self._table(name, StructType([*schema.fields, *struct("scan_id long").fields]))
-        return codegraph.current_rows(rows, self._table("scans", struct("file_path string, scan_id long, deleted boolean"))).drop("scan_id")
-
     def symbols(self) -> DataFrame:
-        return self._current("symbols", SYMBOLS)
+        return self.code.symbols()
 
     def imports(self) -> DataFrame:
-        return self._current("imports", IMPORTS)
+        return self.code.imports()
 
     def index_state(self) -> dict | None:
-        if not os.path.isdir(f"{self.index_path}/scans"):
+        if not self.code.known:
             return None
         s = codegraph.summary(self.symbols(), self.imports()).first()
-        at = self.spark.read.parquet(f"{self.index_path}/scans").agg(F.max("scan_id")).first()[0]
-        return {"file_count": s["file_count"], "symbol_count": s["symbol_count"], "last_indexed_at": (at or 0) // 1000}
+        return {"file_count": s["file_count"], "symbol_count": s["symbol_count"], "last_indexed_at": self.code.last_scan() // 1000}
 
     def index(self, force: bool = False, only: list[str] | None = None) -> dict:
         """Parse, guard, append as a new scan. A full scan also marks what is gone as deleted."""
@@ -230,31 +267,24 @@ class Toolbox:
             missing = [p for p in only if not os.path.isfile(os.path.join(self.root, p))]
             gone = known.where(F.col("file_path").isin(missing)) if missing else known.limit(0)
         scans = scans.union(gone.select("file_path", F.lit(scan_id).cast("long"), F.lit(True)))
-        scans = self.spark.createDataFrame(scans.collect(), scans.schema)  # a line per file, before its table grows
-        stamp(new_symbols).write.mode("append").parquet(f"{self.index_path}/symbols")
-        stamp(new_imports).write.mode("append").parquet(f"{self.index_path}/imports")
-        scans.write.mode("append").parquet(f"{self.index_path}/scans")
-        parsed.unpersist()
+        meta = None
         if only is None:  # a partial scan doesn't see what it skips elsewhere
-            self._meta(counts, scan_id).write.mode("overwrite").parquet(f"{self.index_path}/meta")
+            now = codegraph.summary(new_symbols, new_imports).first()
+            meta = {"last_indexed_at": scan_id // 1000, "file_count": now["file_count"], "symbol_count": now["symbol_count"], "language_counts": now["language_counts"], "skipped_count": counts["skipped"], "unsupported_count": counts["unsupported"]}
+        self.code.add(stamp(new_symbols), stamp(new_imports), scans, meta)
+        n_files = good.count()
+        parsed.unpersist()
         self.render_index(counts if only is None else None)
-        return counts | {"symbols": self.symbols().count(), "files": scans.where("not deleted").count()}
+        return counts | {"symbols": self.symbols().count(), "files": n_files}
 
     def index_size(self) -> int:
         """Bytes of the index's files; -1 if there is none."""
-        if not os.path.isdir(self.index_path):
-            return -1
-        return sum(os.path.getsize(os.path.join(d, n)) for d, _, names in os.walk(self.index_path) for n in names)
-
-    def _meta(self, counts: dict, scan_id: int) -> DataFrame:
-        s = codegraph.summary(self.symbols(), self.imports()).first()
-        row = (scan_id // 1000, s["file_count"], s["symbol_count"], s["language_counts"], counts["skipped"], counts["unsupported"])
-        return self.spark.createDataFrame([row], INDEX_META)
+        return self.code.size()
 
     def _counts(self) -> dict:
         """What the last full scan skipped and had no parser for."""
-        row = self._table("meta", INDEX_META).first()
-        return {"skipped": row["skipped_count"] if row else 0, "unsupported": row["unsupported_count"] if row else 0}
+        meta = self.code.meta()
+        return {"skipped": meta.get("skipped_count", 0), "unsupported": meta.get("unsupported_count", 0)}
 
     def index_status(self) -> DataFrame:
         """One row: files, symbols and imports now, files per language, when it was last scanned, what a full scan left out, bytes."""

@@ -13,6 +13,8 @@ from ledgerloom.operators.ordered import look_back
 from ledgerloom.schemas import CHANGES, IMPORTS, SYMBOLS, normalise_changes
 from ledgerloom.sources import config, files
 from ledgerloom.sources.git import Git
+from ledgerloom.functions.crypto import derive_key
+from ledgerloom.sources.code_index import CodeIndex
 from ledgerloom.sources.journal_store import Journal, load_salt
 from ledgerloom.sources.search_index import SearchIndex, journal_search
 from ledgerloom.streaming.ingest import ingest, session_stream, skew_stream
@@ -447,6 +449,91 @@ def test_repository(spark, tmp_path):
     assert [r["path"] for r in box.verify()["rendered"].collect()] == [f"{STATE_DIR}/CHANGES.md"]
     assert "get_recent_changes" in box.get_session_context().first()["report"]
     assert box.search_changes("lib").count() == 1 and box.get_changes_in_range(0, 1 << 40).count() == 2 and box.get_file_history("main.go").count() == 1
-    assert box.get_diff("main.go").count() == 1 and box.find_symbol("ma").count() == 1 and box.get_index_summary().count() == 0 and box.status().first()["n_changes"] == 2
+    assert box.get_diff("main.go").count() == 1 and box.find_symbol("ma").count() == 1 and box.status().first()["n_changes"] == 2
+    top = box.get_index_summary().first()
+    assert (top["imported_path"], top["file_count"], top["symbol_count"], top["skipped_count"]) == (None, 1, 2, 0) and top["last_indexed_at"] > 0 and top["size_bytes"] > 0
+    two = box.find_symbol("", 1).collect()
+    assert [(r["name"], r["total"]) for r in two] == [("two", 2)] and two[0]["last_indexed_at"] == top["last_indexed_at"] == box.list_symbols("main.go").first()["last_indexed_at"]
+    assert box.verify()["clock_count"].first()["n_warnings"] == 0
+    box.summarise = lambda path, diff: f"about {path}" if "two" in diff else None
+    assert {(r["file_path"], r["told"]) for r in box.get_recent_changes(summarize=True).collect()} == {("main.go", "about main.go"), ("lib/lib.go", "")}
+    assert box.get_diff("main.go", git.head(), summarize=True).first()["told"] == "about main.go"
+    opened = Toolbox.open(spark, str(root), str(tmp_path / "own"), str(tmp_path / "ix"), str(tmp_path / "salt"))
+    assert opened.journal.key == derive_key(load_salt(str(tmp_path / "salt")), "a@b.c") and opened.find_symbol("t").count() == 1
     with pytest.raises(ValueError):
         git.diff("main.go", "--output=x")
+
+
+def test_prefix_reads_a_part(spark, tmp_path, monkeypatch):
+    """A prefix of a sorted index reads the files that can have it."""
+    from ledgerloom.sources import code_index
+
+    monkeypatch.setattr(code_index, "FILE_ROWS", 1000)
+    index = CodeIndex(spark, str(tmp_path / "ix"))
+    symbols = spark.range(20_000).select(
+        F.concat(F.sha2(F.col("id").cast("string"), 256).substr(1, 6), F.lit("Ab")).alias("name"), F.lit("func").alias("kind"), F.format_string("f%d.go", F.col("id") % 50).alias("file_path"),
+        F.col("id").cast("int").alias("line_start"), F.col("id").cast("int").alias("line_end"), F.lit("").alias("signature"), F.lit(1).cast("long").alias("scan_id"),
+    )
+    scans = symbols.select("file_path", "scan_id", F.lit(False).alias("deleted")).distinct()
+    index.add(symbols, spark.createDataFrame([], "file_path string, imported_path string, scan_id long"), scans)
+    found = codegraph.find_symbol(index.symbols(), "ABC")
+    want = sorted(r["name"] for r in symbols.where("lower(name) like 'abc%'").collect())
+    assert sorted(r["name"] for r in found.collect()) == want and want
+    stored = index._rows("symbols").where(F.col("folded").startswith("abc"))
+    stored.collect()
+    plan = stored._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < 2000  # of 20,000
+    # one file scanned again, one gone
+    index.add(symbols.where("file_path = 'f1.go' and line_start < 100").withColumn("scan_id", F.lit(2).cast("long")), spark.createDataFrame([], "file_path string, imported_path string, scan_id long"), spark.createDataFrame([("f1.go", 2, False), ("f2.go", 2, True)], "file_path string, scan_id long, deleted boolean"))
+    assert index.symbols().count() == 48 * 400 + 2
+
+
+def test_scans_are_merged(spark, tmp_path):
+    """Ten scans of one file leave two units at most, the index doesn't grow with them, and falls when files go."""
+    index, size = CodeIndex(spark, str(tmp_path / "ix")), []
+    symbols = spark.createDataFrame([(f"{'x' * 40}{i}f{k}", "func", f"f{k}.go", i, i, "s" * 50) for k in range(2) for i in range(400)], SYMBOLS)
+    nothing = spark.createDataFrame([], "file_path string, imported_path string, scan_id long")
+    scanned = lambda k, n, gone=False: spark.createDataFrame([(f"f{k}.go", n, gone)], "file_path string, scan_id long, deleted boolean")
+    stamped = lambda n, k: symbols.where(F.col("file_path") == f"f{k}.go").withColumn("scan_id", F.lit(n).cast("long")).withColumn("line_end", F.lit(n))
+    index.add(stamped(0, 0), nothing, scanned(0, 0), {"skipped_count": 3})
+    for n in range(1, 10):
+        index.add(stamped(n, 1), nothing, scanned(1, n))
+        size.append(index.size())
+        assert len(index.log.snapshot().of("symbols")) <= 2
+    assert index.symbols().groupBy("file_path").agg(F.count("*").alias("n"), F.max("line_end").alias("m")).orderBy("file_path").collect() == [("f0.go", 400, 0), ("f1.go", 400, 9)]
+    assert max(size) < 3 * min(size) and index.meta() == {"skipped_count": 3} and index.last_scan() == 9
+    for n, k in ((10, 0), (11, 1), (12, 1)):
+        index.add(stamped(n, 9), nothing, scanned(k, n, True))
+    assert index.symbols().count() == 0 and index.size() < min(size)
+
+
+def test_key_is_in_no_plan(spark):
+    rows = made(spark, {"id": 1, "summary": "s"})
+    plan = integrity.findings(rows, KEY)._jdf.queryExecution().toString()
+    pads = [bytes(k ^ b for k in KEY.ljust(64, b"\0")) for b in (0x36, 0x5C)]
+    assert not any(x in plan for p in (KEY, *pads) for x in (p.hex(), p.hex().upper(), p.decode("latin1"), " ".join(f"{b:02X}" for b in p)))
+    assert "hmac" in plan
+
+
+def test_alias_table(spark):
+    """Ten thousand patterns, a plain join, the same as the resolver of single specifiers."""
+    from ledgerloom.sources.aliases import resolve_alias
+
+    rng = random.Random(6)
+    piece = lambda: rng.choice(["a", "b", "ab", "@", "/", ".", "..", "x/y", "*", "é"])
+    aliases = {"@/*": "src/*", "a*a": "x/*", "exact": "one/./two", "é/*/z": "p//*/../q", "*": "any/*"}
+    aliases |= {"".join(piece() for _ in range(rng.randint(1, 5))): "".join(piece() for _ in range(rng.randint(1, 4))) for _ in range(300)}
+    aliases |= {f"@pkg{i}/*": f"packages/{i}/src/*" for i in range(10_000)}
+    specs = ["@/../x", "aa", "a", "aba", "exact", "é/1/2/z", "@pkg77/a/../b", "@pkg10000/x", "", None, "@pkg1", *("".join(piece() for _ in range(rng.randint(1, 6))) for _ in range(400))]
+    aliases = {p: t for p, t in aliases.items() if p.count("*") < 2}
+    table = spark.createDataFrame([(q, p, t) for q in ("one", None) for p, t in aliases.items()], "project string, pattern string, target string")
+    rows = spark.createDataFrame([(i, q, s) for i, s in enumerate(specs) for q in ("one", None, "other")], "i int, project string, specifier string")
+    plan = codegraph.resolve_aliases(rows, table)
+    assert len(plan._jdf.queryExecution().toString()) < 100_000
+    got = {(r["i"], r["project"]): r["resolved"] for r in plan.collect()}
+    for i, s in enumerate(specs):
+        want = None if s is None else resolve_alias(s, aliases)
+        assert got[i, "one"] == got[i, None] == want, s
+        assert got[i, "other"] is None
+    assert got[0, "one"] == "x"

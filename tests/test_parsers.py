@@ -187,3 +187,27 @@ def test_broken_typescript_ends():
     for source in ("class A { b( {", "const x = `${", "function f(", "}}}} const y = 1", "type T = {", "a ? /x : 1", "class { @", "export", "<p>don't</p>\nconst z = 1", "interface I { [k: string]: ( }", "enum", "@", "class A { ] }"):
         assert parse_guarded("x.ts", source, {}, 2)[0] == "ok", source
     assert [s.name for s in parse_guarded("x.tsx", "}}}} const y = 1;\n", {})[1]] == ["y"]
+
+
+def test_table_functions(spark, sf_dir):
+    """The parsers in SQL, over a partitioned table and as a lateral function, equal ``parse_files``."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.parsers.base import parse_files, register_functions, symbols_of
+
+    register_functions(spark)
+    script = "<script lang='ts'>\nexport function f%d(x: number) { return x }\nexport const K = %d\n</script>\n"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.format_string("p/%d.svelte", "page_id").alias("file_path"), F.concat(F.format_string(script, "page_id", "page_id"), "html").alias("content"))
+    odd = spark.createDataFrame([("a.go", "package p\n\nfunc A() {}\n"), ("b.txt", "x"), ("c.go", None), (None, "x")], "file_path string, content string")
+    rows = pages.union(odd)
+    rows.createOrReplaceTempView("source_files")
+    want = sorted(map(repr, symbols_of(parse_files(rows)).select("file_path", "name", "kind", "line_start", "line_end", "signature").collect()))
+    for sql in (
+        "SELECT file_path, name, kind, line_start, line_end, signature FROM parse_symbols(TABLE(source_files) PARTITION BY file_path) WHERE name IS NOT NULL",
+        "SELECT f.file_path, s.* FROM source_files f, LATERAL parse_text(f.file_path, f.content) s",
+    ):
+        assert sorted(map(repr, spark.sql(sql).collect())) == want and len(want) > 100
+    status = {r["file_path"]: r["status"] for r in spark.sql("SELECT * FROM parse_symbols(TABLE(source_files)) WHERE name IS NULL").collect()}
+    assert status["b.txt"] == "unsupported" and status["c.go"] == "ok"
+    with pytest.raises(Exception, match="needs the columns"):
+        spark.sql("SELECT * FROM parse_symbols(TABLE(SELECT 1 AS x))").collect()
