@@ -36,10 +36,12 @@ def findings(changes: DataFrame, key: bytes, payload: Column | None = None, rang
     return rows.select("id", F.inline("_f"))
 
 
-def skew_flags(changes: DataFrame, order: str = "id", at: str = "recorded_at", tolerance: int = SKEW_SECONDS, ranges: int = 64) -> DataFrame:
-    """The input with ``skewed``: recorded over five seconds before the newest time of any earlier row."""
+def skew_flags(changes: DataFrame, order: str = "id", at: str = "recorded_at", tolerance: int = SKEW_SECONDS, ranges: int = 64, before: int = 0) -> DataFrame:
+    """The input with ``skewed``: recorded over five seconds before the newest time of any earlier row, or of ``before``, the newest
+    time of all that came earlier."""
     seen = look_back(changes, order, {}, {"_most": F.col(at)}, ranges=ranges)
-    return seen.withColumn("skewed", F.coalesce((F.col(at) != 0) & (F.col("_most") != 0) & (F.col(at) < F.col("_most") - tolerance), F.lit(False))).drop("_most")
+    most = F.greatest(F.col("_most"), F.lit(before)) if before else F.col("_most")
+    return seen.withColumn("skewed", F.coalesce((F.col(at) != 0) & (most != 0) & (F.col(at) < most - tolerance), F.lit(False))).drop("_most")
 
 
 def merkle_root(leaves: DataFrame, order: str, leaf: str, groups: tuple[str, ...] = ()) -> DataFrame:

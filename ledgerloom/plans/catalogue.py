@@ -15,7 +15,7 @@ from ..parsers.base import parse_files, symbols_of
 from ..sources.adapters import CHANGES_SQL, IMPORTS_SQL, SYMBOLS_SQL, changes, page_imports, part_symbols, table
 from ..sources.search_index import SearchIndex
 from ..sources.shared import shared_path
-from ..streaming.ingest import skew_stream
+from ..streaming.ingest import flag_skew, skew_flags_so_far
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINCE, UNTIL = 1_704_067_200, 1_893_456_000
@@ -413,15 +413,13 @@ PARSE_SQL = " UNION ALL ".join(
 
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
-    """Skew flags of a finite stream of events, through the same state as a live one."""
+    """Skew flags of a finite stream of events, batch by batch as of a live one."""
     schema = s.read.parquet(f"{d}/events.parquet").schema
     src = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     rows = src.select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("recorded_at"))
     path = shared_path(s, "skew")
-    flags = skew_stream(rows)
-    q = flags.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.read.schema(flags.schema).parquet(f"{path}/rows").select("id", "recorded_at", "skewed")
+    flag_skew(rows, f"{path}/table", f"{path}/state").awaitTermination()
+    return skew_flags_so_far(s, f"{path}/table").select("id", "recorded_at", "skewed")
 
 
 STREAM_SQL = """SELECT id, recorded_at, coalesce(recorded_at <> 0 AND m <> 0 AND recorded_at < m - 5, false) AS skewed FROM (SELECT id, recorded_at, max(recorded_at) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import anchors, integrity
 from ledgerloom.sources.commit_log import CommitLog, Conflict
 from ledgerloom.sources.journal_store import Journal
-from ledgerloom.streaming.ingest import ingest
+from ledgerloom.streaming.ingest import flag_skew, ingest, skew_flags_so_far
 
 KEY, NEW_KEY = b"k" * 32, b"n" * 32
 INPUT = "file_path string, summary string, recorded_at long"
@@ -161,3 +161,23 @@ def test_peaks_are_the_tree(spark, monkeypatch):
     for a, b in ((3, 5), (8, 24), (5, 59)):
         first = anchors.peaks(leaves.where(F.col("id") <= a))
         assert anchors.peaks(leaves.where((F.col("id") > a) & (F.col("id") <= b)), a, first) == anchors.peaks(leaves.where(F.col("id") <= b))
+
+
+def test_skew_along_batches(spark, tmp_path):
+    """Flags by ranges within a batch, the newest time carried from batch to batch, a replayed batch once."""
+    import random
+
+    rng, data, want, most = random.Random(3), [], {}, 0
+    for b in range(3):
+        data.append([(b * 100 + i, 0 if i % 17 == 0 else 1000 + 10 * (b * 100 + i) - rng.choice([0, 0, 4, 6, 3000])) for i in range(100)])
+        spark.createDataFrame(data[-1], "id long, recorded_at long").repartition(3).write.parquet(str(tmp_path / "in" / f"b{b}"))
+        for i, at in data[-1]:
+            want[i] = at != 0 and most != 0 and at < most - 5
+            most = max(most, at)
+        stream = spark.readStream.schema("id long, recorded_at long").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in" / "b*"))
+        flag_skew(stream, str(tmp_path / "table"), str(tmp_path / "cp"), ranges=8).awaitTermination()
+    for f in (tmp_path / "cp" / "commits").glob("*2*"):
+        f.unlink()
+    flag_skew(stream, str(tmp_path / "table"), str(tmp_path / "cp"), ranges=8).awaitTermination()
+    got = skew_flags_so_far(spark, str(tmp_path / "table")).collect()
+    assert len(got) == 300 and {r["id"]: r["skewed"] for r in got} == want and any(want.values())
