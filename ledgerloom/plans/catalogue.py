@@ -321,8 +321,9 @@ def _aliases(s, d):
     return codegraph.resolve_specifiers(table(s, d, "pages").select("page_id", F.col("url").alias("specifier")), ALIASES)
 
 
+#: A target is cleaned as a path: one slash between its parts, none at its end.
 ALIAS_SQL = "SELECT page_id, url AS specifier, CASE " + " ".join(
-    f"WHEN starts_with(url, '{p[:-1]}') THEN '{t[:-1]}' || substr(url, {len(p)})" for p, t in sorted(ALIASES.items(), key=lambda x: -len(x[0]))
+    f"WHEN starts_with(url, '{p[:-1]}') THEN regexp_replace(regexp_replace('{t[:-1]}' || substr(url, {len(p)}), '/+', '/', 'g'), '/$', '')" for p, t in sorted(ALIASES.items(), key=lambda x: -len(x[0]))
 ) + " END AS resolved FROM pages"
 
 
