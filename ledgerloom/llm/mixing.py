@@ -8,7 +8,7 @@ their excess on to the others).
 Targets are arguments, per marginal: a number tempers the marginal's own shares (each to that power), a dict gives
 weights (values without one keep their share). ``ROUNDS`` rounds are made at least, and so many more until every marginal
 is within ``TOLERANCE`` of its target; where targets contradict each other (a source that only has one topic, say) the
-rounds end once they no longer come nearer. ``marginals`` says what was reached.
+rounds end once they no longer come nearer, with a warning that says by how much; ``marginals`` says what was reached.
 
 The cells are an aggregate whose size follows the number of sources, languages and topics, not the rows: the window sums
 of the fitting run over one partition of cells, without a shuffle between rounds, at about 200 bytes a cell. Sampling
@@ -22,6 +22,8 @@ table gives an empty table; columns besides those named, whatever their names, a
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,6 +111,8 @@ def fitted(rows: DataFrame, targets: dict | None = None, rounds: int = ROUNDS) -
         made += rounds
         off = marginals(c).agg(F.max(F.abs(F.col("target") - F.col("reached")))).first()[0] or 0.0
         if off <= TOLERANCE or made >= MOST_ROUNDS or before is not None and off > 0.999 * before:
+            if off > TOLERANCE:
+                warnings.warn(f"the targets aren't met: a share is off by {off:.6f} after {made} rounds", stacklevel=2)
             return scratch.finish(c, "cells")
         before = off
 
