@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_files, free_name, integer_id, materialise, slices, sorted_table, stored_at, text_bytes
+from .common import Bucketed, drop_files, free_name, integer_id, materialise, slices, sorted_table, stored_at, text_bytes, total_bytes
 from .dedup_index import P1, rolled
 from .simhash import SEED, star_components
 
@@ -44,6 +44,8 @@ SIMILARITY = 0.8
 CROWD_KEYS = 32
 ROUNDS = 1
 HELD_KEYS = 4_000_000
+#: Text bytes of a file of the table of texts, about.
+FILE_BYTES = 16 << 20
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,14 +65,15 @@ def prefix_size(n):
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n different hashes, by weight (none: 0), then by value."""
+    """The first n - ceil(0.8 n) + 1 of n different hashes, by the weight of their upper halves (none: 0), then by value."""
     n = len(hashes)
     if not n:
         return hashes
     if not len(common):
         return np.sort(hashes)[: prefix_size(n)]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, weight[at], 0)))[: prefix_size(n)]]
+    upper = hashes >> 32
+    at = np.minimum(np.searchsorted(common, upper), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == upper, weight[at], 0)))[: prefix_size(n)]]
 
 
 def _keys(nodes: DataFrame, shingle: int, common: str | None = None, whole: bool = False) -> DataFrame:
@@ -93,13 +96,18 @@ def _keys(nodes: DataFrame, shingle: int, common: str | None = None, whole: bool
 
 def _ordered_by_join(nodes: DataFrame, shingle: int, common: DataFrame) -> DataFrame:
     """``_keys`` where the common shingles are too many to be held."""
-    each = _keys(nodes, shingle, whole=True).select("key", "node", "n").join(common, "key", "left")
+    each = _keys(nodes, shingle, whole=True).select("key", "node", "n", half("key").alias("half")).join(common.toDF("half", "held"), "half", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0).cast("long")).alias("held"), "key")))
     taken = F.slice("_o", F.lit(1), (F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).cast("int"))
     sets = each.groupBy("node", "n").agg(order.alias("_o")).select("node", "n", F.posexplode(taken))
     return sets.select(F.col("col.key").alias("key"), "node", "n", (F.col("pos") + 1).alias("pos"))
 
 
+def half(key: str) -> F.Column:
+    """The upper 32 bits of a hash."""
+    return F.shiftright(key, 32).cast("int")
+
+
 def shared_keys(keyed: DataFrame, label: str) -> DataFrame:
     """The rows whose key others hold too, with the number of holders; both sides are dealt anew, so Spark splits a hot key."""
     held = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), f"{label}-held")
@@ -116,9 +124,11 @@ def _prefix_keys(nodes: DataFrame, shingle: int, crowd: int, most: int) -> DataF
         shared = shared_keys(first, "shingle-shared")
     else:
         holders = first.join(hot, "key", "left_semi").select("node").distinct()
-        counts = _keys(nodes.join(holders, "node", "left_semi"), shingle, whole=True).groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+        # by half a hash, which halves what is shuffled: shingles that share one are put last together, and any order is right
+        every = _keys(nodes.select("node", "text").join(holders, "node", "left_semi"), shingle, whole=True)
+        counts = every.groupBy(half("key").alias("key")).agg(F.count(F.lit(1)).alias("held"))
         common = materialise(counts.where(F.col("held") > crowd), "shingle-common")
-        anew = materialise(first.join(common, "key", "left_semi").select("node").distinct(), "shingle-anew")
+        anew = materialise(first.withColumn("key", half("key")).join(common, "key", "left_semi").select("node").distinct(), "shingle-anew")
         some = nodes.select("node", "text").join(anew, "node", "left_semi")
         ordered = _keys(some, shingle, stored_at(common)) if common.count() <= most else _ordered_by_join(some, shingle, common)
         second = materialise(first.join(anew, "node", "left_anti").select("key", "node", "n", "pos").union(ordered), "shingle-keys")
@@ -227,10 +237,15 @@ def _with_text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _similar_texts(base: DataFrame, **how) -> DataFrame:
     """(text_id, component_id) of (doc_id, text, text_id): the smallest doc_id of the texts that each text reaches."""
     texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
-    nodes = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
+    numbered = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
+    # texts are dealt once by their number, so those that are wanted later are found without being shuffled again
+    table = Bucketed(numbered, "node", max(1, -(-total_bytes(numbered, "text") // FILE_BYTES)), "text-table")
+    drop_files(numbered)
+    nodes = table.rows
     reach = linked_nodes(nodes, **how)
     named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = materialise(named, "similar-named")
+    table.drop()
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     return materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
 
