@@ -290,7 +290,8 @@ class Aligner:
             self._learn(new[at : at + (1 << 14)])
         counts, starts, pairs = (np.frombuffer(x, np.int64) for x in (self.counts, self.starts, self.pairs))  # views; they end before the arrays grow
         counts, used = counts.reshape(-1, 3), np.frombuffer(self.used, np.int64)
-        nothing = (0, 0, 0, 0, "", pairs[:0], pairs[:0])
+        none = np.zeros(0, np.int64)  # no view: an array that has views left can't grow, and the caller keeps what it gets
+        nothing = (0, 0, 0, 0, "", none, none)
         for parts in split:
             at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
             of = counts[at]
