@@ -233,8 +233,12 @@ class Aligner:
 
     def _alone(self, part: str) -> None:
         """A part by itself, whatever it is."""
-        blank = part.startswith(" ")
-        a, b = self.a.ids([part])[0], self.b.ids([part if blank else " " + part])[0][0 if blank else 1 :]
+        if part[0] == " ":
+            a, b = self.a.ids([part])[0], self.b.ids([part])[0]
+        elif part[0].isspace():
+            a, b = self.a.ids([part])[0], self.b.ids([" " + part])[0][1:]
+        else:  # after a line feed, a token of its own on both sides; a blank could be taken into the part's first token
+            a, b = self.a.ids(["\n" + part])[0][1:], self.b.ids([" \n" + part])[0][2:]
         whole = b"".join(map(self.a.bytes_of.__getitem__, a)) == part.encode()
         found = self.transducer.align(a, b) if whole else None
         if found is None:
