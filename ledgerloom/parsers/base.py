@@ -6,8 +6,9 @@ import signal
 import threading
 from collections.abc import Callable
 from dataclasses import astuple, dataclass
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -76,28 +77,35 @@ def parse_guarded(path: str, text: str, aliases: dict, seconds: float = PARSE_SE
             signal.signal(signal.SIGALRM, before)
 
 
+SYMBOL = pa.struct([("name", pa.string()), ("kind", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("signature", pa.string())])
 PARSED = (
     "file_path string, status string, language string, symbols array<struct<name:string,kind:string,line_start:int,line_end:int,signature:string>>, imports array<string>"
 )
 
 
 def parse_files(files: DataFrame, aliases: dict | None = None, seconds: float = PARSE_SECONDS) -> DataFrame:
-    """A row per file of (file_path, content): status, language, symbols, imports. Aliases: see ``sources.aliases``."""
+    """A row per file of (file_path, content): status, language, symbols, imports. Aliases: see ``sources.aliases``.
+
+    Parsing costs far more than reading, and a small table is one task however many sources it stands for: files are dealt evenly,
+    to as many tasks as Spark shuffles to."""
     aliases = aliases or {}
+    spark = files.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["file_path"], pdf["content"]):
-                text = bytes(content).decode(errors="replace") if content is not None and not isinstance(content, str) else content or ""
-                status, symbols, imports = parse_guarded(path, text, aliases, seconds)
-                found = parser_for(path)
-                rows.append((path, status, found[0] if found else None, [astuple(s) for s in symbols], imports))
-            out = pd.DataFrame(rows, columns=["file_path", "status", "language", "symbols", "imports"])
-            out["symbols"] = [[dict(zip(("name", "kind", "line_start", "line_end", "signature"), s)) for s in x] for x in out["symbols"]]
-            yield out
-
-    return files.select("file_path", "content").mapInPandas(run, PARSED)
+        for batch in batches:
+            path, content = (batch.column(c).to_pylist() for c in ("file_path", "content"))
+            texts = (c.decode(errors="replace") if isinstance(c, bytes) else c or "" for c in content)
+            status, symbols, imports = zip(*(parse_guarded(p, t, aliases, seconds) for p, t in zip(path, texts))) if path else ((), (), ())
+            language = [found[0] if (found := parser_for(p)) else None for p in path]
+            flat = [x for one in symbols for x in one]
+            fields = [pa.array([getattr(x, f.name) for x in flat], f.type) for f in SYMBOL]
+            ends = pa.array(list(accumulate(map(len, symbols), initial=0)), pa.int32())
+            listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, fields=list(SYMBOL)))
+            columns = [batch.column("file_path"), pa.array(status, pa.string()), pa.array(language, pa.string()), listed, pa.array(imports, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["file_path", "status", "language", "symbols", "imports"])
+
+    return files.select("file_path", "content").repartition(tasks).mapInArrow(run, PARSED)
 
 
 def symbols_of(parsed: DataFrame) -> DataFrame:
