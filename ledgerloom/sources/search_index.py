@@ -15,6 +15,8 @@ A key stands for one row; a key that is added twice is found by what either batc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +36,34 @@ def bucket(token: Column | str, buckets: int = BUCKETS) -> Column:
     return (F.crc32(F.substring(token, 1, 2).cast("binary")) % buckets).cast("int")
 
 
+def grouped(t: pa.ListArray) -> tuple[pa.Array, pa.Array, pa.ListArray]:
+    """Of rows' tokens: for each row and each different token of it, the row's number, the token and its places in the row, in order."""
+    ends = np.concatenate([[0], np.cumsum(t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    coded = t.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(t)), np.diff(ends))
+    place = np.arange(len(code)) - ends[row]
+    both = row * max(1, len(coded.dictionary)) + code
+    order = np.argsort(both, kind="stable")
+    first = np.flatnonzero(np.diff(both[order], prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+    return pa.array(row[order][first]), coded.dictionary.take(pa.array(code[order][first])), lists
+
+
 def positions(rows: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """(token, key, column, positions) of each token of each row. A row's own tokens are grouped within the row, so nothing is shuffled."""
+    """(token, key, column, positions) of each token of each row. A row's own tokens are sorted within the row, so nothing is shuffled
+    and the work grows with the text, not with its words times its different words."""
     listed = F.array(*(F.struct(F.lit(c).alias("column"), search.tokens(c).alias("t")) for c in columns))
     each = rows.select(F.col(key).alias("key"), F.explode(listed).alias("c")).select("key", "c.column", F.col("c.t").alias("t"))
-    placed = each.select("key", "column", F.explode(F.array_distinct("t")).alias("token"), "t")
-    return placed.select("token", "key", "column", F.transform(F.filter(F.transform("t", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: p["x"] == F.col("token")), lambda p: p["i"]).alias("positions"))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                row, token, places = grouped(part.column("t"))
+                yield pa.RecordBatch.from_arrays([token.cast(pa.string()), part.column("key").take(row), part.column("column").take(row), places], ["token", "key", "column", "positions"])
+
+    return each.mapInArrow(run, f"token string, key {each.schema['key'].dataType.simpleString()}, column string, positions array<int>")
 
 
 def needed(tree: tuple) -> set[tuple[str, bool]]:
@@ -67,10 +91,11 @@ class SearchIndex:
 
     def add(self, rows: DataFrame, key: str, upto: int | None = None) -> Snapshot:
         """Index a batch. ``upto``: how far the source has been indexed with it, kept in the log (``state["upto"]``)."""
-        found = positions(rows, key, self.columns).withColumn("bucket", bucket("token", self.buckets))
-        n = found.count()
-        parts = max(1, -(-n // FILE_ROWS))
-        runs = self._written(found, parts)
+        # written once as they come: what deals them by ranges reads them twice
+        loose = self.log.write(positions(rows, key, self.columns).withColumn("bucket", bucket("token", self.buckets)), "loose")
+        found = self.log.read([loose], self.schema)
+        runs = self._written(found, max(1, -(-found.count() // FILE_ROWS)))
+        self.log.drop([loose])
         while True:
             try:
                 return self.log.commit(self.log.snapshot(), runs, state={} if upto is None else {"upto": upto})
