@@ -2,7 +2,8 @@
 
 * ``quality``: documents that the classifier scores under its threshold go.
 * ``near_dedup``: of each group of documents that are alike (five-word shingles, similarity 0.8 or more) the one with the
-  smallest id stays; candidates come from a complete prefix filter on shingles.
+  smallest id stays; candidates come from fuzzy Golay keys of fingerprints, and for what these can't reach from a complete prefix filter
+  on shingles.
 * ``secrets``: spans of secrets are masked in the texts; n_chars follows.
 * ``mixing``: documents are sampled to the calibrated weights of their source, language and topic.
 * ``bpe``: the ids of each text, whose decoded bytes are checked against it.

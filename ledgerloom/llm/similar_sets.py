@@ -1,13 +1,17 @@
 """Documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
+*Golay codes.* For whole texts, ``simhash`` comes first: fingerprints that differ in 2 bits at most meet under its fuzzy Golay keys, and
+so do equal ones; those pairs that the exact check confirms are linked. The fingerprint reaches a part of the similar pairs only, so the keys
+below find the others; what the codes have linked already isn't paired again.
+
 *Keys.* Of two such sets in one common order, the first n - ceil(0.8 n) + 1 shingles of each have one in common, so these
 are the keys (prefix filter): whatever the order, no similar pair is without a shared key. Nodes are distinct texts, so
 exact copies cost one.
 
-*Order.* By value first. Where more than ``CROWD_KEYS`` nodes hold a key, all shingles of such nodes are counted, exactly;
-those that more than ``CROWD_KEYS`` of them hold come last, by their number of holders, and every node whose prefix has
-one gets its prefix anew. So lines that many texts have in common are keys only where a text has little else. There may be any number of common
-shingles: each worker holds them, sorted, up to ``HELD_KEYS`` (a checked bound); beyond it they are joined to the shingles.
+*Order.* All shingles of all nodes are counted, exactly; those that more than ``CROWD_KEYS`` nodes hold come last, by their
+number of holders, the others by value. So lines that many texts have in common are keys only where a text has little else. There may be any number of common
+shingles: each worker holds them, sorted, up to ``HELD_KEYS`` (a checked bound); beyond it they are joined to the shingles. Keys are
+made once, in this order, so what is shuffled grows with the texts and not with how many of them meet under common lines.
 
 *Places.* Say the key is the first that two sets have in common in the order, at places i and j (from 1) of n and m. What
 lies before isn't in common, so 1 + min(n - i, m - j) is the most that can be; similar sets need 0.8 / 1.8 of n + m. A
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import Bucketed, drop_files, free_name, integer_id, materialise, slices, sorted_table, stored_at, text_bytes, total_bytes
 from .dedup_index import P1, rolled
-from .simhash import SEED, star_components
+from .simhash import SEED, fingerprints, links, star_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -118,25 +122,18 @@ def shared_keys(keyed: DataFrame, label: str) -> DataFrame:
 
 def _prefix_keys(nodes: DataFrame, shingle: int, crowd: int, most: int) -> DataFrame:
     """The keys that nodes share, in the order that puts common shingles last, with the number of holders."""
-    first = materialise(_keys(nodes, shingle), "shingle-keys")
-    hot = materialise(first.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > crowd), "shingle-hot")
-    if hot.isEmpty():
-        shared = shared_keys(first, "shingle-shared")
+    # by half a hash, which halves what is shuffled: shingles that share one are put last together, and any order is right
+    counts = _keys(nodes, shingle, whole=True).groupBy(half("key").alias("key")).agg(F.count(F.lit(1)).alias("held"))
+    common = materialise(counts.where(F.col("held") > crowd), "shingle-common")
+    n = common.count()
+    if n > most:
+        keyed = _ordered_by_join(nodes, shingle, common)
     else:
-        holders = first.join(hot, "key", "left_semi").select("node").distinct()
-        # by half a hash, which halves what is shuffled: shingles that share one are put last together, and any order is right
-        every = _keys(nodes.select("node", "text").join(holders, "node", "left_semi"), shingle, whole=True)
-        counts = every.groupBy(half("key").alias("key")).agg(F.count(F.lit(1)).alias("held"))
-        common = materialise(counts.where(F.col("held") > crowd), "shingle-common")
-        anew = materialise(first.withColumn("key", half("key")).join(common, "key", "left_semi").select("node").distinct(), "shingle-anew")
-        some = nodes.select("node", "text").join(anew, "node", "left_semi")
-        ordered = _keys(some, shingle, stored_at(common)) if common.count() <= most else _ordered_by_join(some, shingle, common)
-        second = materialise(first.join(anew, "node", "left_anti").select("key", "node", "n", "pos").union(ordered), "shingle-keys")
-        shared = shared_keys(second, "shingle-shared")
-        for t in (common, anew, second):
-            drop_files(t)
-    drop_files(first)
-    drop_files(hot)
+        keyed = _keys(nodes, shingle, stored_at(common) if n else None)
+    keyed = materialise(keyed, "shingle-keys")
+    shared = shared_keys(keyed, "shingle-shared")
+    drop_files(common)
+    drop_files(keyed)
     return shared
 
 
@@ -220,11 +217,26 @@ def linked_nodes(nodes: DataFrame, shingle: int = SHINGLE, edges: DataFrame | No
     if edges is None:
         shared = shared.withColumn("c", F.col("node"))
     else:
+        before = shared
         shared = materialise(shared.join(edges.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node")), "shingle-shared")
+        drop_files(before)
     found = verified(key_pairs(shared.where(F.col("held") <= crowd)), nodes, shingle)
     return _reach(shared.where(F.col("held") > crowd).select("key", "node", "n", "pos"), found if edges is None else found.union(edges), nodes, shingle, rounds)
 
 
+def golay_links(nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(u, v) of ``star_components`` over the pairs of (node, text) that meet under a fuzzy Golay key and are similar."""
+    worded = nodes.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))  # texts without words are alike only as texts
+    found = materialise(fingerprints(worded, "node").select(F.col("doc_id").alias("node"), "fp"), "golay-prints")
+    first = materialise(found.groupBy("fp").agg(F.min("node").alias("head")), "golay-nodes")
+    same = found.join(first, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    near = links(first.select("fp", F.col("head").alias("node")))
+    linked = star_components(verified(near.union(same), nodes, shingle))
+    drop_files(found)
+    drop_files(first)
+    return linked
+
+
 def text_id(text: F.Column) -> F.Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
@@ -242,7 +254,7 @@ def _similar_texts(base: DataFrame, **how) -> DataFrame:
     table = Bucketed(numbered, "node", max(1, -(-total_bytes(numbered, "text") // FILE_BYTES)), "text-table")
     drop_files(numbered)
     nodes = table.rows
-    reach = linked_nodes(nodes, **how)
+    reach = linked_nodes(nodes, edges=golay_links(nodes, how.get("shingle", SHINGLE)), **how)
     named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     named = materialise(named, "similar-named")
     table.drop()
