@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import accumulate, chain
 
@@ -43,15 +44,29 @@ BATCH_SEQUENCES = 256
 REMEMBERED = 600_000
 MARK = "\x01"
 LINE_WORDS = 64
+#: ASCII marks, and what is before them in a word that is cut there: ASCII letters and digits, or the letters of À to ÿ (their second bytes).
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+STEM_ASCII = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+STEM_LATIN = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
 
 MANIFEST = T.StructType([T.StructField("part", T.LongType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
+def stem_of(word: bytes) -> bytes:
+    """What a word holds before the ASCII marks at its end, if it has both and a letter or digit before them; else nothing."""
+    stem = word.rstrip(MARKS)
+    if not stem or len(stem) == len(word):
+        return b""
+    return stem if stem[-1] in STEM_ASCII or stem[-2:-1] == b"\xc3" and stem[-1] in STEM_LATIN else b""
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's splitter never lets a token reach over white space and its normalizer acts within words, so each
-    word between ASCII blanks is encoded once and remembered (a bounded number). New words go to the library in lines
+    word between ASCII blanks is encoded once and remembered as the bytes of its ids (a bounded number; words that were used last
+    stay). Its splitter also parts a letter or digit from a mark behind it, so a word that ends in ASCII marks is put together from
+    what is before them and the marks. What is new goes to the library in lines
     of many, with a control character between them that is a token by itself and tells where a word ends; words that
     hold that character go alone.
     """
@@ -64,39 +79,62 @@ class WordEncoder:
         # the strings of special tokens in a text are ordinary text, as the description of the public vocabularies asks for
         self.tokenizer.encode_special_tokens = True
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.mark = self.ids([MARK])[0]
         if len(self.mark) != 1:
             raise ValueError("the vocabulary has no token for the mark between words")
+        self.parted = self.splits_off_marks()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of words."""
+    def splits_off_marks(self) -> bool:
+        """Whether the vocabulary takes each letter and digit of ``stem_of`` apart from each mark behind it, as a blank does."""
+        ends = [bytes([c]).decode() for c in sorted(STEM_ASCII)] + [bytes([0xC3, c]).decode() for c in sorted(STEM_LATIN)]
+        cases = [(e, m) for e in ends for m in MARKS.decode()]
+        return self.ids([e + m for e, m in cases]) == self.ids([f"{e} {m}" for e, m in cases])
+
+    def from_library(self, words: list[bytes]) -> None:
+        size = np.dtype(self.kind).itemsize
         marked = [w for w in words if b"\x01" in w]
-        self.known.update(zip(marked, map(tuple, self.ids([w.decode() for w in marked]))))
+        self.known.update((w, np.array(x, self.kind).tobytes()) for w, x in zip(marked, self.ids([w.decode() for w in marked])))
         plain = [w for w in words if b"\x01" not in w]
         lines = [plain[at : at + LINE_WORDS] for at in range(0, len(plain), LINE_WORDS)]
         for at in range(0, len(lines), 64):
             some = lines[at : at + 64]
             for line, ids in zip(some, self.ids([f" {MARK} ".join(w.decode() for w in line) for line in some])):
-                cuts = [i for i, x in enumerate(ids) if x == self.mark[0]]
-                self.known.update((w, tuple(ids[a + 1 : b])) for w, a, b in zip(line, [-1, *cuts], [*cuts, len(ids)]))
+                found = np.array(ids, self.kind)
+                cuts = (np.flatnonzero(found == self.mark[0]) * size).tolist()
+                raw = found.tobytes()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(line, [0, *(c + size for c in cuts)], [*cuts, len(raw)]))
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Remember the ids of words."""
+        known, before = self.known, self.before
+        whole, parts = [], []
+        for w in words:
+            if (found := before.get(w)) is not None:
+                known[w] = found
+            elif self.parted and (stem := stem_of(w)):
+                parts.append((w, stem, w[len(stem) :]))
+            else:
+                whole.append(w)
+        wanted = dict.fromkeys(chain(whole, *((s, m) for _, s, m in parts)))
+        for w in [w for w in wanted if w in before]:
+            known[w] = before[w]
+        self.from_library([w for w in wanted if w not in known])
+        known.update((w, known[s] + known[m]) for w, s, m in parts)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, list[int]]:
         """All ids in one array, each text's followed by the end id, and how many each text has."""
         split = [t.lower().split() for t in texts]  # the vocabulary lowers all letters; here it saves words
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-        self.learn(new)
-        rows = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-        for r in rows:
-            r.append(end_id)
-        lengths = [len(r) for r in rows]
-        return np.fromiter(chain.from_iterable(rows), self.kind, sum(lengths)), lengths
+        if len(self.known) > REMEMBERED // 2:
+            self.before, self.known = self.known, {}
+        self.learn(set(chain.from_iterable(split)).difference(self.known))
+        end, ids_of = self.kind(end_id).tobytes(), self.known.__getitem__
+        rows = [b"".join(map(ids_of, words)) + end for words in split]
+        return np.frombuffer(b"".join(rows), self.kind), [len(r) // len(end) for r in rows]
 
 
 @lru_cache(2)
