@@ -48,6 +48,9 @@ SIMILARITY = 0.8
 CROWD_KEYS = 32
 ROUNDS = 1
 HELD_KEYS = 4_000_000
+#: Text bytes whose shingles meet in one group, about, and hashes that a task gathers before it hands them on.
+GROUP_BYTES = 16 << 20
+GATHERED = 2 << 20
 #: Text bytes of a file of the table of texts, about.
 FILE_BYTES = 16 << 20
 
@@ -80,22 +83,133 @@ def prefix(hashes: np.ndarray, common: np.ndarray, weight: np.ndarray) -> np.nda
     return hashes[np.lexsort((hashes, np.where(common[at] == upper, weight[at], 0)))[: prefix_size(n)]]
 
 
+KEYED = "key long, node long, n long, pos int"
+
+
+def _each_key(batches, shingle: int, common: str | None, whole: bool = False):
+    """Arrays of (key, node, n, pos) for slices of the texts, as ``_keys`` has them, and whether each key is among the common ones."""
+    order = sorted_table(common, ("key", "held")) if common else (np.zeros(0, np.int64),) * 2
+    for batch in slices(batches, "text", 1 << 20):
+        found = [shingle_set(t, shingle) for t in text_bytes(batch.column("text"))]
+        n = np.array([len(x) for x in found], np.int64)
+        found = found if whole else [prefix(x, *order) for x in found]
+        taken = np.array([len(x) for x in found], np.int64)
+        key = np.concatenate(found)
+        pos = np.arange(len(key)) - np.repeat(np.cumsum(taken) - taken, taken) + 1
+        known = np.isin(key >> 32, order[0]) if common else np.zeros(len(key), bool)
+        yield key, np.repeat(batch.column("node").to_numpy(), taken), np.repeat(n, taken), pos.astype(np.int32), known
+
+
 def _keys(nodes: DataFrame, shingle: int, common: str | None = None, whole: bool = False) -> DataFrame:
     """Of (node, text): (key, node, n, pos), the shingles of the prefix, or all; n counts all, pos is the key's place in the
-    order, from 1. ``common``: the stored table of those that come last."""
+    order, from 1. ``common``: the stored table of those that come last; only keys that are in it are returned then."""
 
     def run(batches):
-        order = sorted_table(common, ("key", "held")) if common else (np.zeros(0, np.int64),) * 2
+        for *columns, known in _each_key(batches, shingle, common, whole):
+            yield pa.RecordBatch.from_arrays([pa.array(x[known] if common else x) for x in columns], ["key", "node", "n", "pos"])
+
+    return nodes.select("node", "text").mapInArrow(run, KEYED)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, all first bytes, then all second ones and so on, compressed: bytes that hardly vary take no room."""
+    return pa.compress(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind, n: int) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(raw, n * kind.itemsize, "zstd", asbytes=True), np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _gathered(parts, groups: int, bits: int, n_of):
+    """Dealt and packed: of arrays (sorted unsigned numbers first) one row per group, groups being ranges of the numbers."""
+    for first, *more in parts:
+        group = ((first >> first.dtype.type(bits - 32)).astype(np.uint64) * np.uint64(groups)) >> np.uint64(32)
+        cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+        rows = [(int(group[a]), b - a, packed(np.diff(first[a:b], prepend=first.dtype.type(0))), *(packed(x[a:b]) for x in more)) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(first)])] if len(first) else []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["group", "rows", *n_of])
+
+
+def _ungathered(table: pa.Table, kinds: dict) -> list[np.ndarray]:
+    """The arrays of a group, sorted by the first one."""
+    counts = table.column("rows").to_pylist()
+    found = [[unpacked(raw, kind, n) for raw, n in zip(table.column(c).to_pylist(), counts)] for c, kind in kinds.items()]
+    first = np.concatenate([np.cumsum(x, dtype=x.dtype) for x in found[0]])
+    order = np.argsort(first, kind="stable")
+    return [first[order], *(np.concatenate(x)[order] for x in found[1:])]
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each stretch of equal numbers begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def _common(nodes: DataFrame, shingle: int, crowd: int, groups: int) -> DataFrame:
+    """(key, held): half hashes of shingles that more than ``crowd`` hold, with their number. Each task sorts and counts what it has;
+    counts meet in groups of the half hashes' range, packed, so neither rows nor hash tables of single shingles are made."""
+
+    def counts(batches):
+        held, n = [], 0
         for batch in slices(batches, "text", 1 << 20):
-            found = [shingle_set(t, shingle) for t in text_bytes(batch.column("text"))]
-            n = np.array([len(x) for x in found], np.int64)
-            found = found if whole else [prefix(x, *order) for x in found]
-            taken = np.array([len(x) for x in found], np.int64)
-            node = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), taken)))
-            pos = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), node, pa.array(np.repeat(n, taken)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
+            for text in text_bytes(batch.column("text")):
+                held.append((shingle_set(text, shingle).view(np.uint64) >> np.uint64(32)).astype(np.uint32))
+                n += len(held[-1])
+            if n >= GATHERED:
+                yield np.unique(np.concatenate(held), return_counts=True)
+                held, n = [], 0
+        if n:
+            yield np.unique(np.concatenate(held), return_counts=True)
+
+    def run(batches):
+        yield from _gathered(((v, c.astype(np.uint32)) for v, c in counts(batches)), groups, 32, ["half", "held"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        half, held = _ungathered(table, {"half": np.uint32, "held": np.uint32})
+        first = _runs(half)
+        total = np.add.reduceat(held.astype(np.int64), first)
+        often = total > crowd
+        return pa.table({"key": half[first[often]].view(np.int32), "held": total[often]})
+
+    dealt = nodes.select("node", "text").mapInArrow(run, "group long, rows long, half binary, held binary")
+    return dealt.groupBy("group").applyInArrow(summed, "key int, held long")
+
+
+def _met_keys(nodes: DataFrame, shingle: int, common: str | None, groups: int) -> DataFrame:
+    """The keys of ``_keys`` that aren't common and that several nodes have, with their number: (key, node, n, pos, held). As few
+    hold any of them, they meet packed, in groups of the keys' range."""
 
-    return nodes.select("node", "text").mapInArrow(run, "key long, node long, n long, pos int")
+    def sorted_parts(batches):
+        held, n = [], 0
+
+        def part():
+            key, node, size, pos = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key.view(np.uint64))
+            return key.view(np.uint64)[order], node[order], size.astype(np.int32)[order], pos[order]
+
+        for *columns, known in _each_key(batches, shingle, common):
+            held.append([x[~known] for x in columns])
+            n += len(held[-1][0])
+            if n >= GATHERED // 4:
+                yield part()
+                held, n = [], 0
+        if n:
+            yield part()
+
+    def run(batches):
+        yield from _gathered(sorted_parts(batches), groups, 64, ["key", "node", "n", "pos"])
+
+    def shared(table: pa.Table) -> pa.Table:
+        key, *columns = _ungathered(table, {"key": np.uint64, "node": np.int64, "n": np.int32, "pos": np.int32})
+        first = _runs(key)
+        held = np.diff(np.concatenate([first, [len(key)]]))
+        held = np.repeat(held, held)
+        key, node, n, pos, held = (x[held > 1] for x in (key.view(np.int64), *columns, held))
+        return pa.table({"key": key, "node": node, "n": n.astype(np.int64), "pos": pos, "held": held})
+
+    dealt = nodes.select("node", "text").mapInArrow(run, "group long, rows long, key binary, node binary, n binary, pos binary")
+    return dealt.groupBy("group").applyInArrow(shared, f"{KEYED}, held long")
 
 
 def _ordered_by_join(nodes: DataFrame, shingle: int, common: DataFrame) -> DataFrame:
@@ -123,18 +237,17 @@ def shared_keys(keyed: DataFrame, label: str) -> DataFrame:
 def _prefix_keys(nodes: DataFrame, shingle: int, crowd: int, most: int) -> DataFrame:
     """The keys that nodes share, in the order that puts common shingles last, with the number of holders."""
     # by half a hash, which halves what is shuffled: shingles that share one are put last together, and any order is right
-    counts = _keys(nodes, shingle, whole=True).groupBy(half("key").alias("key")).agg(F.count(F.lit(1)).alias("held"))
-    common = materialise(counts.where(F.col("held") > crowd), "shingle-common")
+    groups = max(1, -(-total_bytes(nodes, "text") // GROUP_BYTES))
+    common = materialise(_common(nodes, shingle, crowd, groups), "shingle-common")
     n = common.count()
-    if n > most:
-        keyed = _ordered_by_join(nodes, shingle, common)
-    else:
-        keyed = _keys(nodes, shingle, stored_at(common) if n else None)
-    keyed = materialise(keyed, "shingle-keys")
-    shared = shared_keys(keyed, "shingle-shared")
+    found = [] if n > most else [materialise(_met_keys(nodes, shingle, stored_at(common) if n else None, groups), "shingle-met")]
+    if n:
+        # common ones may be anyone's: as rows, so that Spark splits a hot one
+        keyed = materialise(_ordered_by_join(nodes, shingle, common) if n > most else _keys(nodes, shingle, stored_at(common)), "shingle-keys")
+        found.append(shared_keys(keyed, "shingle-shared"))
+        drop_files(keyed)
     drop_files(common)
-    drop_files(keyed)
-    return shared
+    return found[0] if len(found) == 1 else found[0].select(*found[1].columns).union(found[1])
 
 
 def may_be_similar(n: F.Column, i: F.Column, m: F.Column, j: F.Column) -> F.Column:
@@ -251,7 +364,9 @@ def _similar_texts(base: DataFrame, **how) -> DataFrame:
     texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
     numbered = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
     # texts are dealt once by their number, so those that are wanted later are found without being shuffled again
-    table = Bucketed(numbered, "node", max(1, -(-total_bytes(numbered, "text") // FILE_BYTES)), "text-table")
+    # (fewer files than a shuffle's partitions would be shuffled all the same, for parallelism)
+    size, parts = total_bytes(numbered, "text"), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = Bucketed(numbered, "node", max(1, -(-size // FILE_BYTES), min(parts, 4 * size // FILE_BYTES)), "text-table")
     drop_files(numbered)
     nodes = table.rows
     reach = linked_nodes(nodes, edges=golay_links(nodes, how.get("shingle", SHINGLE)), **how)
