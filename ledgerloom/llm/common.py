@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -63,6 +64,18 @@ def drop_files(df: DataFrame) -> None:
             delete_path(df.sparkSession, name)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Each query within deletes its shuffle files when it ends (Spark 4.1 or later), not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Bucketed:
     """A table in the shared folder whose files are dealt by a key, so that joins on the key don't shuffle it. ``fn`` is applied to the
     batches after they are dealt."""

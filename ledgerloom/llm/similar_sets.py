@@ -23,7 +23,9 @@ near copies with so many words of their own that no two are similar.
 against all under its key that aren't in its component yet, then leaves it; after ``ROUNDS`` rounds all pairs across
 components that are left are verified. So no pair is skipped unless its two are linked already.
 
-*Verification* compares sorted arrays of shingle hashes (64 bits), made once for each node that is in any pair.
+*Verification* compares sorted arrays of shingle hashes (64 bits). They are larger than the texts and a join carries them for each
+pair, so bitmaps of them go first: a bit that only one of two has is an element that the other lacks, and pairs that lack too many are
+left out (a proven bound, no similar pair is). Sets are made for the nodes of the pairs that remain.
 
 Defined cases: an empty text and one without words are equal to each other only as texts; fewer words than a shingle has are one shingle;
 a text of any length is one set; ids are integers (others are refused with a ValueError); rows without an id take no
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bucketed, drop_files, free_name, integer_id, materialise, slices, sorted_table, stored_at, text_bytes, total_bytes
+from .common import Bucketed, drop_files, free_name, freed_shuffles, integer_id, materialise, slices, sorted_table, stored_at, text_bytes, total_bytes
 from .dedup_index import P1, rolled
 from .simhash import SEED, fingerprints, links, star_components
 
@@ -53,6 +55,8 @@ GROUP_BYTES = 16 << 20
 GATHERED = 2 << 20
 #: Text bytes of a file of the table of texts, about.
 FILE_BYTES = 16 << 20
+#: Bits of a bitmap for each element of its set, at least.
+BITMAP_BITS = 4
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -273,31 +277,61 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Of (u, v) those whose shingle sets are similar; nodes: (node, text)."""
-    pairs = materialise(pairs, "similar-pairs")
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for the lower bits of each hash, of a power of two of bits, ``BITMAP_BITS`` for each hash at least."""
+    size = max(64, 1 << (BITMAP_BITS * len(hashes) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[hashes & (size - 1)] = True
+    return np.packbits(marks).tobytes()
+
+
+def bitmaps_may_be_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether sets of n and m elements with these bitmaps can be similar: each bit that only one has is an element, at least, that
+    the other lacks."""
+    size = min(len(a), len(b))
+    x, y = (int.from_bytes(np.bitwise_or.reduce(np.frombuffer(c, np.uint8).reshape(-1, size), axis=0).tobytes(), "little") for c in (a, b))
+    most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return 9 * most >= 4 * (n + m)
+
+
+def _sets_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
+    return similar(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
+
+
+def _chosen(pairs: DataFrame, nodes: DataFrame, shingle: int, made_of, takes, label: str, out: str) -> DataFrame:
+    """Of (u, v) those that ``takes`` takes, by the sizes of both shingle sets and what ``made_of`` makes of each, once for a node."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
-    def sets(batches):
+    def make(batches):
         for batch in slices(batches, "text", 1 << 20):
-            found = [shingle_set(t, shingle).tobytes() for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "set"])
+            found = [shingle_set(t, shingle) for t in text_bytes(batch.column("text"))]
+            columns = [batch.column("node"), pa.array([len(x) for x in found], pa.int64()), pa.array([made_of(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "made"])
 
-    some = nodes.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(sets, "node long, set binary")
-    some = materialise(some, "similar-sets")
-    full = pairs.join(some.toDF("u", "a"), "u").join(some.toDF("v", "b"), "v")
+    some = nodes.select("node", "text").join(wanted, "node", "left_semi").mapInArrow(make, "node long, n long, made binary")
+    some = materialise(some, label)
+    full = pairs.join(some.toDF("u", "n", "a"), "u").join(some.toDF("v", "m", "b"), "v")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                both = zip(part.column("a").to_pylist(), part.column("b").to_pylist())
-                chosen = pa.array([similar(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for a, b in both], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("u").filter(chosen), part.column("v").filter(chosen)], ["u", "v"])
+                both = zip(*(part.column(c).to_pylist() for c in ("n", "a", "m", "b")))
+                taken = pa.array([takes(*x) for x in both], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("u").filter(taken), part.column("v").filter(taken)], ["u", "v"])
 
-    edges = materialise(full.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-edges")
-    drop_files(pairs)
+    chosen = materialise(full.select("u", "v", "n", "a", "m", "b").mapInArrow(run, "u long, v long"), out)
     drop_files(some)
+    return chosen
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Of (u, v) those whose shingle sets are similar; nodes: (node, text)."""
+    pairs = materialise(pairs, "similar-pairs")
+    likely = _chosen(pairs, nodes, shingle, bitmap, bitmaps_may_be_similar, "similar-bitmaps", "similar-likely")
+    drop_files(pairs)
+    edges = _chosen(likely, nodes, shingle, np.ndarray.tobytes, _sets_similar, "similar-sets", "similar-edges")
+    drop_files(likely)
     return edges
 
 
@@ -361,20 +395,21 @@ def _with_text_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _similar_texts(base: DataFrame, **how) -> DataFrame:
     """(text_id, component_id) of (doc_id, text, text_id): the smallest doc_id of the texts that each text reaches."""
-    texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
-    numbered = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
-    # texts are dealt once by their number, so those that are wanted later are found without being shuffled again
-    # (fewer files than a shuffle's partitions would be shuffled all the same, for parallelism)
-    size, parts = total_bytes(numbered, "text"), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = Bucketed(numbered, "node", max(1, -(-size // FILE_BYTES), min(parts, 4 * size // FILE_BYTES)), "text-table")
-    drop_files(numbered)
-    nodes = table.rows
-    reach = linked_nodes(nodes, edges=golay_links(nodes, how.get("shingle", SHINGLE)), **how)
-    named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    named = materialise(named, "similar-named")
-    table.drop()
-    least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    return materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
+    with freed_shuffles(base.sparkSession):
+        texts = base.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
+        numbered = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "text-nodes")
+        # texts are dealt once by their number, so those that are wanted later are found without being shuffled again
+        # (fewer files than a shuffle's partitions would be shuffled all the same, for parallelism)
+        size, parts = total_bytes(numbered, "text"), int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        table = Bucketed(numbered, "node", max(1, -(-size // FILE_BYTES), min(parts, 4 * size // FILE_BYTES)), "text-table")
+        drop_files(numbered)
+        nodes = table.rows
+        reach = linked_nodes(nodes, edges=golay_links(nodes, how.get("shingle", SHINGLE)), **how)
+        named = nodes.select("node", "text_id", "first_id").join(reach.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        named = materialise(named, "similar-named")
+        table.drop()
+        least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
+        return materialise(named.join(least, "c").select("text_id", "component_id"), "similar-components")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
